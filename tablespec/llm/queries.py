@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablespec.llm import quality_rules
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_packing": op8_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.ORACLE,
+}
