@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablespec.llm import quality_rules
+from tablespec.llm import mixing
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op2_mixing": mixing.op2_mixing,
     "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
