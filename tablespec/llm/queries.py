@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tablespec.llm import quality_rules
 from tablespec.llm import mixing
 from tablespec.llm import jaccard
+from tablespec.llm import secrets
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": secrets.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
