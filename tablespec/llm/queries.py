@@ -10,6 +10,8 @@ from tablespec.llm import quality_rules
 from tablespec.llm import mixing
 from tablespec.llm import jaccard
 from tablespec.llm import secrets
+from tablespec.llm import language
+from tablespec.llm import quality_model
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op9_language_id": language.op9_language_id,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op8_packing": op8_packing,
 }
 

@@ -110,9 +110,9 @@ def row_slices(off: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[
         lo = min(hi, n)
 
 
-def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the first word of each row."""
-    ok = ~_SEP[data]
+    ok = ~separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[off] = True
     before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
@@ -124,11 +124,11 @@ def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SEP) -> Iterator[Chunk]:
     data, off = buffers(col)
     for lo, hi in row_slices(off, max_bytes):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        starts, ends, woff = split_words(part, o)
+        starts, ends, woff = split_words(part, o, separators)
         yield Chunk(lo, hi, part, o, starts, ends, woff, hash_runs(part, starts, ends, lower))
 
 
