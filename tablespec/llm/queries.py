@@ -12,6 +12,7 @@ from tablespec.llm import jaccard
 from tablespec.llm import secrets
 from tablespec.llm import language
 from tablespec.llm import quality_model
+from tablespec.llm import topk
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op9_language_id": language.op9_language_id,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
+    "op1_topk_search": topk.op1_topk_search,
     "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": topk.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
