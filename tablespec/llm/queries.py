@@ -13,6 +13,7 @@ from tablespec.llm import secrets
 from tablespec.llm import language
 from tablespec.llm import quality_model
 from tablespec.llm import topk
+from tablespec.llm import pitman_yor
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language.op9_language_id,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op1_topk_search": topk.op1_topk_search,
+    "op4_lm_scoring": pitman_yor.op4_lm_scoring,
     "op8_packing": op8_packing,
 }
 
