@@ -3,8 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The test tables of a folder, read lazily by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.dir}/{name}.parquet"
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of Tables under a name, with its oracle where SQL has one."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+for _module in ("audits", "projections", "diffs", "conversions", "integrity", "merging", "access", "profiles", "graphs", "texts", "streams"):
+    import_module(f"tablespec.queries.{_module}")
