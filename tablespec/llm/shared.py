@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size to this many rows, so that batches of long texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet files in the shared folder."""
     spark = df.sparkSession
