@@ -1 +1,155 @@
+"""J06-J08, W05, F08, S01-S07, O02 and M04."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablespec.operators import integrity as I
+from tablespec.operators.constraints import reconcile
+from tablespec.paths import work_dir
+from tablespec.registry import Tables, query
+from tablespec.sources import scan as S
+from tablespec.spec import Column, Partition, PartitionBy, TableSpec
+
+_DELETED = "c_custkey % 11 = 0"
+
+
+def _customers(t: Tables):
+    return t.customer.where(_DELETED).select(F.col("c_custkey").alias("key")), t.customer.where("c_custkey % 13 = 1").select(F.col("c_custkey").alias("old_key"), (F.col("c_custkey") + 5000000).alias("new_key"))
+
+
+@query("j06_fk_cascade_chain", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 11 = 0)")
+def _(t: Tables):
+    return I.fk_cascade([(t.orders, "o_orderkey", "o_custkey"), (t.lineitem, "l_orderkey", "l_orderkey")], _customers(t)[0])[1].select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("j06_fk_set_null_and_update", "SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 13 = 1 THEN o_custkey + 5000000 ELSE o_custkey END AS o_custkey FROM orders")
+def _(t: Tables):
+    return I.fk_apply(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", *_customers(t), on_delete="set null", on_update="cascade")[0]
+
+
+@query("j06_fk_restrict", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 11 = 0 OR o_custkey % 13 = 1")
+def _(t: Tables):
+    return I.fk_apply(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", *_customers(t), on_delete="restrict", on_update="no action")[1].distinct()
+
+
+def _spans(t: Tables):
+    return t.events.select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo")).withColumn("hi", F.col("lo") + 600 + F.col("event_id") % 7200)
+
+
+_SPANS = "SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS lo, floor(epoch(ts))::BIGINT + 600 + event_id % 7200 AS hi FROM events"
+
+
+@query("j07_exclude_violations", f"WITH s AS ({_SPANS}) SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, 'one_kind' AS constraint_name FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.event_id < b.event_id AND a.lo < b.hi AND b.lo < a.hi")
+def _(t: Tables):
+    return I.exclude_violations(_spans(t), ["user_id"], "lo", "hi", "event_id", 4000, differ=["event_type"], name="one_kind")
+
+
+@query("w05_overlaps", f"WITH s AS ({_SPANS}) SELECT event_id, user_id, lo, hi FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id = s.user_id AND (o.lo, o.hi, o.event_id) < (s.lo, s.hi, s.event_id) AND o.hi > s.lo)")
+def _(t: Tables):
+    return I.overlaps_by_running_max(_spans(t), ["user_id"], "lo", "hi", "event_id").drop("event_type")
+
+
+@query("f08_merge_ranges", f"""WITH s AS ({_SPANS}), r AS (SELECT *, CASE WHEN max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo THEN 0 ELSE 1 END AS n FROM s),
+i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM r), m AS (SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS ranges FROM i GROUP BY user_id, i)
+SELECT *, lo - lag(hi) OVER (PARTITION BY user_id ORDER BY lo) AS gap_before FROM m""")
+def _(t: Tables):
+    return I.merge_ranges(_spans(t), ["user_id"], "lo", "hi")
+
+
+@query("f08_range_ops", f"WITH s AS ({_SPANS}), n AS (SELECT event_id, lo, hi, lead(lo) OVER (PARTITION BY user_id ORDER BY lo, event_id) AS o_lo, lead(hi) OVER (PARTITION BY user_id ORDER BY lo, event_id) AS o_hi FROM s) SELECT *, lo < o_hi AND o_lo < hi AS overlaps, lo <= o_lo AND o_hi <= hi AS contains, hi = o_lo OR o_hi = lo AS adjacent, CASE WHEN lo < o_hi AND o_lo < hi THEN greatest(lo, o_lo) END AS common_lo, CASE WHEN lo < o_hi AND o_lo < hi THEN least(hi, o_hi) END AS common_hi FROM n WHERE o_lo IS NOT NULL")
+def _(t: Tables):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("lo", "event_id")
+    return I.range_ops(_spans(t).withColumns({"o_lo": F.lead("lo").over(w), "o_hi": F.lead("hi").over(w)}).where("o_lo IS NOT NULL").drop("user_id", "event_type"), "lo", "hi", "o_lo", "o_hi")
+
+
+_STATUS = PartitionBy("list", ("o_orderstatus",), (Partition("open", ("O", "P")), Partition("rest", default=True)))
+_YEARS = PartitionBy("range", ("y", "o_custkey"), (Partition("old", upper=(1996, 500)), Partition("mid", lower=(1996, 500), upper=(1999, 0), by=_STATUS), Partition("other", default=True)))
+_YEARS_NEW = PartitionBy("range", ("y", "o_custkey"), (Partition("old", upper=(1997, 0)), Partition("mid", lower=(1997, 0), upper=(1999, 0), by=_STATUS), Partition("late", lower=(1999, 0), upper=(2001, 0)), Partition("other", default=True)))
+_ROUTE = "SELECT o_orderkey, CASE WHEN (y, o_custkey) < (1996, 500) THEN 'old' WHEN (y, o_custkey) < (1999, 0) THEN 'mid/' || CASE WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE 'rest' END ELSE 'other' END AS partition, CASE WHEN (y, o_custkey) < (1997, 0) THEN 'old' WHEN (y, o_custkey) < (1999, 0) THEN 'mid/' || CASE WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE 'rest' END WHEN y < 2001 THEN 'late' ELSE 'other' END AS moved FROM (SELECT *, year(o_orderdate) AS y FROM orders)"
+
+
+def _years(t: Tables):
+    return t.orders.withColumn("y", F.year("o_orderdate"))
+
+
+@query("j08_route_partitions", f"SELECT o_orderkey, partition FROM ({_ROUTE})")
+def _(t: Tables):
+    return I.route_partitions(_years(t), _YEARS).select("o_orderkey", "partition")
+
+
+@query("j08_route_hash")
+def _(t: Tables):
+    by = PartitionBy("hash", ("o_orderkey",), tuple(Partition(f"h{i}", remainder=i) for i in range(4)), modulus=4)
+    return I.route_partitions(t.orders, by).groupBy("partition").count()
+
+
+_SPEC = TableSpec("orders", (Column("o_orderkey", "bigint"),), partition_by=_YEARS)
+
+
+@query("s05_write_partitioned", f"SELECT partition, count(*) AS rows FROM ({_ROUTE}) GROUP BY 1")
+def _(t: Tables):
+    return S.write_partitioned(_years(t).select("o_orderkey", "y", "o_custkey", "o_orderstatus"), _SPEC, f"{work_dir(t.spark)}/orders").groupBy("partition").agg(F.count("*").alias("rows"))
+
+
+@query("m04_partition_changes", f"""WITH r AS ({_ROUTE}) SELECT v.partition, v.change, (SELECT count(*) FROM r WHERE r.partition <> r.moved AND (r.partition = v.partition OR r.moved = v.partition))::BIGINT AS rows_moved
+FROM (VALUES ('old', 'bounds changed'), ('mid/open', 'same'), ('mid/rest', 'same'), ('late', 'added'), ('other', 'same')) v(partition, change)""")
+def _(t: Tables):
+    return I.partition_changes(_years(t), _YEARS, _YEARS_NEW)
+
+
+@query("m04_rebuild_partitions", "SELECT count(*) AS old_rows, count(*) AS new_rows, TRUE AS same FROM orders")
+def _(t: Tables):
+    rows = _years(t).select("o_orderkey", "y", "o_custkey", "o_orderstatus")
+    new = TableSpec("orders", _SPEC.columns, partition_by=_YEARS_NEW)
+    rebuilt = S.write_partitioned(S.write_partitioned(rows, _SPEC, f"{work_dir(t.spark)}/old").drop("partition"), new, f"{work_dir(t.spark)}/new")
+    return reconcile(rows, rebuilt.drop("partition"))
+
+
+@query("s01_scan_declared", "SELECT c_custkey, c_mktsegment FROM customer")
+def _(t: Tables):
+    return S.scan_declared(t.spark, t.path("customer"), TableSpec("customer", (Column("c_custkey", "bigint", False), Column("c_mktsegment", "string"))))
+
+
+@query("s02_scan_foreign", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(t: Tables):
+    path = f"{work_dir(t.spark)}/nation"
+    t.nation.write.option("header", True).csv(path)
+    spec = TableSpec("nation", (Column("n_nationkey", "int"), Column("n_name", "string"), Column("n_regionkey", "int")))
+    return S.scan_foreign(t.spark, {"format": "csv", "header": "false", "sep": ","}, {"header": "true", "path": path}, spec)
+
+
+@query("s03_scan_union", "SELECT n_name AS name, 0 AS file_order, NULL::DOUBLE AS s_acctbal FROM nation UNION ALL SELECT s_name, 1, s_acctbal FROM supplier")
+def _(t: Tables):
+    root = work_dir(t.spark)
+    t.supplier.select(F.col("s_name").alias("name"), "s_acctbal").write.parquet(f"{root}/b")
+    t.nation.select(F.col("n_name").alias("name")).write.parquet(f"{root}/a")
+    return S.scan_union(t.spark, [f"{root}/b", f"{root}/a"])
+
+
+@query("s04_scan_inherited", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def _(t: Tables):
+    return S.scan_inherited(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), [t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal")])
+
+
+@query("s06_snapshot", "SELECT p_partkey, p_size + 1 AS p_size FROM part")
+def _(t: Tables):
+    root, rows = work_dir(t.spark), t.part.select("p_partkey", "p_size")
+    assert S.snapshot_load(t.spark, root, "part", rows.schema).isEmpty()
+    S.snapshot_save(rows, root, "part", 1)
+    S.snapshot_save(S.snapshot_load(t.spark, root, "part", rows.schema).withColumn("p_size", F.col("p_size") + 1), root, "part", 2, "r2")
+    return S.snapshot_load(t.spark, root, "part", rows.schema)
+
+
+@query("s07_changelog_append", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS run_id, count(*) AS changes FROM orders GROUP BY 1")
+def _(t: Tables):
+    path = f"{work_dir(t.spark)}/log"
+    S.changelog_append(t.orders.where("o_orderkey % 2 = 0").select("o_orderkey"), path, "a")
+    return S.changelog_append(t.orders.where("o_orderkey % 2 = 1").select("o_orderkey"), path, "b").groupBy("run_id").agg(F.count("*").alias("changes"))
+
+
+@query("o02_clustered_write", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 200")
+def _(t: Tables):
+    return S.clustered_write(t.orders, ["o_custkey"], f"{work_dir(t.spark)}/orders").where("o_custkey BETWEEN 100 AND 200").select("o_orderkey", "o_custkey")

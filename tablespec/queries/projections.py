@@ -26,10 +26,10 @@ def _(t: Tables):
     return P.rename_columns(t.supplier, {"s_suppkey": "supplierId"}, rule="camelCase", overrides={"s_acctbal": "balance"})
 
 
-@query("p04_add_columns", "SELECT p_partkey, TRUE AS active, NULL::VARCHAR AS note, NULL::INT AS weight, ['weight'] AS unfilled_not_null FROM part")
+@query("p04_add_columns", "SELECT p_partkey, TRUE AS active, NULL::VARCHAR AS note, NULL::INT AS weight, 'weight' AS unfilled_not_null FROM part")
 def _(t: Tables):
     spec = TableSpec("part", (Column("p_partkey", "bigint"), Column("active", "boolean", False, default="true"), Column("note", "string"), Column("weight", "int", False)))
-    return P.add_columns(t.part.select("p_partkey"), spec)
+    return P.add_columns(t.part.select("p_partkey"), spec).withColumn("unfilled_not_null", F.array_join("unfilled_not_null", ","))
 
 
 @query("p05_drop_columns", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
@@ -125,10 +125,10 @@ def _(t: Tables):
     return S.set_delta(df.where("l_orderkey % 17 <> 0"), df.where("l_orderkey % 13 <> 0"))
 
 
-@query("t01_array_delta", "SELECT user_id, list_sort(list_filter(d, lambda x: NOT list_contains(c, x))) AS added, list_sort(list_filter(c, lambda x: NOT list_contains(d, x))) AS removed FROM (SELECT user_id, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 0), [])) AS d, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 1), [])) AS c FROM events GROUP BY 1)")
+@query("t01_array_delta", "SELECT user_id, array_to_string(list_sort(list_filter(d, lambda x: NOT list_contains(c, x))), ',') AS added, array_to_string(list_sort(list_filter(c, lambda x: NOT list_contains(d, x))), ',') AS removed FROM (SELECT user_id, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 0), [])) AS d, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 1), [])) AS c FROM events GROUP BY 1)")
 def _(t: Tables):
     sets = t.events.groupBy("user_id").agg(F.expr("collect_set(event_type) FILTER (WHERE event_id % 2 = 0)").alias("d"), F.expr("collect_set(event_type) FILTER (WHERE event_id % 2 = 1)").alias("c"))
-    return S.array_delta(sets, "d", "c").select("user_id", "added", "removed")
+    return S.array_delta(sets, "d", "c").select("user_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
 @query("t02_bag_equal_report", "SELECT l_partkey, CASE WHEN n > 0 THEN 'a' ELSE 'b' END AS only_in, abs(n)::BIGINT AS surplus FROM (SELECT l_partkey, sum(n) AS n FROM (SELECT l_partkey, 1 AS n FROM lineitem WHERE l_tax < 0.04 UNION ALL SELECT l_partkey, -1 FROM lineitem WHERE l_tax >= 0.04) GROUP BY 1) WHERE n <> 0")
