@@ -1 +1,67 @@
+"""F09 and F12-F15."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablespec.functions import text as X
+from tablespec.registry import Tables, query
+
+_SIMPLE = "SELECT item_id, lower(w) AS term, p FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM (SELECT item_id, regexp_extract_all(text, 'https?://[^\\s<>\"'']+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+|\\p{L}+(?:-\\p{L}+)+|\\d+(?:\\.\\d+)?|\\p{L}+') AS ws FROM benchmark)) WHERE regexp_full_match(w, '\\d+(?:\\.\\d+)?|\\p{L}+')"
+
+
+@query("f12_text_vector", f"SELECT item_id, CASE term WHEN 'of' THEN 'from' ELSE term END AS term, string_agg(p, ',' ORDER BY p) AS positions, count(*) AS n FROM ({_SIMPLE}) WHERE term NOT IN ('the', 'and') GROUP BY 1, 2")
+def _(t: Tables):
+    stop = t.region.limit(1).select(F.explode(F.array(F.lit("the"), F.lit("and"))).alias("word"))
+    same = t.region.limit(1).selectExpr("'of' AS word", "'from' AS term")
+    out = X.text_vector(t.benchmark, "item_id", "text", stop, same, classes=("word", "number"))
+    return out.select("item_id", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.col("n").cast("long").alias("n"))
+
+
+def _index(t: Tables):
+    return X.text_index(X.text_vector(t.documents, "doc_id", "text", classes=("word",)), "doc_id")
+
+
+_TERMS = "SELECT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"'']+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+|\\p{L}+(?:-\\p{L}+)+|\\d+(?:\\.\\d+)?|\\p{L}+')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}+')"
+
+
+@query("f13_text_index", f"SELECT term, doc_id, count(*) AS n, count(*) OVER (PARTITION BY term) AS df FROM ({_TERMS}) GROUP BY 1, 2")
+def _(t: Tables):
+    return _index(t).select("term", "doc_id", F.col("n").cast("long").alias("n"), "df")
+
+
+@query("f13_text_match", f"SELECT doc_id, count(*) FILTER (term IN ('the', 'of', 'with', 'was')) AS score FROM ({_TERMS}) GROUP BY 1 HAVING bool_or(term = 'the') AND bool_or(term = 'of') AND bool_or(term IN ('with', 'was')) AND NOT bool_or(term = 'from') ORDER BY score DESC, doc_id LIMIT 20")
+def _(t: Tables):
+    return X.text_match(_index(t), "doc_id", all_of=["the", "of"], any_of=["with", "was"], none_of=["from"], top=20)
+
+
+@query("f13_text_phrase", f"WITH w AS (SELECT doc_id, lower(w) AS term, p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, 'https?://[^\\s<>\"'']+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+|\\p{{L}}+(?:-\\p{{L}}+)+|\\d+(?:\\.\\d+)?|\\p{{L}}+') AS ws FROM documents)) WHERE regexp_full_match(w, '\\p{{L}}+')) SELECT doc_id, count(*) FILTER (term IN ('of', 'the')) AS score FROM w GROUP BY 1 HAVING doc_id IN (SELECT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.p = a.p + 1 AND a.term = 'of' AND b.term = 'the')")
+def _(t: Tables):
+    return X.text_match(_index(t), "doc_id", phrase=["of", "the"])
+
+
+@query("f14_secret_scan", r"""SELECT doc_id, 'text' AS column_name, 'hex40' AS rule, unnest(regexp_extract_all(text, '\b[0-9a-f]{40}\b')) AS found FROM documents
+UNION ALL SELECT doc_id, 'text', 'card16', unnest(regexp_extract_all(text, '\b[0-9]{16}\b')) FROM documents
+UNION ALL SELECT doc_id, 'text', 'email', unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+')) FROM documents
+UNION ALL SELECT * FROM (SELECT doc_id, 'text', 'named literal', unnest(regexp_extract_all(text, '(?i)\b(?:password|passwd|pwd|secret|passphrase)\b["'']?\s*[:=]?\s*["'']([^"'']+)["'']', 1)) AS found FROM documents) WHERE NOT contains(found, '{{')""")
+def _(t: Tables):
+    return X.secret_scan(t.documents, "doc_id", ["text"])
+
+
+_RULES = [("license line", r"(?i)licensed? under", "keep the notice"), ("table bar", r"\|", "render as cells"), ("upper run", r"[A-Z]{5,}", "check for shouting")]
+
+
+@query("f15_pattern_catalogue", " UNION ALL ".join(f"SELECT '{n}' AS construct, '{a}' AS advice, count(*) FILTER (len(m) > 0) AS documents, sum(len(m))::BIGINT AS matches FROM (SELECT regexp_extract_all(text, '{p}') AS m FROM documents)" for n, p, a in _RULES))
+def _(t: Tables):
+    return X.pattern_catalogue(t.documents, "doc_id", "text", _RULES)
+
+
+@query("f09_collated_distinct", "SELECT min(k) AS kind, count(*) AS rows FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS k FROM events) GROUP BY lower(k)")
+def _(t: Tables):
+    return X.collated_distinct(t.events.select(F.expr("CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END").alias("kind")), ["kind"])
+
+
+@query("f09_collated_join", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def _(t: Tables):
+    left = t.customer.join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.upper("n_name").alias("upper_name")), "c_nationkey").select("c_custkey", "upper_name")
+    return X.collated_join(left, t.nation.select("n_nationkey", F.lower("n_name").alias("lower_name")), ("upper_name", "lower_name")).select("c_custkey", "n_nationkey")
