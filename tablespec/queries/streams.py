@@ -1 +1,172 @@
+"""S08, R01-R11 and M02.
 
+The events table is split into files of a stream folder, in event order; results must
+equal those of one batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablespec.operators.diffs import table_diff
+from tablespec.paths import work_dir
+from tablespec.plans.apply import apply_table
+from tablespec.registry import Tables, query
+from tablespec.sources.scan import snapshot_load, stream_scan
+from tablespec.spec import Check, Column, ForeignKey, Partition, PartitionBy, Publication, TableSpec
+from tablespec.streaming import changes as C
+
+_FILES = 4
+
+
+def _stream(t: Tables, frame=None, max_files: int = 1, event_time: str | None = None, ordered: bool = False):
+    """A folder of files as a stream. Files of one write have no order between them; ordered writes
+    them one after the other, by event."""
+    rows = frame if frame is not None else t.events
+    path = f"{work_dir(t.spark)}/in"
+    placed = rows.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id")
+    if ordered:
+        placed = placed.withColumn("_p", F.spark_partition_id())
+        for i in range(_FILES):
+            placed.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
+    else:
+        placed.write.parquet(path)
+    return stream_scan(t.spark, path, rows.schema, max_files=max_files, event_time=event_time)
+
+
+def _out(t: Tables) -> tuple[str, str]:
+    root = work_dir(t.spark)
+    return f"{root}/out", f"{root}/state"
+
+
+_CHANGES = "SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, event_type AS kind, event_id % 7 AS level, (event_id + 3) % 7 AS old_level FROM events"
+
+
+def _changes(t: Tables):
+    return t.events.selectExpr("event_id", "user_id", "CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op", "event_type AS kind", "event_id % 7 AS level", "(event_id + 3) % 7 AS old_level")
+
+
+@query("s08_stream_scan", "SELECT event_id, event_type FROM events")
+def _(t: Tables):
+    return C.run_to_table(_stream(t).select("event_id", "event_type"), *_out(t))
+
+
+@query("r01_publish", f"SELECT op, event_id, level FROM ({_CHANGES}) WHERE op IN ('insert', 'update') AND level > 2")
+def _(t: Tables):
+    pub = Publication("active", ("events",), "level > 2", ("event_id", "level"), ("insert", "update"))
+    return C.run_to_table(C.publish(_stream(t, _changes(t)), pub, "events"), *_out(t))
+
+
+@query("r02_publish_transitions", f"SELECT event_id, CASE WHEN op = 'update' AND level > 3 AND old_level <= 3 THEN 'insert' WHEN op = 'update' AND level <= 3 AND old_level > 3 THEN 'delete' ELSE op END AS op FROM ({_CHANGES}) WHERE CASE op WHEN 'update' THEN level > 3 OR old_level > 3 WHEN 'delete' THEN old_level > 3 ELSE level > 3 END")
+def _(t: Tables):
+    return C.run_to_table(C.publish_transitions(_stream(t, _changes(t)), "level > 3", "old_level > 3").select("event_id", "op"), *_out(t))
+
+
+_LAST = f"SELECT user_id, event_id, kind FROM ({_CHANGES}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND op <> 'delete'"
+
+
+@query("r03_subscribe", f"SELECT * FROM ({_LAST}) UNION ALL SELECT -1, -1, 'initial'")
+def _(t: Tables):
+    root, state = _out(t)
+    schema = _changes(t).select("user_id", "event_id", "kind").schema
+    initial = t.region.limit(1).selectExpr("cast(-1 AS bigint) AS user_id", "cast(-1 AS bigint) AS event_id", "'initial' AS kind")
+    C.subscribe(_stream(t, _changes(t), ordered=True), root, "last", schema, ["user_id"], ["event_id"], state, initial).awaitTermination()
+    return snapshot_load(t.spark, root, "last", schema)
+
+
+@query("r04_before_row", f"SELECT event_id, CASE WHEN kind = 'click' THEN 'touch' ELSE kind END AS kind, CASE WHEN op = 'update' THEN level + 100 ELSE level END AS level FROM ({_CHANGES}) WHERE NOT (op = 'delete' AND level = 0)")
+def _(t: Tables):
+    rules = [("kind = 'click'", {"kind": "'touch'"}, None), ("op = 'delete'", {}, "level = 0"), ("op = 'update'", {"level": "level + 100"}, None)]
+    return C.run_to_table(C.before_row(_stream(t, _changes(t)), rules).select("event_id", "kind", "level"), *_out(t))
+
+
+@query("r04_instead_of", f"SELECT op, user_id AS id, upper(kind) AS label FROM ({_CHANGES}) WHERE level > 1")
+def _(t: Tables):
+    return C.run_to_table(C.instead_of(_stream(t, _changes(t)), {"users": ("level > 1", {"id": "user_id", "label": "upper(kind)"})})["users"], *_out(t))
+
+
+def _rocks(t: Tables) -> None:
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("r05_after_update_of", "SELECT event_id, user_id, event_type, old_event_type FROM (SELECT *, lag(event_type) OVER w AS old_event_type, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n > 1 AND event_type <> old_event_type AND event_type <> 'error'")
+def _(t: Tables):
+    _rocks(t)
+    stream = _stream(t, t.events.select("event_id", "user_id", "event_type"), ordered=True)
+    return C.run_to_table(C.after_update_of(stream, ["user_id"], ["event_type"], ["event_id"], "event_type <> 'error'"), *_out(t))
+
+
+@query("r06_statement_audit")
+def _(t: Tables):
+    root, state = _out(t)
+    rows = _changes(t).select("event_id", "user_id", "op", "level")
+    C.statement_audit(_stream(t, rows, ordered=True), root, "levels", rows.select("user_id", "level").schema, "user_id", ["event_id"], state, "level").awaitTermination()
+    return t.spark.read.parquet(f"{root}/levels_audit/*")
+
+
+_RULES = TableSpec("events", (Column("event_id", "bigint", False), Column("kind", "string", False)), checks=(Check("value_small", "value < 50"),), foreign_keys=(ForeignKey("known_user", ("user_id",), "customer", ("c_custkey",)),), enums={"kind": ("click", "purchase", "error", "signup")})
+
+
+@query("r07_enforce", "SELECT event_id, concat_ws(',', CASE WHEN event_type = 'view' THEN 'kind_not_null' END, CASE WHEN value >= 50 THEN 'value_small' END, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'kind_enum' END, CASE WHEN user_id % 3 = 0 THEN 'known_user' END) AS reasons FROM events")
+def _(t: Tables):
+    rows = t.events.select("event_id", "user_id", F.col("value"), F.expr("CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'bad' ELSE event_type END").alias("kind"))
+    root, state = _out(t)
+    parent = t.events.where("user_id % 3 <> 0").select(F.col("user_id").alias("c_custkey"))
+    C.enforce(_stream(t, rows), _RULES, f"{root}/good", f"{root}/bad", state, {"known_user": parent}).awaitTermination()
+    good = t.spark.read.parquet(f"{root}/good/*").select("event_id", F.lit("").alias("reasons"))
+    return good.unionByName(t.spark.read.parquet(f"{root}/bad/*").select("event_id", F.array_join("reasons", ",").alias("reasons")))
+
+
+@query("r08_unique_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t: Tables):
+    stream = _stream(t, t.events.select("event_id", "user_id", "event_type", "ts"), event_time="ts")
+    return C.run_to_table(C.unique_stream(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), *_out(t))
+
+
+@query("r08_duplicate_stream", "SELECT user_id, event_type, count(*) - 1 AS repeats FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t: Tables):
+    _rocks(t)
+    stream = _stream(t, t.events.select("event_id", "user_id", "event_type"))
+    found = C.run_to_table(C.duplicate_stream(stream, ["user_id", "event_type"]), *_out(t))
+    return found.groupBy("user_id", "event_type").agg(F.count("*").alias("repeats"))
+
+
+@query("r09_streaming_matview", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def _(t: Tables):
+    stream = _stream(t, event_time="ts")
+    aggs = [F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total")]
+    out = C.run_to_table(C.streaming_matview(stream, "ts", "1 day", aggs, "60 days", by=["event_type"]), *_out(t), mode="complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("r09_sessions", "SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY 1, 2) GROUP BY 1")
+def _(t: Tables):
+    stream = _stream(t, event_time="ts")
+    out = C.run_to_table(C.streaming_matview(stream, "ts", "2 hours", [F.count("*").alias("n")], "60 days", session=True, by=["user_id"]), *_out(t), mode="complete")
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+@query("r10_drift_stream", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'extra' ELSE 'alter' END AS op, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'event_type' END AS changed_cols FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0")
+def _(t: Tables):
+    declared = t.events.where("event_id % 5 <> 0").select("event_id", "user_id", F.expr("CASE WHEN event_id % 7 = 0 THEN 'other' ELSE event_type END").alias("event_type"))
+    return C.run_to_table(C.drift_stream(_stream(t), declared, ["event_id"], ["user_id", "event_type"]).select("event_id", "op", "changed_cols"), *_out(t))
+
+
+@query("r11_route_stream", "SELECT CASE WHEN event_type IN ('view', 'click') THEN 'seen' WHEN event_type = 'purchase' THEN 'sold' ELSE 'unrouted' END AS partition, count(*) AS rows FROM events GROUP BY 1")
+def _(t: Tables):
+    path, state = _out(t)
+    by = PartitionBy("list", ("event_type",), (Partition("seen", ("view", "click")), Partition("sold", ("purchase",))))
+    C.route_stream(_stream(t), by, path, state).awaitTermination()
+    return t.spark.read.parquet(path).groupBy("partition").agg(F.count("*").alias("rows"))
+
+
+_DESIRED = TableSpec("orders", (Column("id", "bigint", False), Column("cents", "bigint", using="round(o_totalprice * 100)"), Column("status", "string", default="'N'")), checks=(Check("positive", "cents >= 0"),), renames={"o_orderkey": "id", "o_orderstatus": "status"})
+
+
+@query("m02_apply_table", "SELECT o_orderkey AS id, round(o_totalprice * 100)::BIGINT AS cents, o_orderstatus AS status FROM orders")
+def _(t: Tables):
+    root = work_dir(t.spark)
+    applied = apply_table(t.orders, _DESIRED, root, allow_destructive=True)
+    again = apply_table(applied, TableSpec("orders", tuple(Column(c.name, c.type, c.nullable) for c in _DESIRED.columns), checks=_DESIRED.checks), root, allow_destructive=True)
+    assert table_diff(again, applied, ["id"]).isEmpty()
+    return again
