@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablespec.operators.diffs import table_diff
-from tablespec.paths import work_dir
+from tablespec.paths import work_dir, written
 from tablespec.plans.apply import apply_table
 from tablespec.registry import Tables, query
 from tablespec.sources.scan import snapshot_load, stream_scan
@@ -26,7 +26,7 @@ def _stream(t: Tables, frame=None, max_files: int = 1, event_time: str | None =
     path = f"{work_dir(t.spark)}/in"
     placed = rows.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id")
     if ordered:
-        placed = placed.withColumn("_p", F.spark_partition_id())
+        placed = written(placed.withColumn("_p", F.spark_partition_id()))  # range bounds are sampled anew by each job
         for i in range(_FILES):
             placed.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
     else:
