@@ -67,7 +67,7 @@ def _(t: Tables):
 @query("m06_infer_spec", """SELECT * FROM (VALUES ('event_id', 'bigint', FALSE, TRUE, TRUE, NULL), ('user', 'bigint', TRUE, FALSE, FALSE, NULL), ('kind', 'varchar(' || (SELECT max(length(event_type)) FROM events) || ')', FALSE, FALSE, FALSE, (SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) FROM events)), ('props', 'json', FALSE, FALSE, FALSE, NULL), ('day', 'date', FALSE, FALSE, FALSE, NULL)) v(column_name, inferred_type, nullable, unique_values, serial, labels)""")
 def _(t: Tables):
     rows = t.events.selectExpr("event_id", "nullif(cast(user_id AS string), '7') AS user", "event_type AS kind", "props", "cast(cast(ts AS date) AS string) AS day")
-    return S.infer_spec(rows)
+    return S.infer_spec(rows, enum_most=6)
 
 
 @query("m06_fk_candidates", "SELECT 'o_custkey' AS column_name, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans FROM orders UNION ALL SELECT 'o_orderkey', count(*) FILTER (o_orderkey NOT IN (SELECT c_custkey FROM customer)) FROM orders")
