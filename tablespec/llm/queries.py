@@ -14,6 +14,7 @@ from tablespec.llm import language
 from tablespec.llm import quality_model
 from tablespec.llm import topk
 from tablespec.llm import pitman_yor
+from tablespec.llm import html_text
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op1_topk_search": topk.op1_topk_search,
     "op4_lm_scoring": pitman_yor.op4_lm_scoring,
+    "op7_html_extraction": html_text.op7_html_extraction,
     "op8_packing": op8_packing,
 }
 
