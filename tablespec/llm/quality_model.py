@@ -1,8 +1,9 @@
 """Quality classifier: hashed word n-gram logistic regression trained with FTRL.
 
-Features are the distinct unigrams and bigrams of a text's words (A-Z
-lower-cased) and of their shapes (letter case, digits and marks at a word's
-ends), hashed to BUCKETS and scaled to unit length. Training follows the
+Features are the unigrams and bigrams of a text's words (A-Z lower-cased) and of
+their shapes (letter case, digits and marks at a word's ends; whether a word is
+the one before again), hashed to BUCKETS, weighed 1 + ln(count) and scaled to unit
+length. Training follows the
 regularised leader (FTRL-proximal) example by example within a shard of at most
 SHARD_DOCS documents; shards train apart and their weights are averaged by size,
 so nothing gathers on one machine. At most TRAIN_MOST labelled rows, chosen by
@@ -36,6 +37,7 @@ THRESHOLD = 0.3
 _SHAPE = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _SHAPE[97:123] = _SHAPE[128:] = 2
 _SHAPE[65:91], _SHAPE[48:58] = 3, 4
+AGAIN = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _pairs(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,24 +45,28 @@ def _pairs(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.mix(h[same] * words._K[0] + h[same + 1] * words._K[1]), owner[same]
 
 
-def features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, row offsets, feature numbers): distinct and ascending within a row."""
+def features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, row offsets, feature numbers, their values), ascending within a row."""
+    size = np.uint64(BUCKETS)
     for c in words.chunks(col):
-        owner = c.owner()
+        owner, rows = c.owner(), c.hi - c.lo
         last = c.ends - 1
         shape = _SHAPE[c.data[c.starts]]
         for back in range(3):
             shape = shape * np.uint64(263) + np.where(last - back >= c.starts, _SHAPE[c.data[np.maximum(last - back, 0)]], np.uint64(0))
         shape = words.mix(shape)
-        parts = [(c.hashes, owner), _pairs(c.hashes, owner), (words.mix(shape + np.uint64(1)), owner), _pairs(shape, owner)]
-        h = np.concatenate([p[0] for p in parts]) % np.uint64(BUCKETS)
-        key = np.unique(np.concatenate([p[1] for p in parts]).astype(np.uint64) * np.uint64(BUCKETS) + h)
-        rows = c.hi - c.lo
-        yield c.lo, c.hi, np.searchsorted(key, np.arange(rows + 1, dtype=np.uint64) * np.uint64(BUCKETS)), (key % np.uint64(BUCKETS)).astype(np.int32)
-
-
-def ftrl(examples: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the last is the bias) after the given passes over (features, label)."""
+        again = np.flatnonzero((owner[1:] == owner[:-1]) & (c.hashes[1:] == c.hashes[:-1]))
+        parts = [(c.hashes, owner), _pairs(c.hashes, owner), (words.mix(shape + np.uint64(1)), owner), _pairs(shape, owner), (np.full(len(again), AGAIN), owner[again])]
+        h = np.concatenate([p[0] for p in parts]) % size
+        key, n = np.unique(np.concatenate([p[1] for p in parts]).astype(np.uint64) * size + h, return_counts=True)
+        off = np.searchsorted(key, np.arange(rows + 1, dtype=np.uint64) * size)
+        x = 1 + np.log(n)
+        length = np.sqrt(np.diff(np.concatenate([[0.0], np.cumsum(x * x)])[off]))
+        yield c.lo, c.hi, off, (key % size).astype(np.int32), (x / np.repeat(np.maximum(length, 1e-9), np.diff(off))).astype(np.float32)
+
+
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (the last is the bias) after the given passes over (features, values, label)."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -70,10 +76,8 @@ def ftrl(examples: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> np.n
         return w
 
     for _ in range(epochs):
-        for f, y in examples:
-            i = np.append(f, BUCKETS)
-            x = np.full(len(i), 1 / np.sqrt(max(1, len(f))))
-            x[-1] = 1
+        for f, v, y in examples:
+            i, x = np.append(f, BUCKETS), np.append(v, 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             ni = n[i]
@@ -93,19 +97,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, off, f in features(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(f))], names=["k", "y", "f"])
+            for lo, hi, off, f, x in features(batch.column(1)):
+                at = pa.array(off.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(f)), pa.ListArray.from_arrays(at, pa.array(x))], names=["k", "y", "f", "x"])
 
     def fit(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("k").to_numpy(), kind="stable")
-        f, y = table.column("f").combine_chunks(), table.column("y").to_numpy()
+        f, x, y = table.column("f").combine_chunks(), table.column("x").combine_chunks().flatten().to_numpy(), table.column("y").to_numpy()
         flat, off = f.flatten().to_numpy(), f.offsets.to_numpy() - f.offsets[0].as_py()
-        w = ftrl([(flat[off[i] : off[i + 1]], y[i]) for i in order.tolist()])
+        w = ftrl([(flat[off[i] : off[i + 1]], x[off[i] : off[i + 1]], y[i]) for i in order.tolist()])
         used = np.flatnonzero(w)
         return pa.table({"i": pa.array(used, pa.int64()), "w": pa.array(w[used] * len(y))})
 
     rows = docs.join(chosen, docs[id_col] == F.col("id")).select(F.xxhash64("id", F.col(text_col)).alias("k"), F.col(text_col).alias("text"), "y")
-    found = rows.mapInArrow(extract, "k long, y double, f array<int>").withColumn("shard", F.pmod("k", F.lit(shards)))
+    found = rows.mapInArrow(extract, "k long, y double, f array<int>, x array<float>").withColumn("shard", F.pmod("k", F.lit(shards)))
     learned = found.groupBy("shard").applyInArrow(fit_with_count(fit), "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
     weights = np.zeros(BUCKETS + 2)
     weights[learned.column("i").to_numpy()] = learned.column("w").to_numpy()
@@ -131,9 +136,8 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", carry: t
         w = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, off, f in features(batch.column(0)):
-                sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])[off]
-                out[lo:hi] = np.diff(sums) / np.sqrt(np.maximum(1, np.diff(off))) + w[BUCKETS]
+            for lo, hi, off, f, x in features(batch.column(0)):
+                out[lo:hi] = np.diff(np.concatenate([[0.0], np.cumsum(w[f] * x, dtype=np.float64)])[off]) + w[BUCKETS]
             yield pa.RecordBatch.from_arrays([*(batch.column(k + 1) for k in range(len(names))), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*names, "score"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema.fields[1:])
