@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tablespec.llm.shared import written
 
 BLOCK = 32
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -117,7 +117,7 @@ s6 AS (SELECT *, greatest(target - epochs * source_size, 0.0) AS rest, ceil(sour
 s7 AS (SELECT *, floor(sum(rest) OVER () / 32.0 + 0.5)::BIGINT AS all_seats FROM s6),
 seat AS (SELECT n, all_seats, unnest(range(1, blocks + 1)) AS t, rest FROM s7 WHERE rest > 0),
 won AS (SELECT n, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY rest / (2 * t - 1) DESC, n, t) AS r FROM seat) WHERE r <= all_seats GROUP BY n),
-p AS (SELECT s7.*, coalesce(won.seats, 0) AS seats, greatest(ceil(source_size / 4194304.0), 1)::BIGINT AS shards FROM s7 LEFT JOIN won USING (n)),
+p AS (SELECT s7.*, coalesce(won.seats, 0) AS seats, greatest(ceil(source_size / 262144.0), 1)::BIGINT AS shards FROM s7 LEFT JOIN won USING (n)),
 x AS (SELECT d.doc_id, d.size, d.k, d.src, p.source_size, p.target, p.epochs, p.seats, d.k % p.shards AS shard FROM d JOIN p USING (src)),
 sh AS (SELECT src, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS seats, ceil(sum(size) / 32.0)::BIGINT AS nb FROM x GROUP BY ALL),
 shseat AS (SELECT src, shard, seats, shard_size, unnest(range(1, nb + 1)) AS t FROM sh),
