@@ -4,7 +4,7 @@ Each stage takes all rows its predecessor kept and returns the columns of
 documents; the last returns pieces of packed windows. ``run`` writes each stage to
 the shared folder and reads it again.
 
-quality rules   documents that fail the rules go
+quality rules   documents that fail the rules go, and lines common on their host
 jaccard join    of each near-duplicate group (5-word shingles, 0.8) the document
                 with the longest text stays, ties to the least id
 secret scan     live-looking credentials are replaced by a placeholder
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablespec.llm.jaccard import jaccard_groups
 from tablespec.llm.mixing import mix_sources, seeded
 from tablespec.llm.packing import pack_documents, public_byte_bpe
-from tablespec.llm.quality_rules import quality_rules
+from tablespec.llm.quality_rules import clean_documents
 from tablespec.llm.secrets import scan_secrets
 from tablespec.llm.shared import written
 
@@ -37,10 +37,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or are depleted of lines of their own."""
-    docs = _keyed(docs)
-    rejected = quality_rules(docs, id_col="_k").where("not kept").select("_k").distinct()
-    return docs.join(rejected, "_k", "left_anti").select(*COLUMNS)
+    """Rejects documents that fail the base rules or are depleted of lines of their own, and removes common lines."""
+    return clean_documents(docs.select(*COLUMNS))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ text count once, so plain copies never make their own lines look like furniture.
 A line is removed on a host where more than max(MIN_DOCS, HOST_SHARE of the
 host's distinct texts) documents hold it. A document is depleted, and not kept,
 if removal takes at least DEPLETED_SHARE of its words and leaves fewer than
-MIN_WORDS.
+MIN_WORDS. ``quality_rules`` judges the rows; ``clean_documents`` gives the kept rows
+with the text that removal leaves: the other lines, joined as they were.
 
 Null and empty texts have no words and fail the base rule. A null host is a host
 of its own. Repeated rows and ids each keep their row. Empty tables give none.
@@ -96,11 +97,70 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid += batch.num_rows
 
 
+def _without(col: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines whose normalised hashes are listed for the row."""
+    listed, at = gone.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(gone.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    parts = []
+    for c in words.chunks(col, lower=False):
+        rows = c.hi - c.lo
+        starts, ends, owner, a, b, _ = _lines(c)
+        normal = words.hash_runs(c.data, c.starts[a], c.ends[b - 1], lower=True) if len(a) else np.zeros(0, np.uint64)
+        whose = np.repeat(np.arange(rows), np.diff(at[c.lo : c.hi + 1])).astype(np.uint64)
+        cut = np.isin(words.mix(normal + owner.astype(np.uint64) * _ROW), words.mix(listed[at[c.lo] : at[c.hi]] + whose * _ROW))
+        starts, ends, owner = starts[cut], ends[cut], owner[cut]
+        # a line goes with the line break before it; the first line of a text has none
+        head = starts == c.off[owner]
+        edge = np.zeros(len(c.data) + 1, np.int64)
+        np.add.at(edge, starts - ~head, 1)
+        np.add.at(edge, ends, -1)
+        keep = np.cumsum(edge[:-1]) == 0
+        left = np.flatnonzero(keep)
+        first = np.searchsorted(left, c.off[owner[head]])
+        inside = first < np.searchsorted(left, c.off[owner[head] + 1])
+        keep[left[first[inside]]] = False
+        off = np.concatenate([[0], np.cumsum(keep)])[c.off].astype(np.int64)
+        parts.append(pa.LargeStringArray.from_buffers(rows, pa.py_buffer(off.tobytes()), pa.py_buffer(c.data[keep].tobytes())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
+
+
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (text, removed line hashes or null, ...) without the second column and those lines."""
+    for batch in batches:
+        text, gone = batch.column(0).cast(pa.large_string()), batch.column(1)
+        pick = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+        if len(pick):
+            order = np.arange(len(text))
+            order[pick] = len(text) + np.arange(len(pick))
+            text = pa.concat_arrays([text, _without(text.take(pa.array(pick)), gone.take(pa.array(pick)))]).take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([text.cast(pa.string()), *(batch.column(k) for k in range(2, batch.num_columns))], names=[batch.schema.names[0], *batch.schema.names[2:]])
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: tuple[str, ...] = (),
     min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, depleted_share: float = DEPLETED_SHARE, min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Per document: id, the measures, base_failed, removed_words and kept; carry adds input columns."""
+    return _judged(docs, id_col, text_col, host_col, carry, min_docs, host_share, depleted_share, min_words).drop("removed_lines")
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
+    """The kept rows, all columns: the text without its common lines, and its length where lines went.
+
+    Decisions are made without the texts' rows and joined by a key; rows equal in id, text and host share it."""
+    host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null"))
+    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col, host))
+    judged = _judged(keyed, "_key", text_col, host_col, (), *(limits.get(k, v) for k, v in (("min_docs", MIN_DOCS), ("host_share", HOST_SHARE), ("depleted_share", DEPLETED_SHARE), ("min_words", MIN_WORDS))))
+    changes = judged.where("not kept or removed_lines is not null").groupBy("_key").agg(F.first("kept").alias("_kept"), F.first("removed_lines").alias("_gone"))
+    left = keyed.join(changes, "_key", "left").where(F.coalesce("_kept", F.lit(True)))
+    others = [c for c in docs.columns if c != text_col]
+    source = left.select(text_col, "_gone", F.col("_gone").isNotNull().alias("_cut"), *others)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_gone")
+    cleaned = source.mapInArrow(_clean, kinds)
+    return cleaned.withColumn(chars_col, F.when(F.col("_cut"), F.length(text_col).cast("long")).otherwise(F.col(chars_col))).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: tuple[str, ...], min_docs: int, host_share: float, depleted_share: float, min_words: int) -> DataFrame:
+    """What quality_rules returns, and removed_lines: the hashes of the row's common lines."""
     names = {f"_in{k}": c for k, c in enumerate((id_col, *carry))}
     source = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), *(F.col(c).alias(k) for k, c in names.items()))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
@@ -112,13 +172,13 @@ def quality_rules(
         lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
         .join(texts, "host").where(F.col("docs") > F.col("share")).select("host", "line_hash")
     )
-    removed = lines.join(common, ["host", "line_hash"], "left_semi").groupBy("rid").agg(F.sum("line_words").alias("removed_words"))
+    removed = lines.join(common, ["host", "line_hash"], "left_semi").groupBy("rid").agg(F.sum("line_words").alias("removed_words"), F.collect_list("line_hash").alias("removed_lines"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     taken = F.coalesce(F.col("removed_words"), F.lit(0))
     depleted = (taken >= depleted_share * F.col("n_words")) & (F.col("n_words") - taken < min_words)
     return measured.join(removed, "rid", "left").select(
         *(F.col(k).alias(c) for k, c in names.items()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), taken.alias("removed_words"), (~base_failed & ~depleted).alias("kept"),
+        base_failed.alias("base_failed"), taken.alias("removed_words"), (~base_failed & ~depleted).alias("kept"), "removed_lines",
     )
 
 

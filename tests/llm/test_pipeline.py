@@ -40,6 +40,13 @@ def test_each_stage_takes_effect(spark):
     assert {r.source for r in mixed} == {r.source for r in ruled.collect()}
 
 
+def test_quality_stage_removes_common_lines(spark):
+    line = text(7777, 25)
+    docs = frame(spark, [(i, f"{line}\n{text(i, 60)}", "en", "h") for i in range(60)])
+    got = C.quality_stage(spark, docs, "").collect()
+    assert len(got) == 60 and all(r.text == text(r.doc_id, 60) and r.n_chars == len(r.text) for r in got)
+
+
 def test_run_gives_windows(spark, tmp_path):
     got = C.run(spark, table(spark, corpus(), tmp_path)).collect()
     assert got and all(0 < r.length <= 1024 and r.sequence_tokens <= 1024 for r in got)

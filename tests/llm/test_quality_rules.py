@@ -44,6 +44,26 @@ def test_common_lines_deplete(spark):
     assert all(got[200 + i].kept for i in range(80))
 
 
+def test_common_lines_are_removed_from_the_text(spark):
+    """Against plain splitting, with common lines first, last, alone and twice, and blank lines between."""
+    line, other = text(7777, 25), "Ünder the é bar"
+    shapes = ["{a}\n{t}", "{t}\n{a}", "{t}\n\n{b}\n{a}", "  {a} \n\n{t}\n{b}\n", "{b}\n{A}\n{t}\n{b}", "\n{b}\n{t}\r\n{a}\r\n"]
+    rows = [(i, shapes[i % 6].format(a=line, b=other, A=line.upper(), t=text(i, 60)), "en", "h" if i % 3 else None) for i in range(240)]
+    rows += [(1000 + i, f"{line}\n{text(i, 8)}", "en", "h") for i in range(30)] + [(2000 + i, f"{line}\n{text(i, 60)}", "en", "small") for i in range(5)]
+    rows += [rows[0], (rows[1][0], rows[1][1], "en", "small")]
+    common = {line, "Ünder the é bar"}
+    fold = lambda x: x.strip(" \t\v\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    want = []
+    for i, x, _, host in rows:
+        if not 1000 <= i < 2000:
+            want.append((i, host, x if host == "small" else "\n".join(p for p in x.split("\n") if fold(p) not in common)))
+    got = Q.clean_documents(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    got = got.collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.source, r.text)) for r in got)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_no_rows(spark):
     assert Q.quality_rules(frame(spark, awkward()).limit(0)).count() == 0
 
