@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablespec.llm.jaccard import jaccard_groups
-from tablespec.llm.mixing import mix_sources, seeded
+from tablespec.llm.mixing import mix_sources, whole_copies
 from tablespec.llm.packing import pack_documents, public_byte_bpe
 from tablespec.llm.quality_rules import clean_documents
 from tablespec.llm.secrets import scan_secrets
@@ -73,12 +73,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document floor(taken / size) times and once more with the seeded chance of the rest."""
-    docs = _keyed(docs)
-    share = F.coalesce(F.col("taken") / F.nullif("size", F.lit(0)), F.lit(1.0))
-    draw = F.pmod(seeded(F.col("_k"), F.lit("copy")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = (F.floor(share) + (draw < share - F.floor(share)).cast("long")).cast("int")
-    taken = mix_sources(docs, id_col="_k").groupBy("_k").agg(F.max(times).alias("times")).where("times > 0")
+    """Takes whole copies of each document, so that a source's words stay within its largest one of the mix.
+
+    Rows equal in id, text and source count as one document."""
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).alias("_k"))
+    mixed = mix_sources(docs, id_col="_k", carry=("source",)).groupBy("_k").agg(F.first("source").alias("source"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    taken = whole_copies(mixed, "_k").where("times > 0")
     return docs.join(taken, "_k").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select(*COLUMNS)
 
 

@@ -25,6 +25,7 @@ SHARD_WORDS = 1 << 18
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+COPY = 1 << 30
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,6 +100,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return laid.select(*(F.col(k).alias(c) for k, c in names.items()), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def whole_copies(mixed: DataFrame, id_col: str) -> DataFrame:
+    """Id and times, the whole copies to take, for rows (id, source, size, taken) with ids of their own.
+
+    Shares taken / size are summed along each source in order of size, then of the
+    seed; a copy falls where the sum passes a half. So each row gets its share rounded
+    up or down, and as the sum is never off by more than half a copy and sizes only
+    ascend, a source's words stay within its largest row of those taken. Rows of size
+    0 have one copy."""
+    share = F.coalesce(F.round(F.col("taken") * F.lit(float(COPY)) / F.nullif("size", F.lit(0))).cast("long"), F.lit(COPY).cast("long"))
+    src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+    rows = mixed.select(F.col(id_col).alias("id"), src.alias("src"), "size", seeded(F.col(id_col), F.lit("copy")).alias("k"), share.alias("share"))
+    ranged = written(rows.repartitionByRange("src", "size", "k", "id").withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("src", "part").agg(F.sum("share").alias("all")).select("src", "part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("offset"))
+    line = Window.partitionBy("src", "part").orderBy("size", "k", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("offset") + F.col("running") + F.lit(COPY // 2)
+    times = F.shiftright(end, 30) - F.shiftright(end - F.col("share"), 30)
+    return ranged.withColumn("running", F.sum("share").over(line)).join(offsets, ["src", "part"]).select(F.col("id").alias(id_col), times.cast("int").alias("times"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

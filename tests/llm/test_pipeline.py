@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline as C
+from tablespec.llm.mixing import BLOCK, mix_sources
 from tablespec.llm.shared import written
 from tests.llm.common import awkward, frame, table, text
 
@@ -47,6 +48,22 @@ def test_quality_stage_removes_common_lines(spark):
     assert len(got) == 60 and all(r.text == text(r.doc_id, 60) and r.n_chars == len(r.text) for r in got)
 
 
+def test_mixing_stage_keeps_each_source_near_its_words(spark):
+    """Within its largest document, whether it has many documents, few, or one that is very long."""
+    rows = [(i, text(i, 50 + i % 150), "en", f"s{i % 5}") for i in range(1000)] + [(2000 + i, text(i, 100), "en", "t") for i in range(6)] + [(3000, text(5, 9000), "en", "s1"), (3001, text(6, 70), "en", None)]
+    docs = frame(spark, rows)
+    want, most, got, times = Counter(), Counter(), Counter(), Counter()
+    for r in mix_sources(docs, carry=("source",)).collect():
+        want[r.source] += r.taken
+        most[r.source] = max(most[r.source], r["size"])
+    for r in C.mixing_stage(spark, docs, "").collect():
+        got[r.source] += len(r.text.split())
+        times[r.doc_id] += 1
+    # the stage seeds by its own key: what it takes of a source differs by some blocks
+    assert all(abs(got[s] - want[s]) <= most[s] + 3 * BLOCK for s in want)
+    assert max(times.values()) <= 3
+
+
 def test_run_gives_windows(spark, tmp_path):
     got = C.run(spark, table(spark, corpus(), tmp_path)).collect()
     assert got and all(0 < r.length <= 1024 and r.sequence_tokens <= 1024 for r in got)
