@@ -44,6 +44,22 @@ class Plain(HTMLParser):
             self.words += data.split()
 
 
+QUOTES = [
+    ("<a title=John's>shown text that isn't hidden</a>", "shown text that isn't hidden"), ("<a title=John's>shown</a>", "shown"),
+    ("<p title=John's hidden>no</p>it's", "it's"), ('<a href=x?q="1>shown</a> "end"', 'shown "end"'), ("<a b=\"x\"'>shown</a> it's", "shown it's"),
+    ("<div title=\"a>b\" hidden>no</div>yes", "yes"), ("<div title = 'a>\"b' hidden>no</div>yes", "yes"), ("<b =\"x>y</b> \"z\"", 'y "z"'), ("<a href=/y/>x</a>", "x"),
+]
+
+
+@pytest.mark.parametrize("page, want", QUOTES)
+def test_quotes_open_strings_only_where_a_value_begins(page, want):
+    assert H.render(page) == want
+
+
+def test_long_tag_without_an_end():
+    assert H.render("x <a " + "b " * 20000 + "='" * 2000) == "x"
+
+
 def random_page(r, depth=0):
     out = []
     for _ in range(r.randint(1, 4)):
