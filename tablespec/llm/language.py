@@ -45,7 +45,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tu
     word = np.repeat(np.arange(len(starts)), many)
     at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
     edge = np.append(lead, len(data))
-    return words.mix(words.hash_runs(data, edge[at], edge[at + n], lower=True) + np.uint64(n)), word
+    return words.mix(words.hash_short(data, edge[at], edge[at + n], lower=True) + np.uint64(n)), word
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
