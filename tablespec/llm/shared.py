@@ -35,6 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def count_floor(counts: DataFrame, col: str, most: int) -> int:
+    """The least count such that at most this many rows have it or more, from a histogram of the counts."""
+    by_count = counts.groupBy(col).agg(F.count("*").alias("_rows")).select(F.col(col).alias("c"), F.ceil(F.log2(col) * 16).alias("step"), "_rows")
+    floor, held = None, 0
+    for r in by_count.groupBy("step").agg(F.min("c").alias("c"), F.sum("_rows").alias("n")).orderBy(F.desc("step")).collect():
+        held += r.n
+        if held > most:
+            return floor if floor is not None else r.c + 1
+        floor = r.c
+    return floor if floor is not None else 0
+
+
 def crc_fold(col: str, folds: int):
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
