@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablespec.operators.constraints import union_all
+from tablespec.paths import written
 
 #: fixed values: token classes in the order in which they are tried
 TOKEN_CLASSES = (
@@ -26,32 +29,51 @@ TOKEN_SHAPES = (("hex40", r"\b[0-9a-f]{40}\b"), ("card16", r"\b[0-9]{16}\b"), ("
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, token, class): each token once, by the first class that matches it whole."""
     found = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ANY_TOKEN), F.lit(0))).alias("position", "token"))
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(TOKEN_CLASSES):
-        kind = F.when(F.col("token").rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
-    return found.withColumn("class", kind)
+    # a mark tells the class of what the pattern found, without a second match
+    t = F.col("token")
+    kind = F.when(F.contains(t, F.lit("://")), "url").when(F.contains(t, F.lit("@")), "email").when(F.contains(t, F.lit("-")), "hyphen").when((F.substring(t, 1, 1) >= "0") & (F.substring(t, 1, 1) <= "9"), "number")
+    return found.withColumn("class", kind.otherwise("word"))
+
+
+def _accented(last: int = 0x0250) -> tuple[str, str]:
+    """Letters with accents below a code point, and their base letters, by canonical decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, last)]
+    pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unaccent(text: Column) -> Column:
+    return F.translate(text, *_accented())
+
 
+def text_vector(docs: DataFrame, key: str, text: str, stop_words: DataFrame | None = None, synonyms: DataFrame | None = None, stem: Column | None = None, classes: tuple[str, ...] = ("word", "number", "hyphen"), chains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, term, positions, n) after lower case, hyphen parts and the dictionary chain of the token's
+    class: unaccent, stop words (word), synonyms (word, term) and a stem expression over ``term``.
 
-def text_vector(docs: DataFrame, key: str, text: str, stop_words: DataFrame | None = None, synonyms: DataFrame | None = None, stem: Column | None = None, classes: tuple[str, ...] = ("word", "number", "hyphen")) -> DataFrame:
-    """(key, term, positions, n) after the chain lower case, hyphen parts, stop words (word),
-    synonyms (word, term) and an optional stem expression over ``term``."""
+    chains names the steps of each class; without it every class takes all given dictionaries."""
+    steps = chains if chains is not None else {c: ("stop", "synonyms", "stem") for c in classes}
+    takes = lambda step: F.col("class").isin(*[c for c in classes if step in steps.get(c, ())])
     rows = tokens(docs, key, text).where(F.col("class").isin(*classes))
     parts = F.when(F.col("class") == "hyphen", F.concat(F.array("token"), F.split("token", "-"))).otherwise(F.array("token"))
-    terms = rows.select(key, "position", F.explode(parts).alias("term")).withColumn("term", F.lower("term"))
+    terms = rows.select(key, "position", "class", F.explode(parts).alias("term")).withColumn("term", F.lower("term"))
+    if any("unaccent" in c for c in steps.values()):
+        terms = terms.withColumn("term", F.when(takes("unaccent"), unaccent(F.col("term"))).otherwise(F.col("term")))
     if stop_words is not None:
-        terms = terms.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti")
+        terms = terms.join(stop_words.select(F.col("word").alias("_stop")), (F.col("term") == F.col("_stop")) & takes("stop"), "left_anti")
     if synonyms is not None:
-        other = synonyms.select(F.col("word").alias("term"), F.col("term").alias("_to"))
-        terms = terms.join(other, "term", "left").withColumn("term", F.coalesce("_to", "term")).drop("_to")
+        other = synonyms.select(F.col("word").alias("_from"), F.col("term").alias("_to"))
+        terms = terms.join(other, (F.col("term") == F.col("_from")) & takes("synonyms"), "left").withColumn("term", F.coalesce("_to", "term")).drop("_from", "_to")
     if stem is not None:
-        terms = terms.withColumn("term", stem)
+        terms = terms.withColumn("term", F.when(takes("stem"), stem).otherwise(F.col("term")))
     return terms.groupBy(key, "term").agg(F.array_sort(F.collect_set("position")).alias("positions")).withColumn("n", F.size("positions"))
 
 
 def text_index(vectors: DataFrame, key: str) -> DataFrame:
     """(term, key, n, positions, df): postings laid out by term, with document frequencies.
 
-    A frequent term's postings stay rows, so no list of all its documents is ever built."""
+    A frequent term's postings stay rows, so no list of all its documents is ever built. The vectors are
+    written once and read twice: for the counts and for the postings."""
+    vectors = written(vectors)
     df = vectors.groupBy("term").agg(F.count("*").alias("df"))
     return vectors.join(df, "term").select("term", key, "n", "positions", "df")
 

@@ -5,21 +5,29 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablespec.operators.constraints import union_all
 
 AUDIT = ["column_name", "from_type", "to_type", "rows", "cast_failures", "truncated", "rounded", "overflowed"]
 
-#: fixed values: conversions that lose nothing
+#: fixed values: conversions that lose nothing, beside integers to decimals that are wide enough
 LOSSLESS = {
-    ("smallint", "int"), ("smallint", "bigint"), ("smallint", "real"), ("smallint", "double"), ("smallint", "decimal"),
-    ("int", "bigint"), ("int", "double"), ("int", "decimal"), ("bigint", "decimal"), ("float", "double"), ("real", "double"),
+    ("tinyint", "smallint"), ("tinyint", "int"), ("tinyint", "bigint"), ("tinyint", "float"), ("tinyint", "real"), ("tinyint", "double"),
+    ("smallint", "int"), ("smallint", "bigint"), ("smallint", "float"), ("smallint", "real"), ("smallint", "double"),
+    ("int", "bigint"), ("int", "double"), ("float", "double"), ("real", "double"),
     ("date", "timestamp"), ("date", "timestamp_ntz"), ("timestamp_ntz", "timestamp"), ("varchar", "string"), ("char", "string"), ("string", "varchar"),
 }
 
 
+#: fixed values: decimal digits that hold every value of an integer type, and the decimal without modifiers
+INTEGER_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+PLAIN_DECIMAL = (10, 0)
+
+
 @dataclass(frozen=True)
 class TypeMod:
     base: str
@@ -31,7 +39,11 @@ def parse_type(text: str) -> TypeMod:
     """The base name, the modifiers and whether it is an array."""
     m = re.fullmatch(r"\s*([a-z_ ]+?)\s*(?:\(([\d, ]+)\))?\s*((?:\[\])*)\s*", text.lower())
     if not m:
-        raise ValueError(f"not a type: {text}")
+        try:
+            kind = T.DataType.fromDDL(text)
+        except (ParseException, AnalysisException) as e:
+            raise ValueError(f"not a type: {text}") from e
+        return TypeMod(kind.simpleString(), (), isinstance(kind, T.ArrayType))
     return TypeMod(m[1], tuple(int(x) for x in m[2].split(",")) if m[2] else (), bool(m[3]))
 
 
@@ -56,7 +68,14 @@ def is_widening(old: str, new: str) -> bool:
 
 def is_lossless(old: str, new: str) -> bool:
     a, b = parse_type(old), parse_type(new)
-    return not a.array and not b.array and (a == b or is_widening(old, new) or (a.base, b.base) in LOSSLESS and not b.args)
+    if a == b:
+        return True
+    if a.array or b.array:
+        return False
+    if a.base in INTEGER_DIGITS and b.base in ("decimal", "numeric"):
+        precision, scale = (*(b.args or PLAIN_DECIMAL), 0)[:2]
+        return precision - scale >= INTEGER_DIGITS[a.base]
+    return is_widening(old, new) or (a.base, b.base) in LOSSLESS and not b.args
 
 
 def _audit_row(df: DataFrame, col: str, old: str, new: str, **bad: Column) -> DataFrame:
@@ -104,12 +123,11 @@ def typmod_audit(df: DataFrame, col: str, old: str, new: str) -> DataFrame:
         bad["truncated"] = F.length(value) != (b.args or (1,))[0]
     elif b.base in ("numeric", "decimal") and b.args:
         p, s = (*b.args, 0)[:2]
-        kept = F.round(value.cast("decimal(38,12)"), s)
-        fits = F.abs(kept) < F.lit(10 ** (p - s)).cast("decimal(38,0)")
-        bad = {"overflowed": ~fits, "rounded": fits & (kept != value.cast("decimal(38,12)"))}
+        exact = value if isinstance(df.schema[col].dataType, T.DecimalType) else value.try_cast("decimal(38,12)")
+        kept = exact.try_cast(f"decimal({p},{s})")
+        bad = {"overflowed": value.isNotNull() & kept.isNull(), "rounded": kept.isNotNull() & (kept != exact)}
     elif b.base in ("time", "timestamp", "timestamptz") and b.args:
-        unit = {0: "SECOND", 3: "MILLISECOND", 6: "MICROSECOND"}[b.args[0]]
-        bad["truncated"] = F.date_trunc(unit, value.cast("timestamp")) != value.cast("timestamp")
+        bad["truncated"] = F.pmod(F.unix_micros(value.cast("timestamp")), F.lit(10 ** max(0, 6 - b.args[0]))) != 0
     return _audit_row(df, col, old, new, **bad)
 
 

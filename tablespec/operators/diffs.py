@@ -1,7 +1,8 @@
 """Keyed differences between a desired and a current table.
 
-Null equals null. Both sides are reduced to their key, a row hash and the compared
-columns before the one full outer join; equal hashes skip the column comparison.
+Null equals null. Both sides are reduced to their key and the compared columns before
+the one full outer join; values are compared themselves, never by a hash. Tables that
+hold only their keys differ by keys alone.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from tablespec.operators.constraints import all_of
 
 
 def _sides(desired: DataFrame, current: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    side = lambda df, s: df.select(*(F.col(k).alias(f"{s}{i}") for i, k in enumerate(keys)), F.struct(*cols).alias(f"{s}row"), F.xxhash64(*cols).alias(f"{s}hash"))
+    side = lambda df, s: df.select(*(F.col(k).alias(f"{s}{i}") for i, k in enumerate(keys)), F.struct(*cols, F.lit(True).alias("_in")).alias(f"{s}row"))
     d, c = side(desired, "_d"), side(current, "_c")
     both = d.join(c, all_of([F.col(f"_d{i}").eqNullSafe(F.col(f"_c{i}")) for i in range(len(keys))]), "full_outer")
-    return both.select(*(F.coalesce(f"_d{i}", f"_c{i}").alias(k) for i, k in enumerate(keys)), "_drow", "_crow", "_dhash", "_chash")
+    return both.select(*(F.coalesce(f"_d{i}", f"_c{i}").alias(k) for i, k in enumerate(keys)), "_drow", "_crow")
 
 
 def _compared(desired: DataFrame, current: DataFrame, keys: list[str], cols: list[str] | None) -> list[str]:
@@ -33,16 +34,16 @@ def table_diff(desired: DataFrame, current: DataFrame, keys: list[str], cols: li
     """(keys, op, changed_cols) for keys that are to be created, dropped or altered."""
     cols = _compared(desired, current, keys, cols)
     both = _sides(desired, current, keys, cols)
-    different = both.where(F.col("_dhash").isNull() | F.col("_chash").isNull() | (F.col("_dhash") != F.col("_chash")))
-    op = F.when(F.col("_chash").isNull(), "create").when(F.col("_dhash").isNull(), "drop").otherwise("alter")
-    changed = F.when(op == "alter", F.array_join(_changed(cols), ",")).otherwise(F.lit(""))
+    different = both.where(~F.col("_drow").eqNullSafe(F.col("_crow")))
+    op = F.when(F.col("_crow").isNull(), "create").when(F.col("_drow").isNull(), "drop").otherwise("alter")
+    changed = F.when(op == "alter", F.array_join(_changed(cols), ",")).otherwise(F.lit("")) if cols else F.lit("")
     return different.select(*keys, op.alias("op"), changed.alias("changed_cols"))
 
 
 def cell_diff(desired: DataFrame, current: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
     """(keys, column_name, old_value, new_value) for each changed cell of a key on both sides."""
     cols = _compared(desired, current, keys, cols)
-    both = _sides(desired, current, keys, cols).where(F.col("_dhash") != F.col("_chash"))
+    both = _sides(desired, current, keys, cols).where(F.col("_drow").isNotNull() & F.col("_crow").isNotNull() & ~F.col("_drow").eqNullSafe(F.col("_crow")))
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_crow.{c}").cast("string").alias("old_value"), F.col(f"_drow.{c}").cast("string").alias("new_value"), (~F.col(f"_drow.{c}").eqNullSafe(F.col(f"_crow.{c}"))).alias("differs")) for c in cols))
     return both.select(*keys, F.explode(F.filter(cells, lambda x: x["differs"])).alias("x")).select(*keys, "x.column_name", "x.old_value", "x.new_value")
 

@@ -47,16 +47,19 @@ def recursive_view(base: DataFrame, edges: DataFrame, max_depth: int = 100, unio
 def dependency_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, level): 1 for nodes without dependencies, else 1 + the highest level they depend on.
 
-    edges are (node, needs); nodes on or behind a cycle get no level and are left out."""
+    edges are (node, needs); nodes on or behind a cycle get no level and are left out. More levels than
+    rounds are an error."""
     left = written(nodes.select("node").distinct())
     need = written(edges.select("node", "needs").where("node != needs").distinct().join(left, "node", "left_semi"))
     loops = written(edges.where("node = needs").select("node").distinct())
     out = []
-    for level in range(1, rounds + 1):
+    for level in range(1, rounds + 2):
         ready = left.join(need.select("node"), "node", "left_anti").join(loops, "node", "left_anti")
         ready = written(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
+        if level > rounds:
+            raise ValueError(f"nodes are left after {rounds} levels")
         out.append(ready)
         left = written(left.join(ready, "node", "left_anti"))
         need = written(need.join(ready.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))

@@ -48,22 +48,34 @@ def exclude_violations(df: DataFrame, equal: list[str], lo: str, hi: str, key: s
     """Pairs of rows with equal columns, overlapping [lo, hi) and differing columns, each pair once.
 
     Ranges are cut into buckets of a typical width; rows meet in shared buckets, and a pair counts
-    only in the bucket where the later of the two begins, so the join is an equi join."""
+    only in the bucket where the later of the two begins, so the join is an equi join. A null bound is
+    unbounded; such rows meet the others by their equal columns alone. Empty ranges overlap nothing."""
     rows = df.where(where) if where else df
+    endless = F.col(lo).isNull() | F.col(hi).isNull()
+    open_rows, rows = rows.where(endless), rows.where(~endless)
+    every = rows.where(F.col(hi) > F.col(lo)).withColumn("_open", F.lit(False)).unionByName(open_rows.withColumn("_open", F.lit(True)))
+    part = lambda df, s: df.select("_open", F.col(key).alias(f"_key{s}"), *(F.col(c).alias(f"_{c}{s}") for c in (*equal, *differ, lo, hi)))
+    p, q = part(every.where("_open"), "a"), part(every, "b").withColumnRenamed("_open", "_too")
+    before = lambda x, y: F.coalesce(F.col(f"_{lo}{x}") < F.col(f"_{hi}{y}"), F.lit(True))
+    met = [*(F.col(f"_{c}a") == F.col(f"_{c}b") for c in equal), *(F.col(f"_{c}a") != F.col(f"_{c}b") for c in differ), before("a", "b"), before("b", "a")]
+    met.append((F.col("_keya") < F.col("_keyb")) | ~F.col("_too") & (F.col("_keya") > F.col("_keyb")))  # two unbounded rows once
+    wide = p.join(q, all_of(met)).select(F.least("_keya", "_keyb").alias(f"{key}_a"), F.greatest("_keya", "_keyb").alias(f"{key}_b"), F.lit(name).alias("constraint_name"))
     number = lambda c: F.floor(F.col(c).cast("double") / width).cast("long")
     cut = rows.where(F.col(hi) > F.col(lo)).withColumn("_first", number(lo)).withColumn("_b", F.explode(F.sequence(number(lo), number(hi))))
     side = lambda s: cut.select("_b", F.col("_first").alias(f"_f{s}"), F.col(key).alias(f"{key}_{s}"), *(F.col(c).alias(f"_{c}{s}") for c in (*equal, *differ, lo, hi)))
     a, b = side("a"), side("b")
     on = [a["_b"] == b["_b"], F.col(f"{key}_a") < F.col(f"{key}_b"), *(F.col(f"_{c}a") == F.col(f"_{c}b") for c in equal), *(F.col(f"_{c}a") != F.col(f"_{c}b") for c in differ)]
     on += [F.col(f"_{lo}a") < F.col(f"_{hi}b"), F.col(f"_{lo}b") < F.col(f"_{hi}a"), a["_b"] == F.greatest("_fa", "_fb")]
-    return a.join(b, all_of(on)).select(f"{key}_a", f"{key}_b", F.lit(name).alias("constraint_name"))
+    return a.join(b, all_of(on)).select(f"{key}_a", f"{key}_b", F.lit(name).alias("constraint_name")).unionByName(wide)
 
 
 def overlaps_by_running_max(df: DataFrame, by: list[str], lo: str, hi: str, key: str) -> DataFrame:
-    """Rows whose [lo, hi) overlaps an earlier row of the same group."""
-    order = Window.partitionBy(*by).orderBy(lo, hi, key)
-    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.where(F.col(hi) > F.col(lo)).withColumn("_reach", reach).where(F.col("_reach") > F.col(lo)).drop("_reach")
+    """Rows whose [lo, hi) overlaps an earlier row of the same group; a null bound is unbounded."""
+    order = Window.partitionBy(*by).orderBy(F.col(lo).asc_nulls_first(), F.col(hi).asc_nulls_last(), key)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    held = {"_reach": F.max(hi).over(earlier), "_endless": F.coalesce(F.bool_or(F.col(hi).isNull()).over(earlier), F.lit(False)), "_some": F.count("*").over(earlier) > 0}
+    full = df.where(F.coalesce(F.col(hi) > F.col(lo), F.lit(True))).withColumns(held)
+    return full.where(F.col("_endless") | F.col("_some") & F.col(lo).isNull() | F.coalesce(F.col("_reach") > F.col(lo), F.lit(False))).drop(*held)
 
 
 def _bound(cols: tuple[str, ...], bound: tuple, upper: bool) -> Column:
@@ -89,13 +101,21 @@ def _leaf(by: PartitionBy, prefix: str = "") -> Column:
     return fallback if when is None else when.otherwise(fallback)
 
 
+def hash_value(by: PartitionBy) -> Column:
+    """The declared hash of the key columns; md5 takes the first 32 bits over the values as text."""
+    if by.hash == "md5":
+        text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by.columns))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.xxhash64(*by.columns)
+
+
 def _holds(by: PartitionBy, p: Partition) -> Column:
     if by.strategy == "list":
         plain = [v for v in p.values if v is not None]
         null = F.col(by.columns[0]).isNull() if None in p.values else F.lit(False)
         return F.coalesce(F.col(by.columns[0]).isin(*plain), F.lit(False)) | null
     if by.strategy == "hash":
-        return F.pmod(F.xxhash64(*by.columns), F.lit(by.modulus)) == p.remainder
+        return F.pmod(hash_value(by), F.lit(by.modulus)) == p.remainder
     known = all_of([F.col(c).isNotNull() for c in by.columns])
     low = F.lit(True) if p.lower is None else _bound(by.columns, p.lower, upper=False)
     high = F.lit(True) if p.upper is None else _bound(by.columns, p.upper, upper=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablespec.operators.graphs import reach
-from tablespec.operators.constraints import union_all
+from tablespec.operators.constraints import all_of, union_all
 
 
 def summary_view(parent: DataFrame, child: DataFrame, key: str, fk: str, measures: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -43,10 +43,11 @@ def refresh_incremental(stored: DataFrame, delta_plus: DataFrame, delta_minus: D
 
 def refresh_extremes(stored: DataFrame, rows_now: DataFrame, delta_plus: DataFrame, delta_minus: DataFrame, by: list[str], col: str) -> DataFrame:
     """Stored min and max per group after a change: insertions fold in, groups with deletions are read anew."""
-    hit = delta_minus.select(*by).distinct()
+    hit = delta_minus.select(*(F.col(b).alias(f"_h{i}") for i, b in enumerate(by))).distinct()
+    same = all_of([F.col(b).eqNullSafe(F.col(f"_h{i}")) for i, b in enumerate(by)])  # a null group is a group
     agg = lambda df: df.groupBy(*by).agg(F.min(col).alias(f"min_{col}"), F.max(col).alias(f"max_{col}"))
-    kept = union_all([stored, agg(delta_plus)]).join(hit, by, "left_anti").groupBy(*by).agg(F.min(f"min_{col}").alias(f"min_{col}"), F.max(f"max_{col}").alias(f"max_{col}"))
-    return kept.unionByName(agg(rows_now.join(hit, by, "left_semi")))
+    kept = union_all([stored, agg(delta_plus)]).join(hit, same, "left_anti").groupBy(*by).agg(F.min(f"min_{col}").alias(f"min_{col}"), F.max(f"max_{col}").alias(f"max_{col}"))
+    return kept.unionByName(agg(rows_now.join(hit, same, "left_semi")))
 
 
 def access_audit(events: DataFrame, grants: DataFrame, memberships: DataFrame, revocations: DataFrame, defaults: DataFrame | None = None) -> DataFrame:

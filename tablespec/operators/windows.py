@@ -71,17 +71,27 @@ def assign_sequence(df: DataFrame, order: list[Column | str], column: str, start
 
 
 def clip_bytes(text: Column, limit: Column | int) -> Column:
-    """The longest prefix of whole characters within a number of bytes."""
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, F.lit(1), i))
-    fitting = F.filter(chars, lambda x: F.octet_length(x) <= limit)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(F.try_element_at(fitting, F.lit(-1)), F.lit("")))
+    """The longest prefix of whole characters within a number of bytes, by bisection; null stays null."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    start = F.struct(F.lit(0).alias("lo"), F.greatest(F.least(F.length(text), limit), F.lit(0)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")
+        fits = F.octet_length(F.substring(text, F.lit(1), mid)) <= limit
+        return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(mid - 1).alias("hi"))
+
+    most = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(start["hi"] + 1)).cast("int") + 1), start, halve, lambda acc: acc["lo"])
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), most))
 
 
 def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, order: list[str], out: str = "label", rounds: int = 20) -> DataFrame:
     """A label unique in its scope: the name clipped to fit, or clipped further with 1, 2, … appended.
 
-    A round settles the first claimant of each label; others try the next number."""
-    todo = df.withColumns({"_try": F.lit(0), out: clip_bytes(F.col(name), max_bytes)})
+    A round settles the first claimant of each label; others try the next number. A null name has a
+    null label."""
+    unnamed = df.where(F.col(name).isNull()).withColumn(out, F.lit(None).cast("string"))
+    todo = df.where(F.col(name).isNotNull())
+    todo = todo.withColumns({"_try": F.lit(0), out: clip_bytes(F.col(name), max_bytes)})
     done = None
     for _ in range(rounds):
         taken = todo if done is None else todo.join(done.select(*scope, out).distinct(), [*scope, out], "left_anti")
@@ -91,12 +101,11 @@ def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, ord
         left = todo.join(win.select(*order, *scope), [*order, *scope], "left_anti")
         # every claimant of a label tries its own number, so a round settles most of a group
         nth = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
-        number = (F.col("_try") + nth).cast("int")
-        suffix = number.cast("string")
-        todo = left.withColumn("_try", number).withColumn(out, F.concat(clip_bytes(F.col(name), F.lit(max_bytes) - F.octet_length(suffix)), suffix))
+        suffix = F.col("_try").cast("string")
+        todo = left.withColumn("_try", (F.col("_try") + nth).cast("int")).withColumn(out, F.concat(clip_bytes(F.col(name), F.lit(max_bytes) - F.octet_length(suffix)), suffix))
         todo = written(todo)
         if todo.isEmpty():
-            return done.drop("_try")
+            return done.drop("_try").unionByName(unnamed)
     raise ValueError(f"labels still collide after {rounds} rounds")
 
 

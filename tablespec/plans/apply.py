@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablespec.operators.constraints import check_rules, domain_rules, enum_rules, not_null_rules, row_rules, union_all, unique_report
+from tablespec.operators.constraints import check_rules, domain_rules, enum_rules, not_null_rules, reconcile, row_rules, union_all, unique_report
 from tablespec.operators.diffs import table_diff
 from tablespec.operators.project import conform
 from tablespec.plans.jobs import blocked
-from tablespec.sources.scan import snapshot_load, snapshot_save, snapshot_versions
+from tablespec.sources.scan import publish_folder, snapshot_load, snapshot_save, snapshot_versions, write_partitioned
 from tablespec.spec import TableSpec
 
 
@@ -41,3 +43,19 @@ def apply_table(df: DataFrame, spec: TableSpec, root: str, plan: DataFrame | Non
             return now
     snapshot_save(staged, root, spec.name, (last or 0) + 1)
     return snapshot_load(spark, root, spec.name, staged.schema)
+
+
+def rebuild_partitions(df: DataFrame, spec: TableSpec, root: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows under the spec's partition tree, the reconciliation with the rows before).
+
+    Rows are routed and written to a new folder, compared with the source, and only then published
+    as the next version under root; a row without a partition or a difference stops it before that."""
+    last = snapshot_versions(df.sparkSession, root, spec.name).agg(F.max("version")).first()[0]
+    folder = f"{spec.name}/v{(last or 0) + 1}-{uuid.uuid4().hex}"
+    rebuilt = write_partitioned(df, spec, f"{root}/{folder}")
+    report = reconcile(df, rebuilt.select(*df.columns))
+    found = report.first()
+    if not found["same"]:
+        raise NotApplied(f"rebuilt rows differ: {found.asDict()}")
+    publish_folder(df.sparkSession, root, spec.name, (last or 0) + 1, folder, found["new_rows"])
+    return rebuilt, report

@@ -2,12 +2,84 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column as SqlColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablespec.functions import types as X
-from tablespec.operators.constraints import any_of, check_rules, enum_rules, row_rules, union_all
-from tablespec.spec import TableSpec
+from tablespec.operators.constraints import any_of, check_passes, check_rules, enum_rules, row_rules, union_all
+from tablespec.operators.integrity import route_partitions
+from tablespec.spec import Domain, PartitionBy, Sequence, TableSpec
+
+PLAN = "seq int, op string, column_name string, old_def string, new_def string, static_class string, evidence_rows bigint, safety string"
+
+
+def _struct(text: str) -> dict[str, T.DataType] | None:
+    """The attributes of a struct type, None for other types."""
+    kind = T.DataType.fromDDL(text) if "struct" in text.lower() else None
+    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else None
+
+
+def _attributes(column: str, old: dict, new: dict, renames: dict[str, str]) -> list[tuple]:
+    out, before = [], dict(old)
+    for a, b in renames.items():
+        (_, old_name), (owner, new_name) = a.rsplit(".", 1), b.rsplit(".", 1)
+        if owner == column and old_name in before and new_name not in before:
+            before[new_name] = before.pop(old_name)
+            out.append(("rename attribute", b, old_name, new_name, "SAFE"))
+    out += [("drop attribute", f"{column}.{n}", t.simpleString(), "", "DESTRUCTIVE") for n, t in before.items() if n not in new]
+    for n, t in new.items():
+        if n not in before:
+            out.append(("add attribute", f"{column}.{n}", "", t.simpleString(), "SAFE"))
+        elif before[n] != t:
+            out.append(("change attribute", f"{column}.{n}", before[n].simpleString(), t.simpleString(), "DESTRUCTIVE"))
+    return out
+
+
+def _domain(column: str, old: Domain | None, new: Domain | None) -> list[tuple]:
+    if new is None or old is None:
+        return [("drop domain", column, old.name, "", "SAFE")] if old else [("add domain", column, "", new.name, "CAUTION")]
+    if old.type != new.type:
+        return [("change domain type", column, old.type, new.type, "DESTRUCTIVE")]
+    out = []
+    if old.default != new.default:
+        out.append(("set domain default" if new.default else "drop domain default", column, old.default or "", new.default or "", "SAFE"))
+    if old.nullable != new.nullable:
+        out.append(("drop domain not null" if new.nullable else "set domain not null", column, "", "", "SAFE" if new.nullable else "CAUTION"))
+    mine, theirs = ({c.name: c.expr for c in d.checks} for d in (old, new))
+    out += [("drop domain check", column, n, "", "SAFE") for n in mine if theirs.get(n) != mine[n]]
+    return out + [("add domain check", column, "", n, "CAUTION") for n in theirs if mine.get(n) != theirs[n]]
+
+
+def _partitions(old: PartitionBy | None, new: PartitionBy | None, prefix: str = "") -> list[tuple]:
+    """Changes of a partition tree; a branch that goes or moves its bounds takes its rows along."""
+    name = prefix.rstrip("/")
+    key = lambda by: f"{by.strategy} ({', '.join(by.columns)})" + (f" modulus {by.modulus}" if by.strategy == "hash" else "") if by else ""
+    if key(old) != key(new):
+        return [("change partition strategy", name, key(old), key(new), "MANUAL")]
+    if old is None:
+        return []
+    bounds = lambda p: "default" if p.default else f"values {p.values}" if p.values else f"remainder {p.remainder}" if p.remainder is not None else f"from {p.lower} to {p.upper}"
+    mine, theirs, out = {p.name: p for p in old.parts}, {p.name: p for p in new.parts}, []
+    for n, p in theirs.items():
+        if n not in mine:
+            out.append(("add partition", prefix + n, "", bounds(p), "SAFE"))
+        elif bounds(mine[n]) != bounds(p):
+            out.append(("change partition bounds", prefix + n, bounds(mine[n]), bounds(p), "DESTRUCTIVE"))
+        else:
+            out += _partitions(mine[n].by, p.by, f"{prefix}{n}/")
+    return out + [("drop partition", prefix + n, bounds(p), "", "DESTRUCTIVE") for n, p in mine.items() if n not in theirs]
+
+
+def _sequence(column: str, old: Sequence | None, new: Sequence | None) -> list[tuple]:
+    if new is None or old is None:
+        return [("drop sequence", column, "", "", "DESTRUCTIVE")] if old else [("add sequence", column, "", "", "SAFE")]
+    if old.type != new.type:
+        return [("change sequence type", column, old.type, new.type, "DESTRUCTIVE")]
+    return [("alter sequence", column, "", "", "SAFE")] if old != new else []
+
 
 def _cast_class(old: str, new: str, using: str | None) -> str:
     return "CAUTION" if using or X.is_lossless(old, new) or X.is_widening(old, new) else "DESTRUCTIVE"
@@ -17,7 +89,7 @@ def static_plan(old: TableSpec, new: TableSpec) -> list[tuple]:
     """(op, column, old definition, new definition, class) of every change, renames first."""
     out, before, after = [], {c.name: c for c in old.columns}, {c.name: c for c in new.columns}
     for a, b in new.renames.items():
-        if b not in before and a in before:
+        if "." not in b and b not in before and a in before:
             before[b] = before.pop(a)
             out.append(("rename column", b, a, b, "CAUTION"))
     out += [("drop column", n, c.type, "", "DESTRUCTIVE") for n, c in before.items() if n not in after]
@@ -27,12 +99,18 @@ def static_plan(old: TableSpec, new: TableSpec) -> list[tuple]:
             filled = c.nullable or c.default or c.identity or c.generated
             out.append(("add column", n, "", c.type, "SAFE" if filled else "CAUTION"))
             continue
-        if b.type != c.type:
+        if b.type != c.type and (parts := _struct(b.type)) is not None and (wanted := _struct(c.type)) is not None:
+            out += _attributes(n, parts, wanted, {a: x for a, x in new.renames.items() if "." in x})
+        elif b.type != c.type:
             out.append(("change type", n, b.type, c.type, _cast_class(b.type, c.type, c.using)))
         if b.nullable != c.nullable:
             out.append(("drop not null" if c.nullable else "set not null", n, "", "", "SAFE" if c.nullable else "CAUTION"))
         if b.default != c.default:
             out.append(("set default" if c.default else "drop default", n, b.default or "", c.default or "", "SAFE"))
+        if b.generated != c.generated:  # a new expression replaces what is stored; without one the values stay
+            out.append(("set generated" if c.generated else "drop generated", n, b.generated or "", c.generated or "", "DESTRUCTIVE" if c.generated else "CAUTION"))
+        if b.identity != c.identity:
+            out.append(("add identity" if c.identity else "drop identity", n, "", "", "CAUTION"))
     for kind in ("checks", "uniques", "foreign_keys"):
         mine, theirs = ({x.name: x for x in getattr(s, kind)} for s in (old, new))
         out += [("drop constraint", n, n, "", "DESTRUCTIVE") for n in mine if theirs.get(n) != mine[n]]
@@ -43,6 +121,15 @@ def static_plan(old: TableSpec, new: TableSpec) -> list[tuple]:
         out += [("remove label", col, x, "", "DESTRUCTIVE") for x in a if b and x not in b]
         if sorted(a) == sorted(b) and a != b:
             out.append(("reorder labels", col, ",".join(a), ",".join(b), "DESTRUCTIVE"))
+    for kind, changes in ((("domains", _domain), ("sequences", _sequence))):
+        mine, theirs = getattr(old, kind), getattr(new, kind)
+        for col in {**mine, **theirs}:
+            if mine.get(col) != theirs.get(col):
+                out += changes(col, mine.get(col), theirs.get(col))
+    out += _partitions(old.partition_by, new.partition_by)
+    if old.query != new.query or old.stored != new.stored:
+        stored = old.stored or new.stored
+        out.append(("change stored query" if stored else "replace query", new.name, old.query or "", new.query or "", "DESTRUCTIVE" if stored else "SAFE"))
     return out
 
 
@@ -50,8 +137,13 @@ def plan_table(df: DataFrame, old: TableSpec, new: TableSpec) -> DataFrame:
     """seq, op, column_name, old_def, new_def, static_class, evidence_rows and safety of each change.
 
     One pass over the data counts what each change would hurt. A destructive cast that hurts no row
-    is lowered to CAUTION; a not-null or check that rows break stays CAUTION with its count."""
+    is lowered to CAUTION; a not-null or check that rows break stays CAUTION with its count. Equal
+    specs give no rows, and the data is not read."""
     plan = static_plan(old, new)
+    if not plan:
+        return df.sparkSession.createDataFrame([], PLAN)
+    if old.partition_by and any("partition" in p[0] for p in plan):
+        df = route_partitions(df, old.partition_by, "_leaf")
     back = {b: a for a, b in new.renames.items() if a in df.columns}
     have = lambda n: back.get(n, n)
     count = {}
@@ -63,6 +155,9 @@ def plan_table(df: DataFrame, old: TableSpec, new: TableSpec) -> DataFrame:
         elif op == "change type":
             using = new.column(name).using
             value = F.expr(using) if using else col
+            if not _castable(df, value, b):
+                count[i] = F.count(have(name))
+                continue
             cast = value.try_cast(b)
             lost = value.isNotNull() & (cast.isNull() | (~cast.cast(df.schema[have(name)].dataType).eqNullSafe(value) if not using else F.lit(False)))
             count[i] = F.count_if(lost)
@@ -72,12 +167,39 @@ def plan_table(df: DataFrame, old: TableSpec, new: TableSpec) -> DataFrame:
             count[i] = F.count_if(check_rules((checks[name],))[0][2])
         elif op == "remove label":
             count[i] = F.count_if(col == a)
+        elif op in ("drop attribute", "change attribute"):
+            owner, attribute = name.rsplit(".", 1)
+            value = F.col(f"{have(owner)}.{attribute}")
+            fails = value.isNotNull() & value.try_cast(b).isNull() if op == "change attribute" and _castable(df, value, b) else value.isNotNull()
+            count[i] = F.count_if(fails)
+        elif op == "set domain not null":
+            count[i] = F.count_if(col.isNull())
+        elif op in ("add domain", "add domain check"):
+            domain = new.domains[name]
+            tests = [check_passes(c.expr.replace("VALUE", f"`{have(name)}`")) for c in domain.checks if op == "add domain" or c.name == b]
+            count[i] = F.count_if(any_of([~t for t in tests] + ([col.isNull()] if op == "add domain" and not domain.nullable else [])))
+        elif op == "change domain type":
+            count[i] = F.count_if(col.isNotNull() & col.try_cast(b).isNull()) if _castable(df, col, b) else F.count(have(name))
+        elif op == "set generated" and col is not None:
+            count[i] = F.count_if(~col.eqNullSafe(F.expr(b)))
+        elif op in ("drop partition", "change partition bounds"):
+            count[i] = F.count_if((F.col("_leaf") == name) | F.startswith("_leaf", F.lit(f"{name}/")))
+        elif op == "change partition strategy" and old.partition_by:
+            count[i] = F.count_if((F.col("_leaf") == name) | F.startswith("_leaf", F.lit(f"{name}/"))) if name else F.count("*")
     one = df.agg(F.count("*").alias("_all"), *(c.alias(f"_{i}") for i, c in count.items()))
     rows = [F.struct(F.lit(i + 1).alias("seq"), *(F.lit(v).alias(n) for n, v in zip(("op", "column_name", "old_def", "new_def", "static_class"), p)), (F.col(f"_{i}") if i in count else F.lit(0).cast("long")).alias("evidence_rows")) for i, p in enumerate(plan)]
     lowered = (F.col("static_class") == "DESTRUCTIVE") & (F.col("op") == "change type") & (F.col("evidence_rows") == 0)
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("safety", F.when(lowered, "CAUTION").otherwise(F.col("static_class")))
 
 
+def _castable(df: DataFrame, value: SqlColumn, to: str) -> bool:
+    try:
+        df.select(value.try_cast(to))
+    except AnalysisException:
+        return False
+    return True
+
+
 def blocked(plan: DataFrame, allow_destructive: bool = False, allow_manual: bool = False) -> DataFrame:
     """Changes that a gate stops."""
     return plan.where(any_of([(F.col("safety") == "DESTRUCTIVE") & (not allow_destructive), (F.col("safety") == "MANUAL") & (not allow_manual)]))

@@ -47,6 +47,13 @@ def _(t: Tables):
     return R.refresh_extremes(stored, rows.where("l_orderkey % 17 <> 0"), rows.where("l_orderkey % 19 = 0 AND l_orderkey % 17 <> 0"), rows.where("l_orderkey % 19 <> 0 AND l_orderkey % 17 = 0"), ["l_partkey"], "l_quantity")
 
 
+@query("a16_refresh_extremes_null_group", "SELECT kind, min(value) AS min_value, max(value) AS max_value FROM (SELECT nullif(event_type, 'view') AS kind, value, event_id FROM events) WHERE event_id % 10 <> 0 GROUP BY 1")
+def _(t: Tables):
+    rows = t.events.select("event_id", "value", F.expr("nullif(event_type, 'view')").alias("kind"))
+    stored = rows.groupBy("kind").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    return R.refresh_extremes(stored, rows.where("event_id % 10 <> 0"), rows.where("FALSE"), rows.where("event_id % 10 = 0"), ["kind"], "value")
+
+
 @query("j10_access_audit", """WITH RECURSIVE e AS (SELECT event_id, 'u' || user_id % 20 AS role, 'o' || event_id % 10 AS object, event_type AS action FROM events),
 m AS (SELECT DISTINCT 'u' || user_id % 20 AS member, 'u' || (user_id % 20) // 2 AS role FROM events WHERE user_id % 20 > 1),
 g AS (SELECT DISTINCT 'u' || user_id % 20 AS role, 'o' || event_id % 10 AS object, event_type AS action FROM events WHERE event_id % 9 = 0 UNION SELECT 'public', 'o3', 'view'),

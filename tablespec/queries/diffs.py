@@ -31,6 +31,11 @@ def _(t: Tables):
     return D.table_diff(*versions(t), ["o_orderkey"])
 
 
+@query("j01_key_only_tables", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'drop' ELSE 'create' END AS op, '' AS changed_cols FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
+def _(t: Tables):
+    return D.table_diff(t.customer.where("c_custkey % 2 = 0").select("c_custkey"), t.customer.where("c_custkey % 3 = 0").select("c_custkey"), ["c_custkey"])
+
+
 @query("j01_diff_of_equal_tables", f"SELECT * FROM ({_DIFF_SQL}) WHERE FALSE")
 def _(t: Tables):
     current = versions(t)[1]

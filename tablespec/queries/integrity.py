@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablespec.operators import integrity as I
-from tablespec.operators.constraints import reconcile
 from tablespec.paths import work_dir
+from tablespec.plans.apply import rebuild_partitions
 from tablespec.registry import Tables, query
 from tablespec.sources import scan as S
 from tablespec.spec import Column, Partition, PartitionBy, TableSpec
@@ -28,6 +28,11 @@ def _(t: Tables):
     return I.fk_apply(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", *_customers(t), on_delete="set null", on_update="cascade")[0]
 
 
+@query("j06_fk_set_default", "SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders")
+def _(t: Tables):
+    return I.fk_apply(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", _customers(t)[0], None, on_delete="set default", default=-1)[0]
+
+
 @query("j06_fk_restrict", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 11 = 0 OR o_custkey % 13 = 1")
 def _(t: Tables):
     return I.fk_apply(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", *_customers(t), on_delete="restrict", on_update="no action")[1].distinct()
@@ -45,6 +50,24 @@ def _(t: Tables):
     return I.exclude_violations(_spans(t), ["user_id"], "lo", "hi", "event_id", 4000, differ=["event_type"], name="one_kind")
 
 
+_OPEN = f"SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN NULL ELSE lo END AS lo, CASE WHEN event_id % 89 = 0 THEN NULL ELSE hi END AS hi) FROM ({_SPANS})"
+_BOTH = "coalesce(a.lo < b.hi, TRUE) AND coalesce(b.lo < a.hi, TRUE)"
+
+
+def _open(t: Tables):
+    return _spans(t).withColumns({"lo": F.expr("CASE WHEN event_id % 97 <> 0 THEN lo END"), "hi": F.expr("CASE WHEN event_id % 89 <> 0 THEN hi END")})
+
+
+@query("j07_exclude_unbounded", f"WITH s AS ({_OPEN}) SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, 'one_kind' AS constraint_name FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.event_id < b.event_id AND {_BOTH}")
+def _(t: Tables):
+    return I.exclude_violations(_open(t), ["user_id"], "lo", "hi", "event_id", 4000, differ=["event_type"], name="one_kind")
+
+
+@query("w05_overlaps_unbounded", f"WITH s AS (SELECT *, coalesce(lo, -1) AS l, coalesce(hi, 1000000000000000) AS h FROM ({_OPEN})) SELECT event_id, user_id, lo, hi FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id = s.user_id AND (o.l, o.h, o.event_id) < (s.l, s.h, s.event_id) AND o.h > s.l)")
+def _(t: Tables):
+    return I.overlaps_by_running_max(_open(t), ["user_id"], "lo", "hi", "event_id").drop("event_type")
+
+
 @query("w05_overlaps", f"WITH s AS ({_SPANS}) SELECT event_id, user_id, lo, hi FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id = s.user_id AND (o.lo, o.hi, o.event_id) < (s.lo, s.hi, s.event_id) AND o.hi > s.lo)")
 def _(t: Tables):
     return I.overlaps_by_running_max(_spans(t), ["user_id"], "lo", "hi", "event_id").drop("event_type")
@@ -80,10 +103,10 @@ def _(t: Tables):
     return I.route_partitions(_years(t), _YEARS).select("o_orderkey", "partition")
 
 
-@query("j08_route_hash")
+@query("j08_route_hash", "SELECT o_orderkey, 'h' || (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 4) AS partition FROM orders")
 def _(t: Tables):
-    by = PartitionBy("hash", ("o_orderkey",), tuple(Partition(f"h{i}", remainder=i) for i in range(4)), modulus=4)
-    return I.route_partitions(t.orders, by).groupBy("partition").count()
+    by = PartitionBy("hash", ("o_orderkey",), tuple(Partition(f"h{i}", remainder=i) for i in range(4)), modulus=4, hash="md5")
+    return I.route_partitions(t.orders, by).select("o_orderkey", "partition")
 
 
 _SPEC = TableSpec("orders", (Column("o_orderkey", "bigint"),), partition_by=_YEARS)
@@ -102,10 +125,9 @@ def _(t: Tables):
 
 @query("m04_rebuild_partitions", "SELECT count(*) AS old_rows, count(*) AS new_rows, TRUE AS same FROM orders")
 def _(t: Tables):
-    rows = _years(t).select("o_orderkey", "y", "o_custkey", "o_orderstatus")
-    new = TableSpec("orders", _SPEC.columns, partition_by=_YEARS_NEW)
-    rebuilt = S.write_partitioned(S.write_partitioned(rows, _SPEC, f"{work_dir(t.spark)}/old").drop("partition"), new, f"{work_dir(t.spark)}/new")
-    return reconcile(rows, rebuilt.drop("partition"))
+    rows, root = _years(t).select("o_orderkey", "y", "o_custkey", "o_orderstatus"), work_dir(t.spark)
+    old, _ = rebuild_partitions(rows, _SPEC, root)
+    return rebuild_partitions(old.select(*rows.columns), TableSpec("orders", _SPEC.columns, partition_by=_YEARS_NEW), root)[1]
 
 
 @query("s01_scan_declared", "SELECT c_custkey, c_mktsegment FROM customer")

@@ -53,6 +53,18 @@ def _(t: Tables):
     return W.dedupe_names(t.part.select("p_partkey", "p_brand", F.substring("p_name", 1, 9).alias("p_name")), ["p_brand"], "p_name", 8, ["p_partkey"])
 
 
+@query("w04_label_rules", "SELECT p_brand, count(*) AS rows, count(*) AS labels, TRUE AS fits, TRUE AS from_name, count(*) FILTER (p_partkey % 50 = 0) AS unnamed FROM part GROUP BY 1")
+def _(t: Tables):
+    """Labels are unique in their scope, fit, and are the name clipped, with a number where it was taken; null names have none."""
+    named = t.part.select("p_partkey", "p_brand", F.expr("CASE WHEN p_partkey % 50 <> 0 THEN concat(substring(p_name, 1, 3), 'é', substring(p_name, 4, 5)) END").alias("p_name"))
+    out = W.dedupe_names(named, ["p_brand"], "p_name", 8, ["p_partkey"])
+    stem = F.regexp_replace("label", "[0-9]+$", "")
+    return out.groupBy("p_brand").agg(
+        F.count("*").alias("rows"), (F.count_distinct("label") + F.count_if(F.col("label").isNull())).alias("labels"), F.bool_and(F.coalesce(F.octet_length("label") <= 8, F.lit(True))).alias("fits"),
+        F.bool_and(F.coalesce(F.startswith("p_name", stem), F.lit(True))).alias("from_name"), F.count_if(F.col("label").isNull() & F.col("p_name").isNull()).alias("unnamed"),
+    )
+
+
 _HISTORY = "SELECT event_id, user_id, event_type, old_event_type FROM (SELECT *, lag(event_type) OVER w AS old_event_type, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n > 1 AND event_type IS DISTINCT FROM old_event_type AND event_type <> 'error'"
 
 

@@ -24,13 +24,13 @@ def _stream(t: Tables, frame=None, max_files: int = 1, event_time: str | None =
     them one after the other, by event."""
     rows = frame if frame is not None else t.events
     path = f"{work_dir(t.spark)}/in"
-    placed = rows.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id")
     if ordered:
-        placed = written(placed.withColumn("_p", F.spark_partition_id()))  # range bounds are sampled anew by each job
+        last = rows.agg(F.max("event_id")).first()[0] or 0
+        placed = written(rows.withColumn("_p", F.floor(F.col("event_id") * _FILES / F.lit(last + 1)).cast("int")))
         for i in range(_FILES):
             placed.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
     else:
-        placed.write.parquet(path)
+        rows.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id").write.parquet(path)
     return stream_scan(t.spark, path, rows.schema, max_files=max_files, event_time=event_time)
 
 
@@ -96,7 +96,11 @@ def _(t: Tables):
     return C.run_to_table(C.after_update_of(stream, ["user_id"], ["event_type"], ["event_id"], "event_type <> 'error'"), *_out(t))
 
 
-@query("r06_statement_audit")
+@query("r06_statement_audit", f"""WITH e AS (SELECT event_id, user_id, op, level, (event_id * {_FILES} // (SELECT max(event_id) + 1 FROM events))::INT AS p FROM ({_CHANGES})),
+v AS (SELECT b.b, s.more, e.user_id, arg_max(op, event_id) AS op, arg_max(level, event_id) AS level FROM range({_FILES}) b(b), (VALUES (0), (1)) s(more), e WHERE e.p < b.b + s.more GROUP BY ALL),
+n AS (SELECT b, user_id, level FROM v WHERE more = 1 AND op <> 'delete'), o AS (SELECT b, user_id, level FROM v WHERE more = 0 AND op <> 'delete')
+SELECT CASE WHEN o.user_id IS NULL THEN 'create' WHEN n.user_id IS NULL THEN 'drop' ELSE 'alter' END AS op, count(*) AS rows, sum(n.level)::BIGINT AS new_sum, sum(o.level)::BIGINT AS old_sum, coalesce(n.b, o.b)::INT AS batch_id
+FROM n FULL JOIN o ON n.b = o.b AND n.user_id = o.user_id WHERE n.level IS DISTINCT FROM o.level GROUP BY ALL""")
 def _(t: Tables):
     root, state = _out(t)
     rows = _changes(t).select("event_id", "user_id", "op", "level")
@@ -139,6 +143,20 @@ def _(t: Tables):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+@query("r09_late_rows", "SELECT count(*) AS late_rows FROM events WHERE event_id % 10 = 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id % 10 > 1)")
+def _(t: Tables):
+    """Every tenth event arrives last, most of them behind the watermark.
+
+    Spark judges lateness in a batch by the watermark that the batch before began with, so one batch
+    lies between the rows that set it and the late ones."""
+    path, late = f"{work_dir(t.spark)}/in", t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for rows in (late.where("event_id % 10 > 1"), late.where("event_id % 10 = 1"), late.where("event_id % 10 = 0")):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = stream_scan(t.spark, path, late.schema, max_files=1)
+    found, behind = C.run_counting_late(C.streaming_matview(stream, "ts", "1 hour", [F.count("*").alias("n")], "1 day", by=["event_id"]), *_out(t))
+    return t.region.limit(1).select(F.lit(behind).cast("long").alias("late_rows"))
+
+
 @query("r09_sessions", "SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables):
     stream = _stream(t, event_time="ts")

@@ -18,6 +18,18 @@ def _(t: Tables):
     return out.select("item_id", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.col("n").cast("long").alias("n"))
 
 
+_CHAIN = "CASE WHEN regexp_full_match(term, '\\d+(?:\\.\\d+)?') THEN term ELSE strip_accents(term) END"
+
+
+@query("f12_text_vector_chain", f"SELECT item_id, {_CHAIN} AS term, string_agg(p, ',' ORDER BY p) AS positions, count(*) AS n FROM ({_SIMPLE.replace('text, ', "replace(text, 'e', 'é'), ")}) WHERE NOT ({_CHAIN} = 'the' AND NOT regexp_full_match(term, '\\d+(?:\\.\\d+)?')) GROUP BY 1, 2")
+def _(t: Tables):
+    """Words lose their accents before stop words are looked up; numbers take no step."""
+    stop = t.region.limit(1).selectExpr("'the' AS word")
+    docs = t.benchmark.select("item_id", F.replace("text", F.lit("e"), F.lit("é")).alias("text"))
+    out = X.text_vector(docs, "item_id", "text", stop, classes=("word", "number"), chains={"word": ("unaccent", "stop"), "number": ()})
+    return out.select("item_id", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.col("n").cast("long").alias("n"))
+
+
 def _index(t: Tables):
     return X.text_index(X.text_vector(t.documents, "doc_id", "text", classes=("word",)), "doc_id")
 
@@ -61,6 +73,16 @@ def _(t: Tables):
     return X.collated_distinct(t.events.select(F.expr("CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END").alias("kind")), ["kind"])
 
 
+_ACCENTS = "CASE event_id % 3 WHEN 0 THEN replace(event_type, 'e', 'é') WHEN 1 THEN upper(event_type) ELSE event_type END"
+
+
+@query("f09_accent_groups", f"SELECT strip_accents(lower(k)) AS kind, count(*) AS rows FROM (SELECT {_ACCENTS} AS k FROM events) GROUP BY 1")
+def _(t: Tables):
+    """Case and accents fall together under one collation; the plain spelling names the group."""
+    found = X.collated_distinct(t.events.select(F.expr(_ACCENTS).alias("kind")), ["kind"], "UNICODE_CI_AI")
+    return found.select(F.lower(X.unaccent(F.col("kind"))).alias("kind"), "rows")
+
+
 @query("f09_collated_join", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def _(t: Tables):
     left = t.customer.join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.upper("n_name").alias("upper_name")), "c_nationkey").select("c_custkey", "upper_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,18 +49,21 @@ def write_partitioned(df: DataFrame, spec: TableSpec, path: str, mode: str = "er
     """Writes rows by the declared partition tree; fails if any row has no partition."""
     routed = route_partitions(df, spec.partition_by)
     checked = routed.withColumn("partition", F.coalesce("partition", F.raise_error(F.lit(f"no partition of {spec.name} takes this row"))))
-    checked.repartition("partition").write.mode(mode).partitionBy("partition").parquet(path)
+    # adaptive execution splits a hot leaf over several writers and joins small ones
+    checked.hint("rebalance", "partition").write.mode(mode).partitionBy("partition").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def clustered_write(df: DataFrame, keys: list[str], path: str, where: str | None = None, files: int = 8, mode: str = "errorifexists") -> DataFrame:
-    """Range-partitioned and sorted files, so that key filters skip files by their statistics."""
+def clustered_write(df: DataFrame, keys: list[str], path: str, where: str | None = None, files: int | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Range-partitioned and sorted files, so that key filters skip files by their statistics; their
+    number follows the rows' bytes, unless given."""
     rows = df.where(where) if where else df
-    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-_MANIFEST = T.StructType().add("name", "string").add("version", "long").add("rows", "long").add("saved_at", "timestamp").add("revision", "string")
+_MANIFEST = T.StructType().add("name", "string").add("version", "long").add("rows", "long").add("saved_at", "timestamp").add("revision", "string").add("folder", "string")
 
 
 def _entries(spark: SparkSession, root: str) -> DataFrame:
@@ -70,12 +75,16 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshot_save(df: DataFrame, root: str, name: str, version: int, revision: str = "") -> None:
-    """Writes a version's rows, then its manifest row; readers only see what the manifest names."""
-    spark = df.sparkSession
-    path = f"{root}/{name}/v{version}"
-    df.write.mode("overwrite").parquet(path)
-    count = spark.read.parquet(path).count()
-    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(version).cast("long").alias("version"), F.lit(count).cast("long").alias("rows"), F.current_timestamp().alias("saved_at"), F.lit(revision).alias("revision"))
+    """Writes a version's rows to a folder of their own, then its manifest row; readers only see what the
+    manifest names, so two writers of one version never touch each other's files."""
+    folder = f"{name}/v{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{folder}")
+    publish_folder(df.sparkSession, root, name, version, folder, df.sparkSession.read.parquet(f"{root}/{folder}").count(), revision)
+
+
+def publish_folder(spark: SparkSession, root: str, name: str, version: int, folder: str, count: int, revision: str = "") -> None:
+    """Names a written folder as a version in the manifest."""
+    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(version).cast("long").alias("version"), F.lit(count).cast("long").alias("rows"), F.current_timestamp().alias("saved_at"), F.lit(revision).alias("revision"), F.lit(folder).alias("folder"))
     row.coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
 
 
@@ -84,12 +93,14 @@ def snapshot_versions(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def snapshot_load(spark: SparkSession, root: str, name: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-    """A saved version, the latest by default; a missing snapshot reads as empty."""
+    """A saved version, the latest by default; a missing snapshot reads as empty.
+
+    Where a version was saved twice, the later save counts."""
     found = snapshot_versions(spark, root, name)
-    last = (found.where(F.col("version") == version) if version is not None else found).agg(F.max("version")).first()[0]
+    last = (found.where(F.col("version") == version) if version is not None else found).agg(F.max_by("folder", F.struct("version", "saved_at", "folder"))).first()[0]
     if last is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{name}/v{last}")
+    return spark.read.schema(schema).parquet(f"{root}/{last}")
 
 
 def changelog_append(plan: DataFrame, path: str, run_id: str) -> DataFrame:

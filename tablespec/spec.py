@@ -55,6 +55,18 @@ class Domain:
     checks: tuple[Check, ...] = ()
 
 
+@dataclass(frozen=True)
+class Sequence:
+    """What numbers a column takes by default."""
+
+    type: str = "bigint"
+    start: int = 1
+    increment: int = 1
+    low: int = 1
+    high: int = 2**62
+    cycle: bool = False
+
+
 @dataclass(frozen=True)
 class Partition:
     """One branch of a partition tree; leaves have no children."""
@@ -74,6 +86,7 @@ class PartitionBy:
     columns: tuple[str, ...]
     parts: tuple[Partition, ...]
     modulus: int = 0
+    hash: str = "xxhash64"  # or md5, which other engines have too
 
 
 @dataclass(frozen=True)
@@ -108,6 +121,9 @@ class TableSpec:
     enums: dict[str, tuple[str, ...]] = field(default_factory=dict)  # column -> ordered labels
     renames: dict[str, str] = field(default_factory=dict)  # old -> new
     partition_by: PartitionBy | None = None
+    sequences: dict[str, Sequence] = field(default_factory=dict)  # column -> sequence
+    query: str | None = None  # of a view
+    stored: bool = False  # whether a view's rows are stored
 
     def names(self) -> list[str]:
         return [c.name for c in self.columns]

@@ -54,7 +54,9 @@ def latest_changes(batch: DataFrame, keys: list[str], order: list[str]) -> tuple
 def apply_changes(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The target after a batch of changes; the last change of a key wins."""
     last, truncated = latest_changes(batch, keys, order)
-    kept = target.where(F.lit(False)) if truncated else target.join(last.select(*keys), keys, "left_anti")
+    hit = last.select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)))
+    same = all_of([F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])  # a null key is a key
+    kept = target.where(F.lit(False)) if truncated else target.join(hit, same, "left_anti")
     return kept.unionByName(last.where("op <> 'delete'").select(*target.columns))
 
 
@@ -103,20 +105,16 @@ class _UpdateOf(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(self.order)
-        same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
-        last = tuple(self.state.get()) if self.state.exists() else None
-        out, olds = [], []
-        for i, row in enumerate(frame[self.cols].itertuples(index=False)):
-            now = tuple(row)
-            if last is not None and not all(same(a, b) for a, b in zip(last, now)):
-                out.append(i)
-                olds.append(last)
-            last = now
-        self.state.update(last)
-        fired = frame.iloc[out].reset_index(drop=True)
-        for k, c in enumerate(self.cols):
-            fired[f"old_{c}"] = [o[k] for o in olds]
-        yield fired
+        values = frame[self.cols].astype(object)
+        before = values.shift(1)
+        held = self.state.get() if self.state.exists() else None
+        if held is not None:
+            before.iloc[0] = list(held)
+        differs = ((values != before) & ~(values.isna() & before.isna())).any(axis=1)
+        differs.iloc[0] &= held is not None
+        self.state.update(tuple(values.where(values.notna(), None).iloc[-1]))
+        old = before.where(before.notna(), None).add_prefix("old_")
+        yield pd.concat([frame, old], axis=1)[differs]
 
     def close(self) -> None:
         pass
@@ -133,12 +131,15 @@ def after_update_of(stream: DataFrame, key: list[str], cols: list[str], order: l
 
 
 def statement_audit(stream: DataFrame, root: str, name: str, schema: T.StructType, key: str, order: list[str], checkpoint: str, measure: str):
-    """Per micro-batch: counts and sums of rows inserted, updated and deleted, in root/name_audit."""
+    """Per micro-batch: counts and sums of rows inserted, updated and deleted, in root/name_audit.
+
+    Version n + 1 holds batch n. A batch that is replayed compares the same two versions again, so
+    its report stays what it was."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot_load(batch.sparkSession, root, name, schema)
-        new = apply_changes(old, batch, [key], order)
-        snapshot_save(new, root, name, batch_id + 1)
+        old = snapshot_load(batch.sparkSession, root, name, schema, batch_id)
+        if snapshot_versions(batch.sparkSession, root, name).where(F.col("version") == batch_id + 1).isEmpty():
+            snapshot_save(apply_changes(old, batch, [key], order), root, name, batch_id + 1)
         saved = snapshot_load(batch.sparkSession, root, name, schema, batch_id + 1)
         diff = table_diff(saved, old, [key])
         values = saved.select(key, F.col(measure).alias("_new")).join(old.select(key, F.col(measure).alias("_old")), key, "full_outer")
@@ -220,6 +221,13 @@ def streaming_matview(stream: DataFrame, ts: str, window: str, aggs: list[Column
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(c for c in out.columns if c != "w"))
 
 
+def run_counting_late(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """Appends a stream's rows to files and counts those that came behind its watermark."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path), late_rows(query)
+
+
 def late_rows(query) -> int:
     """Rows that a finished query dropped behind its watermark."""
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])

@@ -116,6 +116,54 @@ def test_last_change_wins_and_truncate(spark):
     assert {tuple(r) for r in C.apply_changes(target, cut, ["k"], ["seq"]).collect()} == {(4, 4)}
 
 
+def test_null_keys_are_keys(spark):
+    target = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int")
+    batch = spark.createDataFrame([("update", None, 7, 1)], "op string, k int, v int, n int")
+    assert sorted((r.k is None, r.v) for r in C.apply_changes(target, batch, ["k"], ["n"]).collect()) == [(False, 1), (True, 7)]
+
+
+def test_audit_of_a_replayed_batch_stays(spark, tmp_path):
+    rows = spark.createDataFrame([("insert", 1, 5, 1), ("insert", 2, 6, 2)], "op string, k long, v long, n long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda c: C.statement_audit(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "t", rows.select("k", "v").schema, "k", ["n"], f"{tmp_path}/{c}", "v").awaitTermination()
+    found = lambda: spark.read.parquet(f"{tmp_path}/out/t_audit/*").collect()
+    run("a")
+    before = found()
+    run("b")  # a lost checkpoint replays batch 0
+    assert found() == before and len(before) == 1 and before[0].new_sum == 11
+
+
+def test_levels_beyond_the_rounds_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 6)], "node int, needs int")
+    nodes = spark.range(6).selectExpr("cast(id AS int) AS node")
+    assert G.dependency_levels(edges, nodes, rounds=6).count() == 6
+    with pytest.raises(ValueError):
+        G.dependency_levels(edges, nodes, rounds=3)
+
+
+def test_labels_keep_whole_characters_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "é" * 5000), (2, "é" * 5000), (3, None), (4, ""), (5, "漢字"), (6, "ab")], "id int, name string")
+    got = {r.id: r.label for r in W.dedupe_names(rows.withColumn("s", F.lit(1)), ["s"], "name", 5, ["id"]).collect()}
+    assert got == {1: "éé", 2: "éé1", 3: None, 4: "", 5: "漢", 6: "ab"}
+
+
+@pytest.mark.parametrize("old, new, safe", [("bigint", "decimal", False), ("bigint", "decimal(19,0)", True), ("bigint", "decimal(20,2)", False), ("int", "decimal", True), ("int", "float", False), ("smallint", "float", True), ("struct<a:int>", "struct<a:int>", True), ("array<int>", "array<bigint>", False), ("map<string,int>", "map<string,bigint>", False)])
+def test_lossless_pairs_hold_every_value(old, new, safe):
+    assert X.is_lossless(old, new) is safe
+
+
+def test_a_hot_partition_has_several_writers(spark, tmp_path):
+    by = PartitionBy("list", ("k",), (Partition("hot", (0,)), Partition("rest", default=True)))
+    spec = TableSpec("t", (Column("k", "bigint"),), partition_by=by)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        rows = spark.range(0, 600_000, 1, 8).selectExpr("if(id % 10 < 9, 0, id % 7) AS k", "uuid() AS v")
+        S.write_partitioned(rows, spec, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t/partition=hot").glob("*.parquet"))) >= 2
+
+
 def test_library_stands_without_the_corpus_operators():
     import ast
     import pathlib
