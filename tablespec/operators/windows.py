@@ -99,10 +99,10 @@ def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, ord
         win = written(taken.withColumn("_r", first).where("_r = 1").drop("_r"))
         done = win if done is None else done.unionByName(win)
         left = todo.join(win.select(*order, *scope), [*order, *scope], "left_anti")
-        # every claimant of a label tries its own number, so a round settles most of a group
+        # every claimant of a label tries its own number, and numbers double, so few rounds settle a group
         nth = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
         suffix = F.col("_try").cast("string")
-        todo = left.withColumn("_try", (F.col("_try") + nth).cast("int")).withColumn(out, F.concat(clip_bytes(F.col(name), F.lit(max_bytes) - F.octet_length(suffix)), suffix))
+        todo = left.withColumn("_try", (2 * F.col("_try") + nth).cast("int")).withColumn(out, F.concat(clip_bytes(F.col(name), F.lit(max_bytes) - F.octet_length(suffix)), suffix))
         todo = written(todo)
         if todo.isEmpty():
             return done.drop("_try").unionByName(unnamed)
