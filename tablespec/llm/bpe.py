@@ -1,151 +1,112 @@
 """Byte-level BPE ids for Arrow text columns, with a cache of split words.
 
-The texts are split by array operations into the pieces that the tokenizer's
-pattern gives; each distinct piece is encoded once by the public tokenizer's
-own merge ranks. Rows holding characters outside the plainly classified ranges,
-or a special token's string, go whole through the encoder instead.
+Each text is split into the pieces that the tokenizer's pattern gives, and every
+distinct piece is encoded once by the public tokenizer itself, keyed by its
+characters. Texts of plainly classified characters are split by an equal pattern
+of ranges; others by the tokenizer's own splitter. A special token's string in a
+text is that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 from tablespec.llm import words
 
-SPECIAL = "<|endoftext|>"
-_LETTER, _NUMBER, _OTHER, _SPACE, _WHITE = range(5)
-# fixed values: white space of the pattern's \s below the limit, besides the plain space
-_WHITE_POINTS = [9, 10, 11, 12, 13, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
-_LIMIT = 0x2100
-CACHE_PIECES = 400_000
+# fixed values: ranges of code points whose classes are the same in all Unicode versions in use, and white space in them
+_PLAIN = ((0, 0x0530), (0x2000, 0x2100))
+_WHITE = "\t-\r \x85\xa0 -     "
+CACHE_PIECES = 500_000
+LONG_TEXT = 1 << 20
 
 
-def _classes() -> np.ndarray:
-    kind = np.full(_LIMIT, _OTHER, dtype=np.uint8)
-    for c in range(_LIMIT):
-        cat = unicodedata.category(chr(c))[0]
-        kind[c] = _LETTER if cat == "L" else _NUMBER if cat == "N" else _OTHER
-    kind[_WHITE_POINTS] = _WHITE
-    kind[0x20] = _SPACE
-    return kind
+def _ranges(kind: str) -> str:
+    """The plain characters of a Unicode class, as ranges of a pattern."""
+    held = [c for a, b in _PLAIN for c in range(a, b) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c, before in zip(held, [-2, *held]) if c != before + 1]
+    ends = [c for c, after in zip(held, [*held[1:], -2]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+def plain_pattern() -> re.Pattern:
+    """The tokenizer's pattern for plain characters: contractions, letters, numbers, others, white space."""
+    letter, number = _ranges("L"), _ranges("N")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{_WHITE}{letter}{number}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it prints, else the next from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Slots(dict):
+    """Pieces by their text; a new one goes through the tokenizer's merges, and its number is kept."""
+
+    def __init__(self, tokenizer):
+        self.tokenize, self.characters = tokenizer.model.tokenize, byte_characters()
+        self.whole = {t.content: [i] for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.ids, self.begin, self.length = array("I"), array("q"), array("q")
+
+    def __missing__(self, piece: str) -> int:
+        got = self.whole.get(piece) or [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        slot = self[piece] = len(self.begin)
+        self.begin.append(len(self.ids))
+        self.length.append(len(got))
+        self.ids.extend(got)
+        return slot
 
 
 class ByteBpe:
     """ids(column) yields, for row ranges of the column, the ids and their row offsets."""
 
-    def __init__(self, ranks_path: str, pattern: str, special_id: int):
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
-        self.kind = _classes()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.store = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin: list[int] = []
-        self.length: list[int] = []
-        self.used = 0
-        self.begin_a = self.length_a = np.zeros(0, np.int64)
-
-    def _add(self, key: int, piece: bytes) -> None:
-        got = self.encoder._encode_single_piece(piece)
-        if self.used + len(got) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(got)), np.uint32)])
-        self.store[self.used : self.used + len(got)] = got
-        self.slots[key] = len(self.begin)
-        self.begin.append(self.used)
-        self.length.append(len(got))
-        self.used += len(got)
-
-    def _starts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte positions where pieces start, and which rows must go through the encoder."""
-        lead = np.flatnonzero((data & 0xC0) != 0x80)
-        first = data[lead]
-        point = first.astype(np.uint32)
-        if len(lead) != len(data):
-            pad = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-            two = np.flatnonzero((first >= 0xC0) & (first < 0xE0))
-            point[two] = (point[two] & 0x1F) << 6 | pad[lead[two] + 1] & 0x3F
-            three = np.flatnonzero((first >= 0xE0) & (first < 0xF0))
-            point[three] = (point[three] & 0x0F) << 12 | (pad[lead[three] + 1] & 0x3F) << 6 | pad[lead[three] + 2] & 0x3F
-            point[first >= 0xF0] = 0x10000
-        n = len(lead)
-        odd = ~((point < 0x0530) | (point >= 0x2000) & (point < _LIMIT))
-        row_at = np.searchsorted(lead, off)
-        whole = np.zeros(len(off) - 1, dtype=bool)
-        if odd.any():
-            whole[np.searchsorted(off, lead[np.flatnonzero(odd)], "right") - 1] = True
-        kind = self.kind[np.where(odd, 0x41, point)]
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[row_at] = True
-        white = kind >= _SPACE
-        group = np.where(white, _SPACE, kind)
-        run = edge[:n].copy()
-        run[1:] |= group[1:] != group[:-1]
-        last_white = white.copy()  # white, and the next character is in the row and not white
-        last_white[:-1] &= ~white[1:] & ~edge[1:n]
-        last_white[-1:] = False
-        start = run.copy()
-        start |= last_white
-        joined = last_white & (kind == _SPACE)
-        start[1:] &= ~joined[:-1]
-        quote = np.flatnonzero(start & (point == 0x27))
-        quote = quote[quote + 1 < n]
-        quote = quote[~edge[quote + 1]]
-        if len(quote):
-            a = point[quote + 1]
-            inside = (quote + 2 < n) & ~edge[np.minimum(quote + 2, n)]
-            b = np.where(inside, point[np.minimum(quote + 2, n - 1)], 0)
-            short = (a == 0x73) | (a == 0x74) | (a == 0x6D) | (a == 0x64)
-            long = (a == 0x72) & (b == 0x65) | (a == 0x76) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
-            for at, size in ((quote[short], 2), (quote[long], 3)):
-                start[at + 1] = False
-                start[at[at + size < n] + size] = True
-            start |= edge[:n]
-        return lead[start], whole
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(f"({re.escape(t)})" for t in special)) if special else None
+        self.odd = re.compile("[^" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in _PLAIN) + "]")
+        self.pattern = plain_pattern()
+        self.slots = _Slots(self.tokenizer)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, in lists of bounded size."""
+        if self.special and self.special.search(text):
+            for part in filter(None, self.special.split(text)):
+                yield from [[part]] if self.special.fullmatch(part) else self.pieces(part)
+        elif self.odd.search(text):
+            yield [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        elif len(text) <= LONG_TEXT:
+            yield self.pattern.findall(text)
+        else:
+            found = (m.group() for m in self.pattern.finditer(text))
+            while some := list(islice(found, LONG_TEXT)):
+                yield some
 
     def ids(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Yields (first row, last row + 1, ids of all rows, offsets of the rows in them)."""
-        data, off = words.buffers(col)
+        _, off = words.buffers(col)
         for lo, hi in words.row_slices(off):
-            part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            starts, whole = self._starts(part, o)
-            ends = np.append(starts[1:], len(part)) if len(starts) else starts
-            raw = part.tobytes()
-            at = raw.find(SPECIAL.encode())
-            while at >= 0:
-                whole[np.searchsorted(o, at, "right") - 1] = True
-                at = raw.find(SPECIAL.encode(), at + 1)
             if len(self.slots) > CACHE_PIECES:
-                self._reset()
-            keys, first, inverse = np.unique(words.hash_runs(part, starts, ends, lower=False), return_index=True, return_inverse=True)
-            get, slot = self.slots.get, []
-            for k, i in zip(keys.tolist(), first.tolist()):
-                s = get(k)
-                if s is None:
-                    self._add(k, raw[starts[i] : ends[i]])
-                    s = get(k)
-                slot.append(s)
-            if len(self.begin_a) != len(self.begin):
-                self.begin_a, self.length_a = np.array(self.begin), np.array(self.length)
-            slots = np.array(slot, dtype=np.int64)[inverse] if len(starts) else np.zeros(0, np.int64)
-            sizes = self.length_a[slots] if len(slots) else np.zeros(0, np.int64)
+                self.slots = _Slots(self.tokenizer)
+            get, found, rows = self.slots.__getitem__, [], np.zeros(hi - lo + 1, np.int64)
+            for r, text in enumerate(col.slice(lo, hi - lo).to_pylist()):
+                for some in self.pieces(text or ""):
+                    found.append(np.fromiter(map(get, some), np.int64, len(some)))
+                    rows[r + 1] += len(some)
+            slots = np.concatenate(found) if found else np.zeros(0, np.int64)
+            # copies, as the stores grow and views would forbid that
+            begin, length, store = np.array(self.slots.begin), np.array(self.slots.length), self.slots.ids
+            sizes = length[slots]
             before = np.concatenate([[0], np.cumsum(sizes)])
-            take = np.repeat(self.begin_a[slots] - before[:-1], sizes) if len(slots) else np.zeros(0, np.int64)
-            out = self.store[take + np.arange(before[-1])]
-            rows = before[np.searchsorted(starts, o)]
-            if whole.any():
-                texts = [out[rows[r] : rows[r + 1]] for r in range(hi - lo)]
-                for r in np.flatnonzero(whole).tolist():
-                    texts[r] = np.array(self.encoder.encode(raw[o[r] : o[r + 1]].decode(), allowed_special={SPECIAL}), dtype=np.uint32)
-                out = np.concatenate(texts).astype(np.uint32)
-                rows = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            yield lo, hi, out, rows
+            take = np.repeat(begin[slots] - before[:-1], sizes) + np.arange(before[-1])
+            yield lo, hi, np.frombuffer(store, np.uint32)[take] if len(store) else np.zeros(0, np.uint32), before[np.cumsum(rows)]

@@ -133,11 +133,11 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], ByteBpe], id_col: str
 
 
 @functools.lru_cache(maxsize=2)
-def public_byte_bpe(ranks: str = "byte_bpe_50k.tiktoken", special_id: int = 50256) -> ByteBpe:
+def public_byte_bpe(file: str = "byte_bpe_50k.json") -> ByteBpe:
     """The public 50k byte-level encoder; a worker opens it once and keeps its cache of pieces."""
     import public_tokenizers
 
-    return ByteBpe(public_tokenizers.path(ranks), public_tokenizers.PATTERN, special_id)
+    return ByteBpe(public_tokenizers.path(file))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

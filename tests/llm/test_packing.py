@@ -27,6 +27,30 @@ def test_ids_equal_the_tokenizers(tokenizer):
             assert ids[rows[i - lo] : rows[i - lo + 1]].tolist() == tokenizer.encode(texts[i] or "", add_special_tokens=False).ids
 
 
+def test_long_pieces_that_differ_in_structure_only(tokenizer):
+    """Words that agree under any sum of powers modulo 2**64."""
+    import pyarrow as pa
+
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [x for n in (1024, 2048, 4096) for x in (a[:n], a[:n].translate(str.maketrans("ab", "ba")))]
+    for lo, hi, ids, rows in P.public_byte_bpe().ids(pa.array(texts)):
+        for i in range(lo, hi):
+            assert ids[rows[i - lo] : rows[i - lo + 1]].tolist() == tokenizer.encode(texts[i], add_special_tokens=False).ids
+
+
+def test_long_texts_split_alike(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    from tablespec.llm import bpe
+
+    monkeypatch.setattr(bpe, "LONG_TEXT", 7)
+    long = "It's  a   test of\n\nlong texts' 12é " * 40
+    ((_, _, ids, _),) = P.public_byte_bpe().ids(pa.array([long]))
+    assert ids.tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
 def test_pieces_hold_every_id_once(spark, tokenizer):
     rows = [r for r in awkward() if r[0] is not None and r[0] != 6]
     got = P.pack_documents(frame(spark, rows).repartition(2), P.public_byte_bpe, with_ids=True).collect()
