@@ -5,18 +5,22 @@ before blocks, list items, table parts, options, definition terms) and opens
 implied rows. Rendering walks the tree without recursion and emits all visible
 text: blocks on lines of their own, paragraphs and headings apart by an empty
 line, list items with bullets or numbers and indented by depth, preformatted text
-as it is, and table cells padded to columns. Head matter, scripts, styles,
+as it is, and table cells padded to columns, with cells that span rows or columns. Head matter, scripts, styles,
 templates, embedded media, hidden elements and closed details are not visible.
 
 Null and empty pages give empty text. A tag cut off by the end of the page is
-dropped; an unclosed element reaches to the end. Rows stay apart whatever their
-ids. Extra columns are ignored.
+dropped with what follows; an unclosed element reaches to the end. Time and text are
+linear in the page whatever it holds: each ``<`` is looked at once, indentation ends
+at INDENT_MOST characters, a table line pads no cell beyond LINE_MOST, and tables
+nested deeper than NEST_MOST give their cells to the last one above. Rows stay apart
+whatever their ids. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +32,8 @@ from tablespec.llm.shared import small_batches
 #: a quote opens a string only where a value begins; elsewhere it is a plain character
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]*+))?+)*+)>", re.S)
 ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^\s>]*+)))?+")
+OPENS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+INDENT_MOST, CELL_MOST, LINE_MOST, SPAN_MOST, NEST_MOST = 40, 80, 400, 1000, 16
 SPACE = re.compile(r"[ \t\n\f\r]+")
 #: fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -119,14 +125,13 @@ class Builder:
 def parse(page: str) -> Node:
     b, at, n = Builder(), 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
+        opens = OPENS.search(page, at)
+        if not opens or opens.start() > at:
+            b.text(page[at : opens.start() if opens else n])
+        # what opens a tag and does not match is cut off by the end of the page
+        m = TAG.match(page, opens.start()) if opens else None
         if not m:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)
-            b.text(rest[: cut.start()] if cut else rest)
             break
-        if m.start() > at:
-            b.text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -161,7 +166,8 @@ class Writer:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.blank, self.space, self.pre = 0, True, 0
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.depth = 0
         self.marker: str | None = None
 
     def text(self, s: str) -> None:
@@ -193,11 +199,17 @@ class Writer:
         if self.lines:
             self.lines += [""] * self.blank
         self.blank = 0
-        prefix = "".join(self.indent)
+        prefix = " " * min(self.depth, INDENT_MOST)
         if self.marker is not None:
-            prefix, self.marker = prefix[: len(prefix) - len(self.marker)] + self.marker, None
+            prefix, self.marker = prefix[: max(0, len(prefix) - len(self.marker))] + self.marker, None
         self.lines.append((prefix + s).rstrip())
 
+    def shift(self, width: int) -> None:
+        """Indents what follows; a width of 0 takes the last one back."""
+        if width:
+            self.indent.append(width)
+        self.depth += width or -self.indent.pop()
+
     def block(self, margin: int) -> None:
         if self.parts:
             self.line(keep=False)
@@ -208,24 +220,42 @@ class Writer:
         return self.lines
 
 
-def _table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines of a cell, columns it spans), padded so that columns align."""
+def _table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines of a cell, columns and rows it spans), padded so that columns align.
+
+    A cell goes to the first column that no cell from above still takes."""
     width: dict[int, int] = {}
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    placed = []
     for row in rows:
-        c = 0
-        for lines, span in row:
-            if span == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
-            c += span
+        c, cells, fresh = 0, [], {}
+        for lines, across, down in row:
+            while taken.get(c):
+                c += 1
+            cells.append((c, lines, across))
+            if across == 1:
+                width[c] = max(width.get(c, 0), min(CELL_MOST, max(map(len, lines), default=0)))
+            if down > 1:
+                fresh |= {k: down for k in range(c, c + across)}
+            c += across
+        taken = {k: n - 1 for k, n in {**taken, **fresh}.items() if n > 1}
+        placed.append(cells)
+    columns = sorted(width)
+    left, at = {}, 0
+    for k in columns:
+        left[k] = at
+        at += width[k] + 2
     out = []
-    for row in rows:
-        c, cells = 0, []
-        for lines, span in row:
-            room = sum(width.get(k, 0) for k in range(c, c + span)) + 2 * (span - 1)
-            cells.append((lines, room))
-            c += span
-        for i in range(max((len(lines) for lines, _ in cells), default=0)):
-            out.append("  ".join((lines[i] if i < len(lines) else "").ljust(room) for lines, room in cells).rstrip())
+    for cells in placed:
+        # a column that only wide cells reach starts where the last known one ends
+        start = [left[columns[i]] if (i := bisect_left(columns, c)) < len(columns) else at for c, _, _ in cells]
+        for i in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            line = ""
+            for (c, lines, _), x in zip(cells, start):
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(min(x, LINE_MOST)) if not line else (line + "  ").ljust(min(x, LINE_MOST))
+                    line += lines[i]
+            out.append(line.rstrip())
     return out
 
 
@@ -259,14 +289,14 @@ def render(page: str | None) -> str:
                 mark = f"{lists[-1][1]}. " if numbered else "- "
                 if numbered:
                     lists[-1][1] += 1
-                w.indent.append(" " * len(mark))
+                w.shift(len(mark))
                 w.marker = mark
             elif tag in ("dd", "blockquote"):
-                w.indent.append("  ")
+                w.shift(2)
             elif tag == "pre":
                 w.pre += 1
             elif tag == "table":
-                tables.append(([], w))
+                tables.append(([], w) if len(tables) < NEST_MOST else tables[-1])
             elif tag == "tr" and tables:
                 tables[-1][0].append([])
             elif tag in ("td", "th") and tables:
@@ -281,15 +311,16 @@ def render(page: str | None) -> str:
             continue
         if tag in ("td", "th") and tables:
             lines = writers.pop().result()
-            span = node.attributes().get("colspan", "1")
+            spans = [node.attributes().get(a, "1") for a in ("colspan", "rowspan")]
+            spans = [min(SPAN_MOST, max(1, int(x))) if re.fullmatch(r"\d{1,9}", x) else 1 for x in spans]
             if not tables[-1][0]:
                 tables[-1][0].append([])
-            tables[-1][0][-1].append((lines, min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
+            tables[-1][0][-1].append((lines, *spans))
             continue
         if tag == "table":
             rows = tables.pop()[0]
             w.block(1)
-            for line in _table_lines(rows):
+            for line in _table_lines(rows) if not tables or tables[-1][0] is not rows else ():
                 w.parts.append(line)
                 w.line(keep=True)
         elif tag in ("ul", "ol", "menu"):
@@ -299,10 +330,10 @@ def render(page: str | None) -> str:
             w.block(0)
             if w.marker is not None:
                 w.line(keep=True)
-            w.indent.pop()
+            w.shift(0)
         elif tag in ("dd", "blockquote"):
             w.block(0)
-            w.indent.pop()
+            w.shift(0)
         elif tag == "pre":
             w.block(0)
             w.pre -= 1

@@ -1,3 +1,5 @@
+import time
+
 import random
 from html.parser import HTMLParser
 
@@ -105,3 +107,25 @@ def test_query_keeps_every_word(spark):
         plain = Plain()
         plain.feed(r.html)
         assert [w for w in r.text.split() if w != "-"] == plain.words
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>a<td>b<td>c<tr><td rowspan=2 colspan=2>wide<td>d<tr><td>e</table>", "a  b  c\nwide  d\n      e"),
+    ("<table><tr><td>1<td rowspan=3>2<tr><td>3<tr><td>4<tr><td>5<td>6</table>", "1  2\n3\n4\n5  6"),
+])
+def test_row_spans(page, want):
+    assert H.render(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<!-", "< ", "</", "<td rowspan=99 colspan=99>", "<ul><li>x", "<blockquote>q", "<table><tr><td>x", "<tr><td colspan=999>a<td>b", "<b>"])
+def test_broken_and_deep_pages_stay_linear(unit):
+    page = unit * (200_000 // len(unit))
+    began = time.process_time()
+    got = H.render(page)
+    assert time.process_time() - began < 6 and len(got) < 100 * len(page)
+
+
+def test_a_wide_cell_does_not_multiply():
+    page = "<table>" + "<tr><td>" + "w" * 20_000 + "<td>x" + "<tr><td>a<td>b" * 1000
+    assert len(H.render(page)) < 20_000 + 1000 * 500
