@@ -109,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         used = np.flatnonzero(w)
         return pa.table({"i": pa.array(used, pa.int64()), "w": pa.array(w[used] * len(y))})
 
-    rows = docs.join(chosen, docs[id_col] == F.col("id")).select(F.xxhash64("id", F.col(text_col)).alias("k"), F.col(text_col).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = texts.join(chosen, F.col("_id") == F.col("id")).select(F.xxhash64("id", "_text").alias("k"), F.col("_text").alias("text"), "y")
     found = rows.mapInArrow(extract, "k long, y double, f array<int>, x array<float>").withColumn("shard", F.pmod("k", F.lit(shards)))
     learned = found.groupBy("shard").applyInArrow(fit_with_count(fit), "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
     weights = np.zeros(BUCKETS + 2)

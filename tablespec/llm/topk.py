@@ -11,12 +11,16 @@ result is exact. The bounded sample also gives each query a first k-th score.
 Queries and rows meet in blocks: each block of queries is sent to every group of
 rows once, and each meeting returns at most k rows a query. Vectors that are null
 or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros. Ties go to the smaller id; rows with equal ids are different
-rows. Extra columns are ignored.
+padded with zeros; vectors with a component so large that SCALE times it is infinite
+take no part, and scores beyond a long end at its limits. Ties go to the smaller id.
+Rows with equal ids are different rows: each is a candidate of other ids, and each
+that is asked gets its own k rows; a query that is asked twice, id and vector alike,
+counts once. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,37 +53,42 @@ def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
     """Farthest-first traversal from the first vector."""
     if not len(sample):
         return sample
-    picked, far = [0], np.linalg.norm(sample - sample[0], axis=1)
-    while len(picked) < min(pivots, len(sample)) and far.max() > 0:
-        picked.append(int(far.argmax()))
-        far = np.minimum(far, np.linalg.norm(sample - sample[picked[-1]], axis=1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        picked, far = [0], np.linalg.norm(sample - sample[0], axis=1)
+        while len(picked) < min(pivots, len(sample)) and far.max() > 0:
+            picked.append(int(far.argmax()))
+            far = np.minimum(far, np.linalg.norm(sample - sample[picked[-1]], axis=1))
     return sample[picked]
 
 
 def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     if not len(pivots):
         return np.zeros((len(x), 0))
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whole inner products; beyond exact doubles by Python integers, limited to a long."""
-    if not len(x) or np.linalg.norm(q) * np.sqrt((x * x).sum(1).max()) < EXACT:
-        return (x @ q).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        if not len(x) or np.linalg.norm(q) * np.sqrt((x * x).sum(1).max()) < EXACT:
+            return (x @ q).astype(np.int64)
     whole = [int(a) for a in q]
     return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(whole, row)))) for row in x], dtype=np.int64)
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, first: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score): for each query its k best rows, or those not worse than first."""
-    qq, xx = (q * q).sum(1), (x * x).sum(1)
-    lower = np.zeros((len(q), len(x)), np.float32)
-    for j in range(far.shape[1]):
-        np.maximum(lower, np.abs(q_far[:, j, None].astype(np.float32) - far[:, j].astype(np.float32)), out=lower)
-    # rounding may only weaken the bound: distances and single precision are good to about 1e-6 of their size
-    slack = 4e-6 * (np.sqrt(qq)[:, None] + np.sqrt(xx))
-    upper = (qq[:, None] + xx - np.maximum(lower - slack, 0.0) ** 2) / 2
-    upper += 1 + 1e-9 * (qq[:, None] + xx)
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, xx = (q * q).sum(1), (x * x).sum(1)
+        lower = np.zeros((len(q), len(x)), np.float32)
+        for j in range(far.shape[1]):
+            np.maximum(lower, np.abs(q_far[:, j, None].astype(np.float32) - far[:, j].astype(np.float32)), out=lower)
+        # rounding may only weaken the bound: distances and single precision are good to about 1e-6 of their size
+        slack = 4e-6 * (np.sqrt(qq)[:, None] + np.sqrt(xx))
+        upper = (qq[:, None] + xx - np.maximum(lower - slack, 0.0) ** 2) / 2
+        upper += 1 + 1e-9 * (qq[:, None] + xx)
+    upper[~(np.isfinite(upper) & np.isfinite(lower))] = np.inf  # too large for a bound: always evaluated
     out_q, out_id, out_s = [], [], []
     for i in range(len(q)):
         order = np.argsort(-upper[i], kind="stable")
@@ -106,9 +115,9 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     """query_id, rank, id and score of the k rows with the highest scores for each query, itself apart."""
     spark = rows.sparkSession
     vector = F.col(vector_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < float("inf")))
     known = rows.where(good).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
-    asked = queries.where(good).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
+    asked = queries.where(good).select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).dropDuplicates(["id", "v"])
     count, dim = known.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     groups = max(1, -(-count // ROW_BLOCK))
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // SAMPLE))) == 0).limit(SAMPLE).toArrow().combine_chunks()
@@ -148,10 +157,11 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
             for r in range(batch.num_rows):
                 q_ids, q, q_far, first, ids, x, far = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64 if c in (0, 4) else np.float64) for c in range(7))
                 found = search(q_ids, q.reshape(len(q_ids), dim), q_far.reshape(len(q_ids), -1), first, ids, x.reshape(len(ids), dim), far.reshape(len(ids), -1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "id", "score"])
+                row = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in q.reshape(len(q_ids), dim)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), pa.array(row[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "row", "id", "score"])
 
-    met = sent.join(row_blocks.hint("merge"), "g").select("ids", "x", "far", "first", "r_ids", "r_x", "r_far").mapInArrow(meet, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    met = sent.join(row_blocks.hint("merge"), "g").select("ids", "x", "far", "first", "r_ids", "r_x", "r_far").mapInArrow(meet, "query_id long, row long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

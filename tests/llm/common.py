@@ -3,8 +3,8 @@
 import random
 
 WORDS = "the of and to in that is was for on with as his they at be this have from or one had by word but not what all were".split()
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, rid string, size string, score string, component_id string, bucket string, n string, host string, train string"
-TRAP = ("trap",) * 9
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, rid string, size string, score string, component_id string, bucket string, n string, host string, train string, id string, y string, f string, x string, k string, shard string, text_hash string, l string, found string, value string, w string, u string, h string"
+TRAP = ("trap",) * 22
 
 
 def text(seed, n):

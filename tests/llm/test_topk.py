@@ -34,6 +34,28 @@ def test_beyond_exact_doubles(spark):
     assert {tuple(x) for x in got.collect()} == brute(rows, [0], 3, 256)
 
 
+def test_repeated_query_ids_get_their_own_rows(spark):
+    """Two rows of one id are two queries; the same row twice is one."""
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(1, 60)] + [(50, [3.0, -9.0]), (50, [1.0, 6.0]), (50, [1.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id = 50"), scale=1).collect():
+        got.setdefault(r.rank, set()).add((r.vec_id, r.score))
+    want = {}
+    for _, q in {(i, tuple(v)) for i, v in rows if i == 50}:
+        dots = sorted((-int(q[0] * v[0] + q[1] * v[1]), i) for i, v in rows if i != 50)
+        for k, (s, i) in enumerate(dots[:5]):
+            want.setdefault(k + 1, set()).add((i, -s))
+    assert got == want
+
+
+def test_huge_finite_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [2.0, 3.0]), (2, [1e305, -1e300]), (3, [-1e300, 2.0]), (4, [1e308, 0.0]), (5, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in topk.top_k(df, df.where("vec_id = 0"), k=5).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 5), (4, 3)]  # the fifth is infinite when scaled; scores end at a long's limits, ties to the smaller id
+
+
 def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
