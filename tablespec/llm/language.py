@@ -1,15 +1,17 @@
 """Language identification, word-first with backoff to character n-grams.
 
-Words are runs of letters (bytes other than ASCII non-letters; A-Z lower-cased).
+Words are runs of letters (bytes other than ASCII non-letters and typographic
+marks; A-Z lower-cased).
 A known word scores its log frequency in each language. An unseen word falls back
 to its character n-grams, from GRAM_MOST characters down to one: the longest
 length at which any n-gram is known gives the mean of the known log frequencies.
 A document's language has the highest sum; the score is that language's share
 after normalising the sums.
 
-Counts cover all training documents; the model keeps the WORDS_MOST most frequent
-words and GRAMS_MOST n-grams that occur at least twice, and the LANGS_MOST most
-frequent languages, so its size is bounded whatever the corpus. Null texts and
+Counts cover all training documents and all their languages. The model keeps, for
+each language, its most frequent words and n-grams that occur at least twice
+anywhere, at most EACH_MOST and at most its equal part of ALL_MOST, with their
+counts in every language; totals are those of all words. Null texts and
 texts without a letter give ``und`` with score 0, and so does every text if
 nothing was learned. Ties go to the first language name. Repeated rows count as
 often as they come.
@@ -28,9 +30,9 @@ from tablespec.llm import words
 from tablespec.llm.shared import crc_fold, written
 
 GRAM_MOST = 5
-WORDS_MOST = 1 << 17
-GRAMS_MOST = 1 << 16
-LANGS_MOST = 64
+#: words, n-grams
+EACH_MOST = (1 << 17, 1 << 16)
+ALL_MOST = (1 << 20, 1 << 19)
 FLUSH = 400_000
 
 _NOT_LETTER = np.ones(256, dtype=bool)
@@ -63,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for c in words.chunks(batch.column(0), separators=_NOT_LETTER):
+        for c in words.chunks(batch.column(0), separators=_NOT_LETTER, marks=False):
             row_lang, owner = langs[c.lo : c.hi], c.owner()
             for lang in set(row_lang):
                 pick = np.flatnonzero((row_lang == lang)[owner]) if len(owner) else owner
@@ -88,61 +90,79 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of known words and n-grams in each language, by sorted hash."""
-
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
-        self.langs, self.keys, self.logs = langs, [], []
-        for kind, (keys, counts) in enumerate(tables):
-            order = np.argsort(keys)
-            self.keys.append(keys[order])
-            self.logs.append(np.log((counts[order] + 0.5) / (totals[kind] + 0.5 * max(1, len(keys)))).astype(np.float32))
-
-    def _find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log frequencies of known words and n-grams: a default for each language, and what a count adds to it.
+
+    tables has, for words and n-grams, sorted key, language number and count of each entry."""
+
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], totals: np.ndarray, sizes: list[int]):
+        self.langs, self.keys, self.at, self.lang, self.more = langs, [], [], [], []
+        self.default = np.log(0.5 / (totals + 0.5 * np.maximum(1, np.array(sizes))[:, None]))
+        for key, lang, count in tables:
+            keys, at = np.unique(key, return_index=True)
+            self.keys.append(keys)
+            self.at.append(np.append(at, len(key)))
+            self.lang.append(lang.astype(np.int32))
+            self.more.append((np.log(count + 0.5) - np.log(0.5)).astype(np.float32))
+
+    def _add(self, total: np.ndarray, kind: int, h: np.ndarray, row: np.ndarray, share: np.ndarray | None, found: np.ndarray) -> None:
+        """Adds the entries of known hashes to their rows' sums, each by its share."""
+        at = np.searchsorted(self.keys[kind], h[found])
+        first, many = self.at[kind][at], np.diff(self.at[kind])[at]
+        entry = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        value = self.more[kind][entry] if share is None else self.more[kind][entry] * np.repeat(share[found], many)
+        slot = np.repeat(row[found].astype(np.int64), many) * len(self.langs) + self.lang[kind][entry]
+        total += np.bincount(slot, weights=value, minlength=total.size).reshape(total.shape)
+
+    def _known(self, kind: int, h: np.ndarray) -> np.ndarray:
         keys = self.keys[kind]
-        if not len(keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def word_scores(self, c: words.Chunk) -> np.ndarray:
-        at, known = self._find(0, c.hashes)
-        scores = np.zeros((len(c.hashes), len(self.langs)), np.float32)
-        scores[known] = self.logs[0][at[known]]
+        return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+
+    def sums(self, c: words.Chunk) -> np.ndarray:
+        """The log score of each row of a chunk in each language."""
+        total, owner = np.zeros((c.hi - c.lo, len(self.langs))), c.owner()
+        known = self._known(0, c.hashes)
+        total += np.bincount(owner[known], minlength=len(total))[:, None] * self.default[0]
+        self._add(total, 0, c.hashes, owner, None, np.flatnonzero(known))
         left = np.flatnonzero(~known)
         for n in range(GRAM_MOST, 0, -1):
             if not len(left):
                 break
             g, word = _grams(c.data, c.starts[left], c.ends[left], n)
-            at, found = self._find(1, g)
+            found = np.flatnonzero(self._known(1, g))
             hits = np.bincount(word[found], minlength=len(left))
-            for j in range(len(self.langs)):
-                total = np.bincount(word[found], weights=self.logs[1][at[found], j], minlength=len(left))
-                scores[left, j] = np.where(hits > 0, total / np.maximum(hits, 1), 0)
+            total += np.bincount(owner[left[hits > 0]], minlength=len(total))[:, None] * self.default[1]
+            self._add(total, 1, g, owner[left][word], 1 / np.maximum(hits, 1)[word], found)
             left = left[hits == 0]
-        return scores
+        return total
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts words and n-grams of all given documents with a language; keeps a bounded model."""
-    counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, kind int, h long, c long")
+    """Counts words and n-grams of all given documents with a language; keeps a bounded model of each language."""
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counted = known.mapInArrow(_count, "lang string, kind int, h long, c long")
     summed = counted.groupBy("kind", "h", "lang").agg(F.sum("c").alias("c")).groupBy("kind", "h").agg(F.sum("c").alias("c"), F.collect_list(F.struct("lang", "c")).alias("by"))
     seen = written(summed.where("c >= 2"))
-    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("d"))
-    langs = sorted(r.lang for r in sizes.orderBy(F.desc("d"), "lang").limit(LANGS_MOST).collect())
-    tops = [seen.where(F.col("kind") == k).orderBy(F.desc("c"), "h").limit(m).select("kind", "h", F.explode("by").alias("b")).select("kind", "h", "b.lang", "b.c") for k, m in ((0, WORDS_MOST), (1, GRAMS_MOST))]
-    table = tops[0].union(tops[1]).toArrow()
-    at = {x: i for i, x in enumerate(langs)}
-    kind, h, c = (table.column(n).to_numpy() for n in ("kind", "h", "c"))
-    column = np.array([at.get(x, -1) for x in table.column("lang").to_pylist()], dtype=np.int64)
-    tables, totals = [], np.zeros((2, len(langs)))
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    number = {x: i for i, x in enumerate(langs)}
+    steps = seen.select("kind", F.inline("by")).groupBy("kind", "lang", F.ceil(F.log2("c") * 16).alias("step")).agg(F.min("c").alias("c"), F.sum("c").alias("all"), F.count("*").alias("n"))
+    floors, held, totals = np.full((2, len(langs)), np.iinfo(np.int64).max), np.zeros((2, len(langs)), np.int64), np.zeros((2, len(langs)))
+    for r in steps.orderBy(F.desc("step")).collect():
+        i = number[r.lang]
+        totals[r.kind, i] += r["all"]
+        held[r.kind, i] += r.n
+        if held[r.kind, i] <= min(EACH_MOST[r.kind], max(1, ALL_MOST[r.kind] // len(langs))):
+            floors[r.kind, i] = r.c
+    sizes = {r.kind: r["count"] for r in seen.groupBy("kind").count().collect()}
+    tables = []
     for k in (0, 1):
-        pick = (kind == k) & (column >= 0)
-        keys, inverse = np.unique(h[pick].astype(np.int64).view(np.uint64), return_inverse=True)
-        counts = np.zeros((len(keys), len(langs)))
-        np.add.at(counts, (inverse, column[pick]), c[pick])
-        tables.append((keys, counts))
-        totals[k] = counts.sum(axis=0)
-    return Model(langs, tables, totals)
+        floor = F.map_from_arrays(F.lit(langs).cast("array<string>"), F.lit(floors[k].tolist()).cast("array<long>"))
+        place = F.map_from_arrays(F.lit(langs).cast("array<string>"), F.lit(list(range(len(langs)))).cast("array<int>"))
+        kept = seen.where((F.col("kind") == k) & F.exists("by", lambda b: b["c"] >= F.element_at(floor, b["lang"]))) if langs else seen.limit(0)
+        entries = kept.select("h", F.inline("by")).select("h", F.element_at(place, F.col("lang")).alias("l") if langs else F.lit(0).alias("l"), "c").toArrow()
+        h, lang, c = entries.column("h").to_numpy().astype(np.int64).view(np.uint64), entries.column("l").to_numpy(), entries.column("c").to_numpy()
+        order = np.lexsort((lang, h))
+        tables.append((h[order], lang[order], c[order].astype(np.float64)))
+    return Model(langs, tables, totals, [sizes.get(k, 0) for k in (0, 1)])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -157,10 +177,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
             pred, score = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
             letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             if m.langs:
-                for c in words.chunks(batch.column(0), separators=_NOT_LETTER):
-                    sums = np.zeros((len(c.hashes) + 1, len(m.langs)))
-                    np.cumsum(m.word_scores(c), axis=0, out=sums[1:])
-                    total = sums[c.woff[1:]] - sums[c.woff[:-1]]
+                for c in words.chunks(batch.column(0), separators=_NOT_LETTER, marks=False):
+                    total = m.sums(c)
                     best = total.argmax(axis=1)
                     share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     own = letters[c.lo : c.hi]

@@ -134,10 +134,26 @@ def split_words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP
     return starts, ends, np.searchsorted(starts, off)
 
 
-def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SEP) -> Iterator[Chunk]:
+def without_marks(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with spaces for typographic marks: U+2000-203F, Latin-1's marks and U+3000-3011."""
+    out = data.copy()
+    if len(data) < 3:
+        return out
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    three = np.flatnonzero((a == 0xE2) & (b == 0x80) | (a == 0xE3) & (b == 0x80) & (c < 0x92))
+    two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA0) & ~np.isin(data[1:], [0xAA, 0xB5, 0xBA]))
+    for at, size in ((three, 3), (two, 2)):
+        for k in range(size):
+            out[at + k] = 0x20
+    return out
+
+
+def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SEP, marks: bool = True) -> Iterator[Chunk]:
+    """Chunks of rows with their words; without marks, typographic marks part words too."""
     data, off = buffers(col)
     for lo, hi in row_slices(off, max_bytes):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        part = part if marks else without_marks(part)
         starts, ends, woff = split_words(part, o, separators)
         yield Chunk(lo, hi, part, o, starts, ends, woff, hash_runs(part, starts, ends, lower))
 

@@ -1,4 +1,8 @@
+import numpy as np
+import pyarrow as pa
+
 from tablespec.llm import language as L
+from tablespec.llm import words
 from tests.llm.common import awkward, frame, text
 
 
@@ -16,6 +20,51 @@ def test_predicts_held_out_and_unseen_words(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_language_is_learned(spark):
+    """Ninety languages, most of them small beside one large one, each with its own vocabulary."""
+    own = lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in "alpha beta gamma delta omega".split()]
+    rows = [(1000 * k + i, " ".join(own(k)[(i + j) % 5] for j in range(12)), f"l{k:02}", "a") for k in range(90) for i in range(60 if k == 0 else 3)]
+    docs = frame(spark, rows)
+    model = L.train(docs)
+    got = L.predict(docs, model, carry=("lang",)).where("lang <> lang_pred").count()
+    assert len(model.langs) == 90 and got == 0
+
+
+def test_equals_plain_sums(spark):
+    """Scores of a chunk, word by word with dictionaries."""
+    import math
+
+    docs = sample()
+    model = L.train(frame(spark, docs))
+    words_of = lambda x: "".join(c if c.isalpha() else " " for c in x.lower()).split()
+    grams_of = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)]
+    count = {0: {}, 1: {}}
+    for _, x, lang, _ in docs:
+        for w in words_of(x):
+            for kind, item in [(0, w), *((1, (n, g)) for n in range(1, 6) for g in grams_of(w, n))]:
+                count[kind].setdefault(item, {}).setdefault(lang, 0)
+                count[kind][item][lang] += 1
+    count = {k: {i: c for i, c in t.items() if sum(c.values()) >= 2} for k, t in count.items()}
+    total = {(k, x): sum(c.get(x, 0) for c in t.values()) for k, t in count.items() for x in ("en", "xx")}
+    log = lambda k, item, x: math.log((count[k][item].get(x, 0) + 0.5) / (total[k, x] + 0.5 * len(count[k])))
+    asked = "the wasinthat onewordat — zzz « thé » q"
+    want = []
+    for x in ("en", "xx"):
+        s = 0
+        for w in words_of(asked):
+            if w in count[0]:
+                s += log(0, w, x)
+                continue
+            for n in range(5, 0, -1):
+                hits = [log(1, (n, g), x) for g in grams_of(w, n) if (n, g) in count[1]]
+                if hits:
+                    s += sum(hits) / len(hits)
+                    break
+        want.append(s)
+    (c,) = words.chunks(pa.array([asked]), separators=L._NOT_LETTER, marks=False)
+    assert np.allclose(model.sums(c)[0], want, rtol=1e-4)
+
+
 def test_no_letters_is_und(spark):
     model = L.train(frame(spark, sample()))
     rows = [(1, None, None, "a"), (2, "", "en", "a"), (3, "12 34 !!", "en", "a"), (4, "漢字", "en", "a"), (5, "a", "en", "a")]
