@@ -40,18 +40,27 @@ def sainte_lague(df: DataFrame, within: list[str], key: list[str], weight: str,
 
     A row's count lies near its share of the seats: rounding the shares misplaces at
     most half a seat a row, which the divisor spreads in proportion. So only seats in
-    that range compete one by one; those below are sure.
+    that range compete one by one; those below are sure. The sums of a group are
+    aggregates, and its seats are ranked over many range partitions, so a group may
+    have any number of rows.
     """
-    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    part = F.col(weight) / F.nullif(F.sum(weight).over(group), F.lit(0.0))
+    by = within or ["_all"]
+    rows = df if within else df.withColumn("_all", F.lit(0))
+    sums = rows.groupBy(*by).agg(F.sum(weight).alias("_weight"), F.count("*").alias("_rows"))
+    part = F.col(weight) / F.nullif("_weight", F.lit(0.0))
     share = F.coalesce(F.col(seats) * part, F.lit(0.0))
-    slack = F.lit(2) + F.ceil(F.coalesce(part, F.lit(0.0)) * F.count("*").over(group) / 2)
-    ranged = df.withColumn("_lo", F.least(F.greatest(F.floor(share) - slack, F.lit(0)), F.col(cap))).withColumn("_hi", F.least(F.ceil(share) + slack, F.col(cap)))
-    left = F.col(seats) - F.sum("_lo").over(group)
-    seat = ranged.withColumn("_left", left).where((F.col("_hi") > F.col("_lo")) & (F.col(weight) > 0)).withColumn("_s", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))))
-    order = group.orderBy((F.col(weight) / (2 * F.col("_s") - 1)).desc(), *(F.col(k).asc_nulls_last() for k in key), "_s")
-    won = seat.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_left")).groupBy(*within, *(k for k in key if k not in within)).agg(F.count("*").alias("_won"))
-    return ranged.join(won, [*within, *(k for k in key if k not in within)], "left").withColumn(out, F.col("_lo") + F.coalesce("_won", F.lit(0))).drop("_lo", "_hi", "_won")
+    slack = F.lit(2) + F.ceil(F.coalesce(part, F.lit(0.0)) * F.col("_rows") / 2)
+    ranged = rows.join(sums, by).withColumn("_lo", F.least(F.greatest(F.floor(share) - slack, F.lit(0)), F.col(cap))).withColumn("_hi", F.least(F.ceil(share) + slack, F.col(cap))).drop("_weight", "_rows")
+    sure = ranged.groupBy(*by).agg(F.sum("_lo").alias("_sure"))
+    open_rows = ranged.join(sure, by).withColumn("_left", F.col(seats) - F.col("_sure")).where((F.col("_hi") > F.col("_lo")) & (F.col(weight) > 0))
+    seat = open_rows.withColumn("_s", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi")))).withColumn("_q", F.col(weight) / (2 * F.col("_s") - 1))
+    place = [F.col("_q").desc(), *(F.col(k).asc_nulls_last() for k in key), F.col("_s").asc()]
+    dealt = written(seat.select(*by, *key, "_left", "_q", "_s").repartitionByRange(*by, *place).withColumn("_p", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*by, "_p").agg(F.count("*").alias("_n")).select(*by, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    rank = F.col("_o") + F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*place))
+    won = dealt.join(offsets, [*by, "_p"]).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).groupBy(*by, *key).agg(F.count("*").alias("_won"))
+    return ranged.join(won, [*by, *key], "left").withColumn(out, F.col("_lo") + F.coalesce("_won", F.lit(0))).drop("_lo", "_hi", "_won", "_all")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
