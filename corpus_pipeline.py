@@ -6,7 +6,7 @@ the shared folder and reads it again.
 
 quality rules   documents that fail the rules go, and lines common on their host
 jaccard join    of each near-duplicate group (5-word shingles, 0.8) the document
-                with the longest text stays, ties to the least id
+                with the most distinct shingles stays, ties to the least id
 secret scan     live-looking credentials are replaced by a placeholder
 mixing          a document stays as many times as the mix takes it, in whole copies
 packing         best-fit decreasing into windows of 1024 tokens
@@ -100,6 +100,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents; once they are stored, shared.drop_written frees the folders in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -30,11 +30,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet files in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-llm"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all that this application has written; call it once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def count_floor(counts: DataFrame, col: str, most: int) -> int:
     """The least count such that at most this many rows have it or more, from a histogram of the counts."""
     by_count = counts.groupBy(col).agg(F.count("*").alias("_rows")).select(F.col(col).alias("c"), F.ceil(F.log2(col) * 16).alias("step"), "_rows")
