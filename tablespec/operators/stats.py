@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablespec.operators.constraints import all_of, union_all
+from tablespec.paths import written
+
+STATES_MOST = 100_000
 
 
 def candidate_keys(df: DataFrame, cols: list[str], max_width: int = 2) -> DataFrame:
@@ -36,19 +39,27 @@ def column_stats(df: DataFrame, targets: dict[str, int], exact: bool = False) ->
     """column_name, null_share, n_distinct, avg_width, mcv and histogram of each column.
 
     A target is the number of most common values and of histogram bounds (-1: 100). Most common
-    values are value:count by falling count; bounds are equi-depth percentiles."""
-    parts = []
-    for c, target in targets.items():
-        k = 100 if target < 0 else target
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        points = [i / max(1, k) for i in range(k + 1)]
-        base = df.agg((F.count_if(F.col(c).isNull()) / F.nullif(F.count("*"), F.lit(0))).alias("null_share"), distinct.alias("n_distinct"), F.avg(F.octet_length(F.col(c).cast("string"))).alias("avg_width"))
-        numeric = df.schema[c].dataType.typeName() in ("integer", "long", "double", "float", "short")
-        bounds = df.agg((F.percentile(c, points) if exact else F.percentile_approx(c, points, 10000)).cast("array<string>").alias("histogram")) if numeric else df.agg(F.lit(None).cast("array<string>").alias("histogram"))
-        top = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(k)
-        mcv = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "v"))).alias("m")).select(F.transform("m", lambda x: F.concat(x["v"], F.lit(":"), (-x["n"]).cast("string"))).alias("mcv"))
-        parts.append(base.join(bounds).join(mcv).select(F.lit(c).alias("column_name"), "null_share", "n_distinct", "avg_width", "mcv", "histogram"))
-    return union_all(parts)
+    values are value:count by falling count; bounds are equi-depth percentiles. Whatever the columns,
+    one pass counts the values of every column, another takes distinct counts and percentiles."""
+    names, many = list(targets), {c: 100 if t < 0 else t for c, t in targets.items()}
+    label = lambda i: sum(1 << (len(names) - 1 - j) for j in range(len(names)) if j != i)
+    column = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(names) for x in (label(i), c))), F.col("_g").cast("int"))
+    sets = df.select(*(F.col(c).cast("string").alias(c) for c in names)).groupingSets([[c] for c in names], *names).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    values = written(sets.select(column.alias("column_name"), F.coalesce(*names).alias("v"), "n"))
+    held = F.when(F.col("v").isNotNull(), F.col("n"))
+    base = values.groupBy("column_name").agg((F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_share"), F.count("v").alias("exact"), (F.sum(F.octet_length("v") * F.col("n")) / F.sum(held)).alias("avg_width"))
+    numeric = [c for c in names if df.schema[c].dataType.typeName() in ("integer", "long", "double", "float", "short")]
+    points = {c: [i / max(1, many[c]) for i in range(many[c] + 1)] for c in names}
+    bounds = lambda c: (F.percentile(c, points[c]) if exact else F.percentile_approx(c, points[c], 10000)).cast("array<string>") if c in numeric else F.lit(None).cast("array<string>")
+    one = df.agg(F.count("*").alias("_all"), *(bounds(c).alias(f"h{i}") for i, c in enumerate(names) if c in numeric), *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(names) if not exact))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), (F.col(f"h{i}") if c in numeric else F.lit(None).cast("array<string>")).alias("histogram"), (F.lit(0) if exact else F.col(f"d{i}")).cast("long").alias("near"), F.lit(many[c]).alias("most")) for i, c in enumerate(names)))
+    facts = one.select(F.inline(rows))
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "v"))
+    top = values.where("v IS NOT NULL").withColumn("_r", rank).where(F.col("_r") <= max(many.values(), default=0)).join(facts.select("column_name", "most"), "column_name").where("_r <= most")
+    mcv = top.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))).alias("m"))
+    common = F.coalesce(F.transform("m", lambda x: F.concat(x["v"], F.lit(":"), (-x["n"]).cast("string"))), F.array().cast("array<string>"))
+    out = facts.join(base, "column_name", "left").join(mcv, "column_name", "left")
+    return out.select("column_name", "null_share", (F.coalesce("exact", F.lit(0)) if exact else F.col("near")).alias("n_distinct"), "avg_width", common.alias("mcv"), "histogram")
 
 
 def ext_ndistinct(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -63,10 +74,13 @@ def ext_ndistinct(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def ext_dependencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """(determinant, dependent, degree): share of rows in groups of A that hold a single B."""
+    sets = list(combinations(cols, 2))
+    grouped = df.groupBy(*cols).agg(F.count("*").alias("n")).groupingSets([list(x) for x in sets], *cols).agg(F.sum("n").alias("n"), F.grouping_id().alias("_g"))
+    grouped = written(grouped)  # one pass over the rows; what follows reads the counts of pairs
     parts = []
-    for a in cols:
-        for b in (c for c in cols if c != a):
-            pairs = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    for x in sets:
+        pairs = grouped.where(F.col("_g") == sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in x))
+        for a, b in (x, x[::-1]):
             groups = pairs.groupBy(a).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
             parts.append(groups.agg((F.coalesce(F.sum(F.when(F.col("kinds") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("degree")).select(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), "degree"))
     return union_all(parts)
@@ -90,19 +104,26 @@ def ext_mcv(df: DataFrame, cols: list[str], target: int) -> DataFrame:
 def custom_aggregate(df: DataFrame, by: list[str], cols: list[str], initial: Callable[[], object], step: Callable, combine: Callable, final: Callable, out: str, out_type: str) -> DataFrame:
     """A user aggregate in two steps: partial states per partition and key, combined per key.
 
-    States must pickle; the shuffle moves one state per key and partition."""
+    step takes a state and arrays: the columns of a key's rows in one batch. States must pickle; the
+    shuffle moves a state per key and partition, more where a partition has over STATES_MOST keys."""
     import pickle
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
+    def packed(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*by, "_state"])
+
     def partial(frames):
         states: dict = {}
         for f in frames:
-            for row in f.itertuples(index=False):
-                key = tuple(row[: len(by)])
-                states[key] = step(states[key] if key in states else initial(), *row[len(by) :])
+            for key, rows in f.groupby(by, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                states[key] = step(states[key] if key in states else initial(), *(rows[c].to_numpy() for c in cols))
+            if len(states) > STATES_MOST:
+                yield packed(states)
+                states = {}
         if states:
-            yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*by, "_state"])
+            yield packed(states)
 
     def finish(f: pd.DataFrame) -> pd.DataFrame:
         state = initial()
