@@ -2,11 +2,10 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D (all ASCII, so
 the rule is the same for UTF-8 bytes and for code points). Hashes are 64 bits
-wide over the (optionally A-Z lower-cased) UTF-8 bytes: a table has a random
-number for each byte at each of the first TABLE_BYTES places, and a run's numbers
-are added and mixed; longer runs take BLAKE2b. No structure of a text makes two
-runs collide, and equal words have equal hashes on every machine. Null texts are
-empty.
+wide over the (optionally A-Z lower-cased) UTF-8 bytes: runs of up to LONG_RUN bytes
+take them eight at a time, mixed after each eight; longer runs take BLAKE2b. No
+structure of a text makes two runs collide, and equal words have equal hashes on
+every machine. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -19,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 18
-TABLE_BYTES = 64
+LONG_RUN = 64
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES < 91), _BYTES + 32, _BYTES).astype(np.uint8)
-#: raw output of this generator is the same in every numpy version; the row at the end is zero
-_TABLE = np.append(np.random.PCG64(20240229).random_raw(256 * TABLE_BYTES), np.zeros(256, np.uint64)).astype(np.uint64)
+#: keeps the first n bytes of eight
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _K = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3], dtype=np.uint64)
 
@@ -64,38 +63,19 @@ class Chunk:
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """Hash of data[starts[i]:ends[i]] for ascending, disjoint runs."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        part = _LOWER[data[a:b]] if lower else data[a:b]
-        place = np.arange(b - a, dtype=np.int32)
-        place -= np.repeat(s.astype(np.int32), np.diff(np.append(s, b - a)))
-        np.minimum(place, TABLE_BYTES, out=place)
-        place <<= 8
-        place |= part
-        sums = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_TABLE.take(place), out=sums[1:])
-        got = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * _K[0])
-        for r in np.flatnonzero(e - s > TABLE_BYTES).tolist():
-            got[r] = int.from_bytes(hashlib.blake2b(part[s[r] : e[r]], digest_size=8).digest(), "little")
-        out[i:j] = got
-        i = j
-    return out
-
-
-def hash_short(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """The same hashes for runs of at most TABLE_BYTES bytes that may overlap."""
-    part = _LOWER[data] if lower else data
+    """Hash of data[starts[i]:ends[i]]; runs may overlap."""
+    bytes_ = np.zeros(len(data) + 8, np.uint8)
+    bytes_[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", bytes_, strides=(1,))  # the eight bytes from each place on
     n = ends - starts
     out = n.astype(np.uint64) * _K[0]
-    for k in range(int(n.max(initial=0))):
-        at = np.flatnonzero(n > k)
-        out[at] += _TABLE[part[starts[at] + k].astype(np.int32) | k << 8]
-    return mix(out)
+    for k in range(0, min(int(n.max(initial=0)), LONG_RUN), 8):
+        at = np.flatnonzero(n > k) if k else slice(None)
+        some = eight[starts[at] + k] & _FIRST[np.minimum(n[at] - k, 8)]
+        out[at] = mix(out[at] + some * _K[1] + np.uint64(k))
+    for r in np.flatnonzero(n > LONG_RUN).tolist():
+        out[r] = int.from_bytes(hashlib.blake2b(bytes_[starts[r] : ends[r]], digest_size=8).digest(), "little")
+    return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
