@@ -27,7 +27,7 @@ CACHE_PIECES = 500_000
 LONG_TEXT = 1 << 20
 
 
-def _ranges(kind: str) -> str:
+def plain_ranges(kind: str) -> str:
     """The plain characters of a Unicode class, as ranges of a pattern."""
     held = [c for a, b in _PLAIN for c in range(a, b) if unicodedata.category(chr(c))[0] == kind]
     starts = [c for c, before in zip(held, [-2, *held]) if c != before + 1]
@@ -37,7 +37,7 @@ def _ranges(kind: str) -> str:
 
 def plain_pattern() -> re.Pattern:
     """The tokenizer's pattern for plain characters: contractions, letters, numbers, others, white space."""
-    letter, number = _ranges("L"), _ranges("N")
+    letter, number = plain_ranges("L"), plain_ranges("N")
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{_WHITE}{letter}{number}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
@@ -51,13 +51,16 @@ def byte_characters() -> dict[int, str]:
 class _Slots(dict):
     """Pieces by their text; a new one goes through the tokenizer's merges, and its number is kept."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, special: bool):
         self.tokenize, self.characters = tokenizer.model.tokenize, byte_characters()
-        self.whole = {t.content: [i] for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.whole = {t.content: [i] for i, t in tokenizer.get_added_tokens_decoder().items() if special}
         self.ids, self.begin, self.length = array("I"), array("q"), array("q")
 
+    def merge(self, piece: str) -> list[int]:
+        return self.whole.get(piece) or [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+
     def __missing__(self, piece: str) -> int:
-        got = self.whole.get(piece) or [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        got = self.merge(piece)
         slot = self[piece] = len(self.begin)
         self.begin.append(len(self.ids))
         self.length.append(len(got))
@@ -66,17 +69,27 @@ class _Slots(dict):
 
 
 class ByteBpe:
-    """ids(column) yields, for row ranges of the column, the ids and their row offsets."""
+    """ids(column) yields, for row ranges of the column, the ids and their row offsets.
+
+    Unless special, the strings of special tokens are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(f"({re.escape(t)})" for t in special)) if special else None
+        self.tokenizer.encode_special_tokens = not special
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(f"({re.escape(t)})" for t in strings)) if strings else None
         self.odd = re.compile("[^" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in _PLAIN) + "]")
         self.pattern = plain_pattern()
-        self.slots = _Slots(self.tokenizer)
+        self.slots = self._empty()
+
+    def _empty(self) -> _Slots:
+        return _Slots(self.tokenizer, self.special is not None)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a short text, which are not kept."""
+        return [i for some in self.pieces(text) for p in some for i in self.slots.merge(p)]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, in lists of bounded size."""
@@ -97,7 +110,7 @@ class ByteBpe:
         _, off = words.buffers(col)
         for lo, hi in words.row_slices(off):
             if len(self.slots) > CACHE_PIECES:
-                self.slots = _Slots(self.tokenizer)
+                self.slots = self._empty()
             get, found, rows = self.slots.__getitem__, [], np.zeros(hi - lo + 1, np.int64)
             for r, text in enumerate(col.slice(lo, hi - lo).to_pylist()):
                 for some in self.pieces(text or ""):

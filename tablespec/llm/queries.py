@@ -15,6 +15,7 @@ from tablespec.llm import quality_model
 from tablespec.llm import topk
 from tablespec.llm import pitman_yor
 from tablespec.llm import html_text
+from tablespec.llm.alignment import op11_token_alignment
 from tablespec.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": pitman_yor.op4_lm_scoring,
     "op7_html_extraction": html_text.op7_html_extraction,
     "op8_packing": op8_packing,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
