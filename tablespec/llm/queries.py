@@ -15,6 +15,7 @@ from tablespec.llm import quality_model
 from tablespec.llm import topk
 from tablespec.llm import pitman_yor
 from tablespec.llm import html_text
+from tablespec.llm import prefix_trie
 from tablespec.llm.alignment import op11_token_alignment
 from tablespec.llm.packing import op8_packing
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": html_text.op7_html_extraction,
     "op8_packing": op8_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op5_secret_scan": secrets.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
