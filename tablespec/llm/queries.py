@@ -13,6 +13,7 @@ from tablespec.llm import secrets
 from tablespec.llm import language
 from tablespec.llm import quality_model
 from tablespec.llm import topk
+from tablespec.llm import edit_sketch
 from tablespec.llm import pitman_yor
 from tablespec.llm import html_text
 from tablespec.llm import prefix_trie
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": html_text.op7_html_extraction,
     "op8_packing": op8_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_edit_fingerprints": edit_sketch.op12_edit_fingerprints,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
