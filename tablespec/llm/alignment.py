@@ -355,7 +355,7 @@ class _Counts:
 
     def __init__(self, rows: list, best: dict[int, int], b_ids: int):
         self.bins = {r.bin: (MinimalHash.from_bytes(r.sizes, r.bits), np.frombuffer(r.keys, "<i8"), np.frombuffer(r.counts, "<i8")) for r in rows}
-        self.best = np.zeros(max(best, default=0) + 1, np.int64)
+        self.best = np.zeros(-(-(1 << 32) // b_ids), np.int64)  # for any id that a pair can hold
         self.best[list(best)] = list(best.values())
         self.b_ids = b_ids
 

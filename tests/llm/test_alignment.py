@@ -130,6 +130,13 @@ def test_pair_counts_are_of_documents(spark, plain):
     assert {(r.a, r.b): r.n_docs for r in found.collect()} == dict(counts)
 
 
+def test_units_known_from_other_documents_may_hold_larger_ids(spark):
+    """A worker's units also come from earlier documents; ids beyond those counted are no error."""
+    A.align_documents(frame(spark, awkward())).count()
+    docs = [(1, "a", "en", "a")]
+    assert [r.n_links for r in A.align_documents(frame(spark, docs).coalesce(1)).collect()] == [1]
+
+
 def test_no_rows_and_groups(spark):
     df = frame(spark, awkward())
     assert A.align_documents(df.limit(0)).count() == 0
