@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablespec.operators.constraints import all_of, any_of, union_all
 from tablespec.spec import Policy, TableSpec
@@ -164,21 +165,61 @@ def label_mask(df: DataFrame, labels: dict[str, str], clearance: set[str], hashe
     return df.withColumns(out)
 
 
-def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Rename, add, default, convert, generate, drop and order, as one projection."""
-    have = {spec.renames.get(c, c) if spec.renames.get(c, c) not in df.columns else c: c for c in df.columns}
-    inner = []
+def _cast(value: Column, to: T.DataType) -> Column:
+    return value.cast(to)
+
+
+def converted(value: Column, have: T.DataType, want: T.DataType, renames: dict[str, str], path: str, cast=_cast) -> Column:
+    """The value as another type: attributes of structs, also inside arrays, go by name and by the renames of their path."""
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType) and have != want:
+        return F.transform(value, lambda x: converted(x, have.elementType, want.elementType, renames, path, cast))
+    if not (isinstance(have, T.StructType) and isinstance(want, T.StructType)) or have == want:
+        return cast(value, want)
+    source = attribute_sources(path, have.names, want.names, renames)
+    made = []
+    for f in want.fields:
+        at = source.get(f.name)
+        part = F.lit(None).cast(f.dataType) if at is None else converted(value[at], have[at].dataType, f.dataType, renames, f"{path}.{f.name}", cast)
+        made.append(part.alias(f.name))
+    return F.when(value.isNotNull(), F.struct(*made))
+
+
+def attribute_sources(path: str, have: list[str], want: list[str], renames: dict[str, str]) -> dict[str, str]:
+    """Each wanted attribute's name before; renames are written with the owner's path in front."""
+    out = {n: n for n in want if n in have}
+    for a, b in renames.items():
+        (_, old), (owner, new) = (("", *x.rsplit(".", 1))[-2:] for x in (a, b))
+        if owner == path and old in have and old not in want and new in want and new not in have:
+            out[new] = old
+    return out
+
+
+def sources(columns: list[str], spec: TableSpec) -> dict[str, str]:
+    """Each declared column's name among the given ones; a rename counts where its new name is not there."""
+    back = {b: a for a, b in spec.renames.items() if "." not in b and a in columns and b not in columns}
+    return {n: back.get(n, n) for n in spec.names() if back.get(n, n) in columns}
+
+
+def conformed_columns(df: DataFrame, spec: TableSpec, cast=_cast) -> list[Column]:
+    """The declared columns but the generated ones, from the columns of df."""
+    have, out = sources(df.columns, spec), []
     for c in spec.columns:
         if c.generated:
             continue
+        want = T.DataType.fromDDL(c.type)
         if c.using:
-            value = F.expr(c.using)
+            value = cast(F.expr(c.using), want)
         elif c.name in have:
-            value = F.col(have[c.name])
+            value = converted(F.col(f"`{have[c.name]}`"), df.schema[have[c.name]].dataType, want, spec.renames, c.name, cast)
         else:
-            value = F.expr(c.default) if c.default else F.lit(None)
-        inner.append(value.cast(c.type).alias(c.name))
-    base = df.select(*inner)
+            value = (F.expr(c.default) if c.default else F.lit(None)).cast(want)
+        out.append(value.alias(c.name))
+    return out
+
+
+def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rename, add, default, convert, generate, drop and order, as one projection; struct attributes go by name."""
+    base = df.select(*conformed_columns(df, spec))
     return base.withColumns({c.name: F.expr(c.generated).cast(c.type) for c in spec.columns if c.generated}).select(*spec.names())
 
 

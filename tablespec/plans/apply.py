@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablespec.operators.constraints import check_rules, domain_rules, enum_rules, not_null_rules, reconcile, row_rules, union_all, unique_report
+from tablespec.operators.constraints import check_rules, domain_rules, enum_rules, fk_report, not_null_rules, reconcile, row_rules, union_all, unique_report
 from tablespec.operators.diffs import table_diff
 from tablespec.operators.project import conform
-from tablespec.plans.jobs import blocked
+from tablespec.plans.jobs import blocked, plan_table
 from tablespec.sources.scan import publish_folder, snapshot_load, snapshot_save, snapshot_versions, write_partitioned
 from tablespec.spec import TableSpec
 
@@ -19,9 +19,11 @@ class NotApplied(Exception):
     """A gate or a constraint stopped the apply; the version before stays the readable one."""
 
 
-def apply_table(df: DataFrame, spec: TableSpec, root: str, plan: DataFrame | None = None, allow_destructive: bool = False, allow_manual: bool = False) -> DataFrame:
+def apply_table(df: DataFrame, spec: TableSpec, root: str, plan: DataFrame | None = None, allow_destructive: bool = False, allow_manual: bool = False, parents: dict[str, DataFrame] = {}) -> DataFrame:  # noqa: B006
     """Conforms rows to a spec and publishes them as the next version under root.
 
+    Every declared rule is checked on the conformed rows, foreign keys against ``parents`` by table
+    name (the table itself is its own parent as conformed); a parent that is not given is an error.
     A plan with changes that the gates do not allow, or rows that break a rule, stop it before the
     manifest is written. If nothing differs from the published version, nothing is written."""
     spark = df.sparkSession
@@ -30,6 +32,10 @@ def apply_table(df: DataFrame, spec: TableSpec, root: str, plan: DataFrame | Non
     staged = conform(df, spec)
     rules = not_null_rules(spec) + check_rules(spec.checks) + domain_rules(spec.domains) + enum_rules(staged, spec.enums)
     reports = ([row_rules(staged, spec.name, rules)] if rules else []) + [unique_report(staged, spec.name, u) for u in spec.uniques]
+    known = {spec.name: staged, **parents}
+    if absent := sorted({f.parent for f in spec.foreign_keys} - set(known)):
+        raise ValueError(f"the foreign keys of {spec.name} need {', '.join(absent)} among the parents")
+    reports += [fk_report(staged, known[f.parent], spec.name, f) for f in spec.foreign_keys]
     if reports:
         broken = union_all(reports).where("violations > 0")
         if not broken.isEmpty():
@@ -45,6 +51,12 @@ def apply_table(df: DataFrame, spec: TableSpec, root: str, plan: DataFrame | Non
     return snapshot_load(spark, root, spec.name, staged.schema)
 
 
+def migrate_table(df: DataFrame, old: TableSpec, new: TableSpec, root: str, parents: dict[str, DataFrame] = {}, allow_destructive: bool = False, allow_manual: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """(the rows as the new spec has them, published; the plan that led there)."""
+    plan = plan_table(df, old, new, parents)
+    return apply_table(df, new, root, plan, allow_destructive, allow_manual, parents), plan
+
+
 def rebuild_partitions(df: DataFrame, spec: TableSpec, root: str) -> tuple[DataFrame, DataFrame]:
     """(the rows under the spec's partition tree, the reconciliation with the rows before).
 

@@ -9,35 +9,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablespec.functions import types as X
-from tablespec.operators.constraints import any_of, check_passes, check_rules, enum_rules, row_rules, union_all
+from tablespec.operators.constraints import any_of, check_passes, check_rules, enum_rules, fk_report, row_rules, union_all, unique_report
 from tablespec.operators.integrity import route_partitions
-from tablespec.spec import Domain, PartitionBy, Sequence, TableSpec
+from tablespec.operators.project import attribute_sources, conformed_columns, sources
+from tablespec.spec import Check, Domain, PartitionBy, Sequence, TableSpec, Unique
 
 PLAN = "seq int, op string, column_name string, old_def string, new_def string, static_class string, evidence_rows bigint, safety string"
 
 
-def _struct(text: str) -> dict[str, T.DataType] | None:
-    """The attributes of a struct type, None for other types."""
-    kind = T.DataType.fromDDL(text) if "struct" in text.lower() else None
-    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else None
-
-
-def _attributes(column: str, old: dict, new: dict, renames: dict[str, str]) -> list[tuple]:
-    out, before = [], dict(old)
-    for a, b in renames.items():
-        (_, old_name), (owner, new_name) = a.rsplit(".", 1), b.rsplit(".", 1)
-        if owner == column and old_name in before and new_name not in before:
-            before[new_name] = before.pop(old_name)
-            out.append(("rename attribute", b, old_name, new_name, "SAFE"))
-    out += [("drop attribute", f"{column}.{n}", t.simpleString(), "", "DESTRUCTIVE") for n, t in before.items() if n not in new]
-    for n, t in new.items():
-        if n not in before:
-            out.append(("add attribute", f"{column}.{n}", "", t.simpleString(), "SAFE"))
-        elif before[n] != t:
-            out.append(("change attribute", f"{column}.{n}", before[n].simpleString(), t.simpleString(), "DESTRUCTIVE"))
+def _inner(kind: T.DataType) -> tuple[int, T.StructType | None]:
+    """How many arrays lie around a type, and the struct inside, None for other types."""
+    depth = 0
+    while isinstance(kind, T.ArrayType):
+        kind, depth = kind.elementType, depth + 1
+    return depth, kind if isinstance(kind, T.StructType) else None
+
+
+def _attributes(path: str, old: T.DataType, new: T.DataType, renames: dict[str, str]) -> list[tuple]:
+    """Changes of the attributes of a struct, or of the structs of an array, and of those inside them."""
+    out, (_, mine), (_, theirs) = [], _inner(old), _inner(new)
+    source = attribute_sources(path, mine.names, theirs.names, renames)
+    out += [("rename attribute", f"{path}.{n}", a, n, "SAFE") for n, a in source.items() if n != a]
+    out += [("drop attribute", f"{path}.{n}", mine[n].dataType.simpleString(), "", "DESTRUCTIVE") for n in mine.names if n not in source.values()]
+    for f in theirs.fields:
+        if f.name not in source:
+            out.append(("add attribute", f"{path}.{f.name}", "", f.dataType.simpleString(), "SAFE"))
+        elif (before := mine[source[f.name]].dataType) != f.dataType:
+            if _comparable(before, f.dataType):
+                out += _attributes(f"{path}.{f.name}", before, f.dataType, renames)
+            else:
+                out.append(("change attribute", f"{path}.{f.name}", before.simpleString(), f.dataType.simpleString(), "DESTRUCTIVE"))
     return out
 
 
+def _comparable(old: T.DataType, new: T.DataType) -> bool:
+    (depth, mine), (deep, theirs) = _inner(old), _inner(new)
+    return mine is not None and theirs is not None and depth == deep
+
+
 def _domain(column: str, old: Domain | None, new: Domain | None) -> list[tuple]:
     if new is None or old is None:
         return [("drop domain", column, old.name, "", "SAFE")] if old else [("add domain", column, "", new.name, "CAUTION")]
@@ -99,8 +108,8 @@ def static_plan(old: TableSpec, new: TableSpec) -> list[tuple]:
             filled = c.nullable or c.default or c.identity or c.generated
             out.append(("add column", n, "", c.type, "SAFE" if filled else "CAUTION"))
             continue
-        if b.type != c.type and (parts := _struct(b.type)) is not None and (wanted := _struct(c.type)) is not None:
-            out += _attributes(n, parts, wanted, {a: x for a, x in new.renames.items() if "." in x})
+        if b.type != c.type and not c.using and _comparable(mine := T.DataType.fromDDL(b.type), theirs := T.DataType.fromDDL(c.type)):
+            out += _attributes(n, mine, theirs, new.renames)
         elif b.type != c.type:
             out.append(("change type", n, b.type, c.type, _cast_class(b.type, c.type, c.using)))
         if b.nullable != c.nullable:
@@ -133,66 +142,119 @@ def static_plan(old: TableSpec, new: TableSpec) -> list[tuple]:
     return out
 
 
-def plan_table(df: DataFrame, old: TableSpec, new: TableSpec) -> DataFrame:
+def plan_table(df: DataFrame, old: TableSpec, new: TableSpec, parents: dict[str, DataFrame] = {}) -> DataFrame:  # noqa: B006
     """seq, op, column_name, old_def, new_def, static_class, evidence_rows and safety of each change.
 
-    One pass over the data counts what each change would hurt. A destructive cast that hurts no row
-    is lowered to CAUTION; a not-null or check that rows break stays CAUTION with its count. Equal
-    specs give no rows, and the data is not read."""
+    What goes is counted on the rows as they are; what is demanded (checks, not null, domains,
+    generated values) on their projection to the new spec, where values that do not convert are
+    null. Both are one pass over the data. New unique keys count the rows beyond a key's first (for
+    a primary key those with nulls too), new foreign keys the rows without a parent in ``parents``
+    (by table name; the table itself is its own parent as projected), each as a keyed stage beside
+    the pass; a parent that is not given leaves evidence_rows null. A destructive cast that hurts no
+    row is lowered to CAUTION; a rule that rows break stays CAUTION with its count. Equal specs give
+    no rows, and the data is not read."""
     plan = static_plan(old, new)
     if not plan:
         return df.sparkSession.createDataFrame([], PLAN)
     if old.partition_by and any("partition" in p[0] for p in plan):
         df = route_partitions(df, old.partition_by, "_leaf")
-    back = {b: a for a, b in new.renames.items() if a in df.columns}
-    have = lambda n: back.get(n, n)
-    count = {}
-    checks = {c.name: c for c in new.checks}
+    after = _projected(df, new)
+    place = sources([c for c in df.columns if c != _OLD], new)
+    was = lambda n: F.col(f"{_OLD}.`{place.get(n, n)}`")
+    held = lambda n: place.get(n, n) in df.columns
+    is_list = lambda n: df.schema[place.get(n, n)].dataType.typeName() == "array"
+    count, keyed = {}, {}
+    rules = {c.name: c for kind in (new.checks, new.uniques, new.foreign_keys) for c in kind}
     for i, (op, name, a, b, _) in enumerate(plan):
-        col = F.col(have(name)) if have(name) in df.columns else None
-        if op == "drop column":
-            count[i] = F.count(name)
-        elif op == "change type":
+        if op == "drop column" and name in df.columns:
+            count[i] = F.count(F.col(f"{_OLD}.`{name}`"))
+        elif op == "change type" and held(name):
+            have = df.schema[place[name]].dataType
             using = new.column(name).using
-            value = F.expr(using) if using else col
-            if not _castable(df, value, b):
-                count[i] = F.count(have(name))
+            # an expression is over the columns before
+            value = was(name) if not using else F.col(f"{_USING}.`{name}`")
+            if not _castable(after, value, b):
+                count[i] = F.count(was(name))
                 continue
             cast = value.try_cast(b)
-            lost = value.isNotNull() & (cast.isNull() | (~cast.cast(df.schema[have(name)].dataType).eqNullSafe(value) if not using else F.lit(False)))
-            count[i] = F.count_if(lost)
-        elif op == "set not null":
-            count[i] = F.count_if(col.isNull())
-        elif op == "add constraint" and name in checks:
-            count[i] = F.count_if(check_rules((checks[name],))[0][2])
-        elif op == "remove label":
-            count[i] = F.count_if(col == a)
+            unlike = F.lit(False) if using else ~cast.try_cast(have).eqNullSafe(value)
+            count[i] = F.count_if(value.isNotNull() & (cast.isNull() | unlike))
+        elif op in ("set not null", "set domain not null") and name in after.columns:
+            count[i] = F.count_if(F.col(f"`{name}`").isNull())
+        elif op == "add constraint" and isinstance(rules[name], Check):
+            count[i] = F.count_if(check_rules((rules[name],))[0][2])
+        elif op == "add constraint" and isinstance(rules[name], Unique):
+            keyed[i] = unique_report(after, new.name, rules[name])
+        elif op == "add constraint":
+            parent = parents.get(rules[name].parent, after if rules[name].parent == new.name else None)
+            keyed[i] = None if parent is None else fk_report(after, parent, new.name, rules[name])
+        elif op == "remove label" and held(name):
+            count[i] = F.count_if(F.array_contains(was(name), a) if is_list(name) else was(name) == a)
         elif op in ("drop attribute", "change attribute"):
-            owner, attribute = name.rsplit(".", 1)
-            value = F.col(f"{have(owner)}.{attribute}")
-            fails = value.isNotNull() & value.try_cast(b).isNull() if op == "change attribute" and _castable(df, value, b) else value.isNotNull()
-            count[i] = F.count_if(fails)
-        elif op == "set domain not null":
-            count[i] = F.count_if(col.isNull())
-        elif op in ("add domain", "add domain check"):
+            count[i] = F.count_if(_loses(df, old, new, name, b if op == "change attribute" else None))
+        elif op in ("add domain", "add domain check") and name in after.columns:
             domain = new.domains[name]
-            tests = [check_passes(c.expr.replace("VALUE", f"`{have(name)}`")) for c in domain.checks if op == "add domain" or c.name == b]
-            count[i] = F.count_if(any_of([~t for t in tests] + ([col.isNull()] if op == "add domain" and not domain.nullable else [])))
-        elif op == "change domain type":
-            count[i] = F.count_if(col.isNotNull() & col.try_cast(b).isNull()) if _castable(df, col, b) else F.count(have(name))
-        elif op == "set generated" and col is not None:
-            count[i] = F.count_if(~col.eqNullSafe(F.expr(b)))
+            tests = [check_passes(c.expr.replace("VALUE", f"`{name}`")) for c in domain.checks if op == "add domain" or c.name == b]
+            count[i] = F.count_if(any_of([~t for t in tests] + ([F.col(f"`{name}`").isNull()] if op == "add domain" and not domain.nullable else [])))
+        elif op == "change domain type" and held(name):
+            count[i] = F.count_if(was(name).isNotNull() & was(name).try_cast(b).isNull()) if _castable(after, was(name), b) else F.count(was(name))
+        elif op == "set generated" and held(name):
+            count[i] = F.count_if(~was(name).try_cast(new.column(name).type).eqNullSafe(F.col(f"`{name}`")))
         elif op in ("drop partition", "change partition bounds"):
-            count[i] = F.count_if((F.col("_leaf") == name) | F.startswith("_leaf", F.lit(f"{name}/")))
+            count[i] = F.count_if((was("_leaf") == name) | F.startswith(was("_leaf"), F.lit(f"{name}/")))
         elif op == "change partition strategy" and old.partition_by:
-            count[i] = F.count_if((F.col("_leaf") == name) | F.startswith("_leaf", F.lit(f"{name}/"))) if name else F.count("*")
-    one = df.agg(F.count("*").alias("_all"), *(c.alias(f"_{i}") for i, c in count.items()))
-    rows = [F.struct(F.lit(i + 1).alias("seq"), *(F.lit(v).alias(n) for n, v in zip(("op", "column_name", "old_def", "new_def", "static_class"), p)), (F.col(f"_{i}") if i in count else F.lit(0).cast("long")).alias("evidence_rows")) for i, p in enumerate(plan)]
+            count[i] = F.count_if((was("_leaf") == name) | F.startswith(was("_leaf"), F.lit(f"{name}/"))) if name else F.count("*")
+    one = after.agg(F.count("*").alias("_all"), *(c.alias(f"_{i}") for i, c in count.items()))
+    known = lambda i: F.col(f"_{i}") if i in count else F.lit(None if i in keyed else 0).cast("long")
+    rows = [F.struct(F.lit(i + 1).alias("seq"), *(F.lit(v).alias(n) for n, v in zip(("op", "column_name", "old_def", "new_def", "static_class"), p)), known(i).alias("evidence_rows")) for i, p in enumerate(plan)]
+    out = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    if stages := [f.select(F.lit(i + 1).alias("seq"), "violations") for i, f in keyed.items() if f is not None]:
+        out = out.join(union_all(stages), "seq", "left").withColumn("evidence_rows", F.coalesce("violations", "evidence_rows")).drop("violations")
     lowered = (F.col("static_class") == "DESTRUCTIVE") & (F.col("op") == "change type") & (F.col("evidence_rows") == 0)
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("safety", F.when(lowered, "CAUTION").otherwise(F.col("static_class")))
+    return out.withColumn("safety", F.when(lowered, "CAUTION").otherwise(F.col("static_class")))
+
+
+_OLD, _USING = "_old", "_using"
+
+
+def _projected(df: DataFrame, new: TableSpec) -> DataFrame:
+    """The rows as the new spec has them, with the columns before in one struct and the values of using-expressions in
+    another; columns that no spec declares stay."""
+
+    def cast(value: SqlColumn, to: T.DataType) -> SqlColumn:
+        return value.try_cast(to) if _castable(df, value, to) else F.lit(None).cast(to)
+
+    declared = conformed_columns(df, new, cast)
+    gone = set(sources(df.columns, new).values()) | set(new.names())
+    used = [F.expr(c.using).alias(c.name) for c in new.columns if c.using]
+    base = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(_OLD), F.struct(*used or [F.lit(0)]).alias(_USING), *declared, *(F.col(f"`{c}`") for c in df.columns if c not in gone))
+    # a generated column may read others in any order of declaration, but not generated ones
+    return base.withColumns({c.name: F.expr(c.generated).try_cast(c.type) for c in new.columns if c.generated})
+
+
+def _loses(df: DataFrame, old: TableSpec, new: TableSpec, path: str, to: str | None) -> SqlColumn:
+    """Whether a row holds a value at the path of an attribute that goes, or that does not convert; names on the way are new ones."""
+    column, *names = path.split(".")
+    place = sources(df.columns, new)[column]
+
+    def at(value: SqlColumn, have: T.DataType, owner: str, names: list[str]) -> SqlColumn:
+        if isinstance(have, T.ArrayType):
+            return F.coalesce(F.exists(value, lambda x: at(x, have.elementType, owner, names)), F.lit(False))
+        if names:
+            back = {b.rsplit(".", 1)[1]: a.rsplit(".", 1)[1] for a, b in new.renames.items() if "." in a and "." in b and b.rsplit(".", 1)[0] == owner}
+            name = names[0] if names[0] in have.names else back[names[0]]
+            return at(value[name], have[name].dataType, f"{owner}.{names[0]}", names[1:])
+        fits = value.try_cast(to).isNotNull() if to and _casts(df, have, to) else F.lit(False)
+        return value.isNotNull() & ~fits
+
+    return at(F.col(f"{_OLD}.`{place}`"), df.schema[place].dataType, column, names)
+
+
+def _casts(df: DataFrame, have: T.DataType, to: str) -> bool:
+    return _castable(df, F.lit(None).cast(have), to)
 
 
-def _castable(df: DataFrame, value: SqlColumn, to: str) -> bool:
+def _castable(df: DataFrame, value: SqlColumn, to: str | T.DataType) -> bool:
     try:
         df.select(value.try_cast(to))
     except AnalysisException:

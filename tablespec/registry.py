@@ -38,5 +38,5 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-for _module in ("audits", "projections", "diffs", "conversions", "integrity", "merging", "access", "profiles", "graphs", "texts", "streams"):
+for _module in ("audits", "projections", "diffs", "conversions", "plans", "integrity", "merging", "access", "profiles", "graphs", "texts", "streams"):
     import_module(f"tablespec.queries.{_module}")

@@ -174,3 +174,31 @@ def test_library_stands_without_the_corpus_operators():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
+
+
+def test_plans_of_unknown_names_and_own_parents(spark, tmp_path):
+    from tablespec.plans.apply import migrate_table
+    from tablespec.spec import ForeignKey, TableSpec, Unique
+
+    df = spark.createDataFrame([(1, None, 5), (2, 1, 5), (3, 9, 6), (3, 1, 7)], "k int, up int, v int")
+    old = TableSpec("tree", (Column("k", "int"), Column("up", "int"), Column("v", "int")))
+    new = TableSpec("tree", (Column("node", "int"), Column("up", "int"), Column("v", "int")), (Unique("pk", ("node",), True),), foreign_keys=(ForeignKey("parent", ("up",), "tree", ("node",)), ForeignKey("far", ("v",), "other", ("x",))), renames={"k": "node"})
+    plan = {r.column_name: r for r in plan_table(df, old, new).collect()}
+    assert plan["pk"].evidence_rows == 1 and plan["parent"].evidence_rows == 1 and plan["far"].evidence_rows is None
+    near = TableSpec("tree", new.columns, foreign_keys=new.foreign_keys[:1], renames=new.renames)
+    with pytest.raises(NotApplied):
+        migrate_table(df, old, near, f"{tmp_path}/a")
+    with pytest.raises(ValueError):
+        apply_table(df, new, f"{tmp_path}/b")
+    done, _ = migrate_table(df.where("up IS NULL OR up <> 9"), old, near, f"{tmp_path}/c")
+    assert sorted(r.node for r in done.collect()) == [1, 2, 3]
+
+
+def test_structs_conform_by_name_at_any_depth(spark):
+    from tablespec.operators.project import conform
+    from tablespec.spec import TableSpec
+
+    df = spark.sql("SELECT named_struct('a', '7', 'in', array(named_struct('x', 1, 'y', 'z'), NULL)) AS s UNION ALL SELECT NULL")
+    spec = TableSpec("t", (Column("s", "struct<in:array<struct<y2:string,x:bigint,w:int>>,b:int>"),), renames={"s.a": "s.b", "s.in.y": "s.in.y2"})
+    got = [r.s for r in conform(df, spec).collect()]
+    assert got[1] is None and got[0].b == 7 and got[0]["in"][1] is None and got[0]["in"][0].asDict() == {"y2": "z", "x": 1, "w": None}
