@@ -12,7 +12,8 @@ from tablespec.operators.diffs import table_diff
 from tablespec.paths import work_dir, written
 from tablespec.plans.apply import apply_table
 from tablespec.registry import Tables, query
-from tablespec.sources.scan import snapshot_load, stream_scan
+from tablespec.sources import keyed as K
+from tablespec.sources.scan import stream_scan
 from tablespec.spec import Check, Column, ForeignKey, Partition, PartitionBy, Publication, TableSpec
 from tablespec.streaming import changes as C
 
@@ -71,7 +72,7 @@ def _(t: Tables):
     schema = _changes(t).select("user_id", "event_id", "kind").schema
     initial = t.region.limit(1).selectExpr("cast(-1 AS bigint) AS user_id", "cast(-1 AS bigint) AS event_id", "'initial' AS kind")
     C.subscribe(_stream(t, _changes(t), ordered=True), root, "last", schema, ["user_id"], ["event_id"], state, initial).awaitTermination()
-    return snapshot_load(t.spark, root, "last", schema)
+    return K.load(K.KeyedTable(t.spark, root, "last", schema, ("user_id",)))
 
 
 @query("r04_before_row", f"SELECT event_id, CASE WHEN kind = 'click' THEN 'touch' ELSE kind END AS kind, CASE WHEN op = 'update' THEN level + 100 ELSE level END AS level FROM ({_CHANGES}) WHERE NOT (op = 'delete' AND level = 0)")

@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablespec.operators.constraints import all_of, any_of, check_passes
-from tablespec.operators.diffs import table_diff
 from tablespec.operators.integrity import route_partitions
-from tablespec.sources.scan import snapshot_load, snapshot_save, snapshot_versions
+from tablespec.sources import keyed as K
 from tablespec.spec import PartitionBy, Publication, TableSpec
 
 
@@ -46,7 +45,7 @@ def latest_changes(batch: DataFrame, keys: list[str], order: list[str]) -> tuple
     cut = batch.where("op = 'truncate'").orderBy(*(F.desc(o) for o in order)).select(*order).limit(1).collect()
     rows = batch.where("op <> 'truncate'")
     if cut:
-        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(cut[0][o]) for o in order)))
+        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(cut[0][o]).cast(batch.schema[o].dataType) for o in order)))
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order)))
     return rows.withColumn("_r", last).where("_r = 1").drop("_r"), bool(cut)
 
@@ -61,19 +60,18 @@ def apply_changes(target: DataFrame, batch: DataFrame, keys: list[str], order: l
 
 
 def subscribe(changes: DataFrame, root: str, name: str, schema: T.StructType, keys: list[str], order: list[str], checkpoint: str, initial: DataFrame | None = None):
-    """Keeps a versioned table equal to the changes applied in order, after an optional initial copy.
+    """Keeps a keyed table equal to the changes applied in order, after an optional initial copy.
 
-    Version n + 1 holds batch n; a batch that is replayed finds its version and does nothing."""
-    spark = changes.sparkSession
-    if initial is not None and snapshot_versions(spark, root, name).isEmpty():
-        snapshot_save(initial.select(*schema.names), root, name, 0)
+    Version n + 1 holds batch n, written as its changes only; ``keyed.load`` merges them. A batch
+    that is replayed finds its version and does nothing."""
+    table = K.KeyedTable(changes.sparkSession, root, name, schema, tuple(keys))
+    if initial is not None and not K.versions(table):
+        K.save_base(table, initial, 0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        if not snapshot_versions(session, root, name).where(F.col("version") == batch_id + 1).isEmpty():
-            return
-        now = snapshot_load(session, root, name, schema)
-        snapshot_save(apply_changes(now, batch, keys, order), root, name, batch_id + 1)
+        now = K.KeyedTable(batch.sparkSession, root, name, schema, tuple(keys))
+        if batch_id + 1 not in K.versions(now):
+            K.save_changes(now, *latest_changes(batch, keys, order), batch_id + 1)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -133,17 +131,22 @@ def after_update_of(stream: DataFrame, key: list[str], cols: list[str], order: l
 def statement_audit(stream: DataFrame, root: str, name: str, schema: T.StructType, key: str, order: list[str], checkpoint: str, measure: str):
     """Per micro-batch: counts and sums of rows inserted, updated and deleted, in root/name_audit.
 
-    Version n + 1 holds batch n. A batch that is replayed compares the same two versions again, so
-    its report stays what it was."""
+    Version n + 1 holds batch n, written as its changes only, and only the rows of its keys are compared
+    with the version before (all rows if the batch empties the table). A batch that is replayed reads the
+    same delta and version again, so its report stays what it was. A null key is a key."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot_load(batch.sparkSession, root, name, schema, batch_id)
-        if snapshot_versions(batch.sparkSession, root, name).where(F.col("version") == batch_id + 1).isEmpty():
-            snapshot_save(apply_changes(old, batch, [key], order), root, name, batch_id + 1)
-        saved = snapshot_load(batch.sparkSession, root, name, schema, batch_id + 1)
-        diff = table_diff(saved, old, [key])
-        values = saved.select(key, F.col(measure).alias("_new")).join(old.select(key, F.col(measure).alias("_old")), key, "full_outer")
-        report = diff.join(values, key).groupBy("op").agg(F.count("*").alias("rows"), F.sum("_new").alias("new_sum"), F.sum("_old").alias("old_sum")).withColumn("batch_id", F.lit(batch_id))
+        table = K.KeyedTable(batch.sparkSession, root, name, schema, (key,))
+        if batch_id + 1 not in K.versions(table):
+            K.save_changes(table, *latest_changes(batch, [key], order), batch_id + 1)
+        changed, emptied = K.delta(table, batch_id + 1)
+        old = K.load(table, batch_id, among=None if emptied else changed)
+        new = changed.where("_op <> 'delete'").select(*schema.names)
+        side = lambda df, s: df.select(F.col(key).alias(f"_{s}key"), F.col(measure).alias(f"_{s}"), F.struct(*schema.names).alias(f"_{s}row"))
+        both = side(new, "new").join(side(old, "old"), F.col("_newkey").eqNullSafe(F.col("_oldkey")), "full_outer")
+        op = F.when(F.col("_oldrow").isNull(), "create").when(F.col("_newrow").isNull(), "drop").otherwise("alter")
+        different = both.where(~F.col("_newrow").eqNullSafe(F.col("_oldrow")))
+        report = different.groupBy(op.alias("op")).agg(F.count("*").alias("rows"), F.sum("_new").alias("new_sum"), F.sum("_old").alias("old_sum")).withColumn("batch_id", F.lit(batch_id))
         report.write.mode("overwrite").parquet(f"{root}/{name}_audit/b{batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
