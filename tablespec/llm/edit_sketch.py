@@ -123,25 +123,26 @@ class _Text:
         self.steps = walks.steps(_kinds(self.codes))
         self.print = walks.fingerprint(self.codes, self.steps)
 
-    def edited_by(self, after: _Text) -> tuple[str, np.ndarray]:
+    def edited_by(self, after: _Text) -> tuple[bytes, np.ndarray]:
         """SHA-256 and fingerprint of the text with its last half replaced by the start of the next one."""
         half = len(self.codes) // 2
         keep = len(self.codes) - half
         codes = np.concatenate([self.codes[:keep], after.codes[:half]])
         steps = np.concatenate([self.steps[:keep], self.walks.steps(_kinds(codes[keep:]), int(self.steps[keep]))])
         whole = self.text[:keep] + after.text[:half]
-        return hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), self.walks.fingerprint(codes, steps)
+        return hashlib.sha256(whole.encode("utf-8", "surrogatepass")).digest(), self.walks.fingerprint(codes, steps)
 
 
-_FIELDS = {"id": None, "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-_DIGEST = "id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: hashes and fingerprints stay bytes until the result
+_FIELDS = {"id": None, "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_DIGEST = "id {}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _digest(ids: list, pairs: list, id_type: pa.DataType, more: dict | None = None) -> pa.RecordBatch:
     cols = {k: [] for k in list(_FIELDS)[1:]}
     for text, after in pairs:
         sha, edited = text.edited_by(after)
-        values = (len(text.codes), sha, text.print.tobytes().hex(), edited.tobytes().hex(), likeness(text.print, edited), likeness(text.print, after.print))
+        values = (len(text.codes), sha, text.print.tobytes(), edited.tobytes(), likeness(text.print, edited), likeness(text.print, after.print))
         for c, v in zip(cols.values(), values):
             c.append(v)
     held = [pa.array(ids, id_type), *(pa.array(c, _FIELDS[k]) for k, c in cols.items())]
@@ -207,7 +208,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     last = found.where("edge = 'last'").join(after, "part").select("id", "text", "after")
     first = found.where("edge = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next"))
     edges = last.join(first, "after").select("id", "text", "next").mapInArrow(_at_edges(slots, id_type), _DIGEST.format(kind))
-    return found.where("edge IS NULL").select(*columns).unionByName(edges).withColumnRenamed("id", id_col)
+    shown = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return found.where("edge IS NULL").select(*columns).unionByName(edges).withColumns(shown).withColumnRenamed("id", id_col)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
