@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablespec.operators.constraints import all_of
 from tablespec.spec import Partition, PartitionBy
@@ -44,29 +45,72 @@ def fk_cascade(chain: list[tuple[DataFrame, str, str]], deleted: DataFrame) -> l
     return out
 
 
-def exclude_violations(df: DataFrame, equal: list[str], lo: str, hi: str, key: str, width: float, differ: list[str] = [], where: str | None = None, name: str = "exclude") -> DataFrame:  # noqa: B006
+LEVEL_BITS, TOP, SPREAD = 6, 63, 16  # levels of an interval join, its level for endless ranges, and their copies
+_FAR = 1 << 61
+
+
+def ordinal(df: DataFrame, col: str) -> Column:
+    """A long that never falls where the column's values rise, in small units; beyond 2**61 it stays there."""
+    kind, value = df.schema[col].dataType, F.col(f"`{col}`")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    if isinstance(kind, T.IntegralType):
+        return F.when(value > _FAR, F.lit(_FAR)).when(value < -_FAR, F.lit(-_FAR)).otherwise(value.cast("long"))
+    if isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 18:
+        return value.cast("long")
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"ranges of {kind.simpleString()} have no order by numbers: {col}")
+    # a float's exponent and mantissa: as even over all magnitudes as its own digits
+    x = F.abs(value.cast("double"))
+    power = F.floor(F.log2(x)).cast("double")
+    size = ((power + 1075) * F.lit(2.0**49) + (x / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**49)).cast("long")
+    return F.when(x < 2.0**-1022, 0).when(x > 1e308, F.lit(_FAR)).otherwise(size) * F.when(value < 0, -1).otherwise(1)
+
+
+def placed_ranges(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Adds _l and _h, the bounds as numbers, and _level: a range lies in one or two cells of 2**_level. A null bound is endless."""
+    lower = F.coalesce(ordinal(df, lo), F.lit(-2 * _FAR))
+    upper = F.coalesce(ordinal(df, hi), F.lit(2 * _FAR - 1))
+    length = F.when(F.col("_h") <= F.col("_l"), 0).otherwise(F.length(F.bin(F.col("_h") - F.col("_l"))))
+    level = (F.ceil(length / LEVEL_BITS) * LEVEL_BITS).cast("int")
+    return df.withColumns({"_l": lower, "_h": upper}).withColumn("_level", F.when(level > 54, TOP).otherwise(level))
+
+
+def exclude_violations(df: DataFrame, equal: list[str], lo: str, hi: str, key: str, differ: list[str] = [], where: str | None = None, name: str = "exclude") -> DataFrame:  # noqa: B006
     """Pairs of rows with equal columns, overlapping [lo, hi) and differing columns, each pair once.
 
-    Ranges are cut into buckets of a typical width; rows meet in shared buckets, and a pair counts
-    only in the bucket where the later of the two begins, so the join is an equi join. A null bound is
-    unbounded; such rows meet the others by their equal columns alone. Empty ranges overlap nothing."""
+    Bounds are numbers, dates or timestamps; a null bound is unbounded, empty ranges overlap nothing.
+    Each range lies in the one or two cells of the level of its own length; of two overlapping ranges
+    the longer one is met there by the shorter one, which looks into its cells of every longer level
+    that some range has. So the join is an equi join without a typical width, and a range makes few rows
+    whatever its length. A pair counts only in the cell where the later of the two begins. Endless ranges
+    are at the top level, which has one cell, over SPREAD copies."""
     rows = df.where(where) if where else df
-    endless = F.col(lo).isNull() | F.col(hi).isNull()
-    open_rows, rows = rows.where(endless), rows.where(~endless)
-    every = rows.where(F.col(hi) > F.col(lo)).withColumn("_open", F.lit(False)).unionByName(open_rows.withColumn("_open", F.lit(True)))
-    part = lambda df, s: df.select("_open", F.col(key).alias(f"_key{s}"), *(F.col(c).alias(f"_{c}{s}") for c in (*equal, *differ, lo, hi)))
-    p, q = part(every.where("_open"), "a"), part(every, "b").withColumnRenamed("_open", "_too")
-    before = lambda x, y: F.coalesce(F.col(f"_{lo}{x}") < F.col(f"_{hi}{y}"), F.lit(True))
-    met = [*(F.col(f"_{c}a") == F.col(f"_{c}b") for c in equal), *(F.col(f"_{c}a") != F.col(f"_{c}b") for c in differ), before("a", "b"), before("b", "a")]
-    met.append((F.col("_keya") < F.col("_keyb")) | ~F.col("_too") & (F.col("_keya") > F.col("_keyb")))  # two unbounded rows once
-    wide = p.join(q, all_of(met)).select(F.least("_keya", "_keyb").alias(f"{key}_a"), F.greatest("_keya", "_keyb").alias(f"{key}_b"), F.lit(name).alias("constraint_name"))
-    number = lambda c: F.floor(F.col(c).cast("double") / width).cast("long")
-    cut = rows.where(F.col(hi) > F.col(lo)).withColumn("_first", number(lo)).withColumn("_b", F.explode(F.sequence(number(lo), number(hi))))
-    side = lambda s: cut.select("_b", F.col("_first").alias(f"_f{s}"), F.col(key).alias(f"{key}_{s}"), *(F.col(c).alias(f"_{c}{s}") for c in (*equal, *differ, lo, hi)))
-    a, b = side("a"), side("b")
-    on = [a["_b"] == b["_b"], F.col(f"{key}_a") < F.col(f"{key}_b"), *(F.col(f"_{c}a") == F.col(f"_{c}b") for c in equal), *(F.col(f"_{c}a") != F.col(f"_{c}b") for c in differ)]
-    on += [F.col(f"_{lo}a") < F.col(f"_{hi}b"), F.col(f"_{lo}b") < F.col(f"_{hi}a"), a["_b"] == F.greatest("_fa", "_fb")]
-    return a.join(b, all_of(on)).select(f"{key}_a", f"{key}_b", F.lit(name).alias("constraint_name")).unionByName(wide)
+    full = placed_ranges(rows.where(F.coalesce(F.col(hi) > F.col(lo), F.lit(True))), lo, hi)
+    levels = sorted(full.agg(F.collect_set("_level")).first()[0])
+    if not levels:
+        levels = [TOP]
+    cell = lambda c, level: F.when(F.col(level) == TOP, F.lit(0).cast("long")).otherwise(F.expr(f"shiftright({c}, {level})"))
+    keep = [key, *equal, *differ, lo, hi]
+
+    def side(s: str, at: Column, copies: Column) -> DataFrame:
+        cells = full.withColumn("_at", F.explode(at)).withColumn("_first", cell("_l", "_at")).withColumn("_cell", F.explode(F.array_distinct(F.array("_first", cell("_h", "_at")))))
+        return cells.withColumn("_copy", F.explode(copies)).select(*(F.col(c).alias(f"_{i}{s}") for i, c in enumerate(keep)), *(F.col(c).alias(f"{c}{s}") for c in ("_at", "_cell", "_copy", "_first", "_level")))
+
+    top = F.col("_at") == TOP
+    home = side("a", F.array("_level"), F.when(top, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    longer = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("_level"))
+    probe = side("b", longer, F.array(F.when(top, F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int")).otherwise(0)))
+    n, at = len(equal), lambda c, s: F.col(f"_{keep.index(c)}{s}")
+    met = [F.col(f"{c}a") == F.col(f"{c}b") for c in ("_at", "_cell", "_copy")] + [F.col(f"_{i}a") == F.col(f"_{i}b") for i in range(1, n + 1)] + [F.col(f"_{i}a") != F.col(f"_{i}b") for i in range(n + 1, n + 1 + len(differ))]
+    met += [F.coalesce(at(lo, "a") < at(hi, "b"), F.lit(True)), F.coalesce(at(lo, "b") < at(hi, "a"), F.lit(True)), F.col("_cella") == F.greatest("_firsta", "_firstb")]
+    # of equal levels each pair once; a shorter range may have either key
+    met += [(F.col("_levelb") < F.col("_ata")) & (F.col("_0a") != F.col("_0b")) | (F.col("_0a") < F.col("_0b"))]
+    return home.join(probe, all_of(met)).select(F.least("_0a", "_0b").alias(f"{key}_a"), F.greatest("_0a", "_0b").alias(f"{key}_b"), F.lit(name).alias("constraint_name"))
 
 
 def overlaps_by_running_max(df: DataFrame, by: list[str], lo: str, hi: str, key: str) -> DataFrame:
@@ -144,17 +188,20 @@ def partition_changes(df: DataFrame, old: PartitionBy, new: PartitionBy) -> Data
 
 
 def range_ops(df: DataFrame, lo: str, hi: str, other_lo: str, other_hi: str) -> DataFrame:
-    """overlaps, contains, adjacent and the intersection of two half-open ranges of a row."""
+    """overlaps, contains, adjacent and the intersection of two half-open ranges of a row; a null bound is unbounded."""
     a, b, c, d = (F.col(x) for x in (lo, hi, other_lo, other_hi))
-    overlaps = (a < d) & (c < b)
-    return df.withColumns({"overlaps": overlaps, "contains": (a <= c) & (d <= b), "adjacent": (b == c) | (d == a), "common_lo": F.when(overlaps, F.greatest(a, c)), "common_hi": F.when(overlaps, F.least(b, d))})
+    sure = lambda x, otherwise: F.coalesce(x, F.lit(otherwise))
+    overlaps = sure(a < d, True) & sure(c < b, True)
+    contains = (a.isNull() | sure(a <= c, False)) & (b.isNull() | sure(d <= b, False))
+    return df.withColumns({"overlaps": overlaps, "contains": contains, "adjacent": sure(b == c, False) | sure(d == a, False), "common_lo": F.when(overlaps, F.greatest(a, c)), "common_hi": F.when(overlaps, F.least(b, d))})
 
 
 def merge_ranges(df: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
-    """Touching or overlapping ranges of a group merged into islands, with the gap before each."""
-    order = Window.partitionBy(*by).orderBy(lo, hi)
-    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.withColumn("_new", F.when(reach >= F.col(lo), 0).otherwise(1))
-    island = starts.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy(*by, "_i").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("ranges"))
-    return merged.withColumn("gap_before", F.col(lo) - F.lag(hi).over(Window.partitionBy(*by).orderBy(lo))).drop("_i")
+    """Touching or overlapping ranges of a group merged into islands, with the gap before each; a null bound is unbounded."""
+    order = Window.partitionBy(*by).orderBy(F.col(lo).asc_nulls_first(), F.col(hi).asc_nulls_last())
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.coalesce(F.bool_or(F.col(hi).isNull()).over(earlier), F.lit(False)) | (F.count("*").over(earlier) > 0) & F.col(lo).isNull() | F.coalesce(F.max(hi).over(earlier) >= F.col(lo), F.lit(False))
+    island = df.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.when(~F.bool_or(F.col(c).isNull()), f(c)).alias(c) for c, f in ((lo, F.min), (hi, F.max))]
+    merged = island.groupBy(*by, "_i").agg(*ends, F.count("*").alias("ranges"))
+    return merged.withColumn("gap_before", F.col(lo) - F.lag(hi).over(Window.partitionBy(*by).orderBy(F.col(lo).asc_nulls_first()))).drop("_i")

@@ -47,7 +47,7 @@ _SPANS = "SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS lo,
 
 @query("j07_exclude_violations", f"WITH s AS ({_SPANS}) SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, 'one_kind' AS constraint_name FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.event_id < b.event_id AND a.lo < b.hi AND b.lo < a.hi")
 def _(t: Tables):
-    return I.exclude_violations(_spans(t), ["user_id"], "lo", "hi", "event_id", 4000, differ=["event_type"], name="one_kind")
+    return I.exclude_violations(_spans(t), ["user_id"], "lo", "hi", "event_id", differ=["event_type"], name="one_kind")
 
 
 _OPEN = f"SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN NULL ELSE lo END AS lo, CASE WHEN event_id % 89 = 0 THEN NULL ELSE hi END AS hi) FROM ({_SPANS})"
@@ -60,7 +60,47 @@ def _open(t: Tables):
 
 @query("j07_exclude_unbounded", f"WITH s AS ({_OPEN}) SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, 'one_kind' AS constraint_name FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.event_id < b.event_id AND {_BOTH}")
 def _(t: Tables):
-    return I.exclude_violations(_open(t), ["user_id"], "lo", "hi", "event_id", 4000, differ=["event_type"], name="one_kind")
+    return I.exclude_violations(_open(t), ["user_id"], "lo", "hi", "event_id", differ=["event_type"], name="one_kind")
+
+
+_NAMED = "SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, '{0}' AS constraint_name FROM s a JOIN s b ON {1} a.event_id < b.event_id AND a.lo < b.hi AND b.lo < a.hi"
+
+
+@query("j07_exclude_dates", "WITH s AS (SELECT event_id, user_id, ts::DATE AS lo, ts::DATE + (event_id % 40)::INT AS hi FROM events WHERE event_id % 40 > 0) " + _NAMED.format("one_stay", "a.user_id = b.user_id AND"))
+def _(t: Tables):
+    stays = t.events.select("event_id", "user_id", F.to_date("ts").alias("lo"), F.expr("date_add(to_date(ts), cast(event_id % 40 AS int))").alias("hi"))
+    return I.exclude_violations(stays, ["user_id"], "lo", "hi", "event_id", name="one_stay")
+
+
+_SIX = "CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 1000 WHEN 4 THEN 10000 ELSE 100000 END"
+
+
+@query("j07_exclude_six_magnitudes", f"WITH s AS (SELECT event_id, event_type, ts AS lo, ts + INTERVAL 1 SECOND * ({_SIX}) AS hi FROM events WHERE user_id % 2 = 0) " + _NAMED.format("one_at_a_time", "a.event_type = b.event_type AND"))
+def _(t: Tables):
+    spans = t.events.where("user_id % 2 = 0").select("event_id", "event_type", F.col("ts").alias("lo"), F.expr(f"timestampadd(SECOND, {_SIX}, ts)").alias("hi"))
+    return I.exclude_violations(spans, ["event_type"], "lo", "hi", "event_id", name="one_at_a_time")
+
+
+@query("j07_exclude_without_equal_columns", "WITH s AS (SELECT p_partkey AS event_id, p_retailprice AS lo, p_retailprice + 0.01 * (p_partkey % 7) AS hi FROM part WHERE p_partkey % 7 > 0) " + _NAMED.format("one_price", ""))
+def _(t: Tables):
+    spans = t.part.select(F.col("p_partkey").alias("event_id"), F.col("p_retailprice").alias("lo"), F.expr("p_retailprice + 0.01D * (p_partkey % 7)").alias("hi"))
+    return I.exclude_violations(spans, [], "lo", "hi", "event_id", name="one_price")
+
+
+@query("f08_merge_unbounded", f"""WITH s AS (SELECT *, lo IS NULL AS a, hi IS NULL AS b, coalesce(lo, -1000000) AS l, coalesce(hi, 1000000000000000) AS h FROM ({_OPEN})), r AS (SELECT *, CASE WHEN max(h) OVER (PARTITION BY user_id ORDER BY l, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= l THEN 0 ELSE 1 END AS n FROM s),
+i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY l, h ROWS UNBOUNDED PRECEDING) AS i FROM r), m AS (SELECT user_id, CASE WHEN NOT bool_or(a) THEN min(lo) END AS lo, CASE WHEN NOT bool_or(b) THEN max(hi) END AS hi, count(*) AS ranges FROM i GROUP BY user_id, i)
+SELECT *, lo - lag(hi) OVER (PARTITION BY user_id ORDER BY lo NULLS FIRST) AS gap_before FROM m""")
+def _(t: Tables):
+    return I.merge_ranges(_open(t), ["user_id"], "lo", "hi")
+
+
+@query("f08_range_ops_unbounded", f"""WITH s AS ({_OPEN}), n AS (SELECT a.event_id, a.lo, a.hi, b.lo AS o_lo, b.hi AS o_hi FROM s a JOIN s b ON b.event_id = a.event_id + 1)
+SELECT *, coalesce(lo < o_hi, TRUE) AND coalesce(o_lo < hi, TRUE) AS overlaps, (lo IS NULL OR coalesce(lo <= o_lo, FALSE)) AND (hi IS NULL OR coalesce(o_hi <= hi, FALSE)) AS contains, coalesce(hi = o_lo, FALSE) OR coalesce(o_hi = lo, FALSE) AS adjacent,
+CASE WHEN coalesce(lo < o_hi, TRUE) AND coalesce(o_lo < hi, TRUE) THEN greatest(lo, o_lo) END AS common_lo, CASE WHEN coalesce(lo < o_hi, TRUE) AND coalesce(o_lo < hi, TRUE) THEN least(hi, o_hi) END AS common_hi FROM n""")
+def _(t: Tables):
+    mine = _open(t).select("event_id", "lo", "hi")
+    other = mine.select((F.col("event_id") - 1).alias("event_id"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    return I.range_ops(mine.join(other, "event_id"), "lo", "hi", "o_lo", "o_hi")
 
 
 @query("w05_overlaps_unbounded", f"WITH s AS (SELECT *, coalesce(lo, -1) AS l, coalesce(hi, 1000000000000000) AS h FROM ({_OPEN})) SELECT event_id, user_id, lo, hi FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id = s.user_id AND (o.l, o.h, o.event_id) < (s.l, s.h, s.event_id) AND o.h > s.l)")
