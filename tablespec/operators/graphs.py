@@ -68,19 +68,104 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) ->
 
 def cycle_members(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, blocked) for nodes on a cycle. edges are (src, dst, deferrable); blocked is true where
-    the cycle stays after all deferrable edges are dropped."""
-
-    def on_cycle(e: DataFrame) -> DataFrame:
-        now = written(e.select("src", "dst").distinct())
+    the cycle stays after all deferrable edges are dropped. An edge with a null end is none."""
+    stuck = strong_components(edges.where("not deferrable"), rounds).select("node", F.lit(True).alias("blocked"))
+    return strong_components(edges, rounds).join(stuck, "node", "left").select("node", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, component) of the nodes on a cycle: nodes that reach each other have the same component.
+
+    Nodes that nothing leads to, or that lead nowhere, are trimmed, and of the nodes with one edge in and
+    one out those that come first among their like neighbours are taken out, their two edges becoming
+    one; so chains and rings shrink by a share each round, and all rounds write a few times the edges.
+    What is left is coloured: the highest node spreads along the edges, and the nodes that a colour's own
+    node is reached from within the colour are its component. Nodes taken out follow in reverse: on a
+    cycle are those whose neighbours are of one component."""
+    both = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    own = [written(both.where("src = dst").select(F.col("src").alias("node")).distinct())]
+    now, taken = written(both.where("src != dst").distinct()), []
+    for k in range(rounds):
+        before = now.count()
+        now, log, loops = _shrunk(now, k)
+        taken.append(log)
+        own.append(loops)
+        if now.count() == before and log.isEmpty():
+            break
+    else:
+        raise ValueError(f"chains are left after {rounds} rounds")
+    loops = written(union_all(own).distinct().withColumn("_own", F.lit(True)))
+    found = _coloured(now, rounds)
+    return written(_put_back(found, taken[:-1], loops))
+
+
+def _shrunk(now: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges after one round of trimming and taking out, the nodes taken out with their neighbours, nodes left with an edge to themselves)."""
+    ends = now.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast(now.schema["src"].dataType).alias("p"), F.col("dst").alias("s"))
+    ends = ends.unionByName(now.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("p"), F.lit(None).cast(now.schema["dst"].dataType).alias("s")))
+    nodes = written(ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("p").alias("p"), F.min("s").alias("s")))
+    chain = nodes.where("i = 1 AND o = 1").select("node", "p", "s", F.xxhash64(F.lit(k), "node").alias("h"))
+    rank = chain.select(F.col("node").alias("_n"), F.struct("h", "node").alias("_r"))
+    near = chain.withColumn("_mine", F.struct("h", "node"))
+    for side in ("p", "s"):
+        near = near.join(rank.select(F.col("_n").alias(side), F.col("_r").alias(f"_{side}")), side, "left")
+    first = near.where("(_p IS NULL OR _mine < _p) AND (_s IS NULL OR _mine < _s)")
+    picked = written(first.select("node", "p", "s"))
+    gone = nodes.where("i = 0 OR o = 0").select("node").unionByName(picked.select("node"))
+    kept = now.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    joined = picked.where("p != s").select(F.col("p").alias("src"), F.col("s").alias("dst"))
+    return written(kept.unionByName(joined).distinct()), picked, picked.where("p = s").select(F.col("p").alias("node"))
+
+
+def _coloured(now: DataFrame, rounds: int) -> DataFrame:
+    """(node, component) of the nodes on cycles in a graph without loops of one edge."""
+    found = [now.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))]
+    while not now.isEmpty():
+        colour = written(now.select(F.col("src").alias("node")).union(now.select("dst")).distinct().withColumn("colour", F.col("node")))
+        fresh = colour
+        for _ in range(rounds):
+            # only what a fresh colour reaches can rise
+            reached = now.join(fresh.withColumnsRenamed({"node": "src"}), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_more"))
+            next_ = written(colour.join(reached, "node", "left").select("node", F.greatest("colour", "_more").alias("colour"), (F.col("_more") > F.col("colour")).alias("_rose")))
+            fresh, colour = next_.where("_rose").select("node", "colour"), next_.select("node", "colour")
+            if fresh.isEmpty():
+                break
+        else:
+            raise ValueError(f"colours still spread after {rounds} rounds")
+        tinted = now.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
+        within = written(tinted.where("_a = _b").select("src", "dst"))
+        level = written(colour.where("node = colour"))
+        members = [level]
         for _ in range(rounds):
-            next_ = written(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if next_.count() == now.count():
+            back = within.join(level.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            level = written(back.join(union_all(members).select("node"), "node", "left_anti"))
+            if level.isEmpty():
                 break
-            now = next_
-        return reach(now).where("src = dst").select(F.col("src").alias("node"))
+            members.append(level)
+        else:
+            raise ValueError(f"components still grow after {rounds} rounds")
+        done = written(union_all(members).select("node", F.col("colour").alias("component")))
+        several = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        found.append(done.join(several, "component", "left_semi").select("node", "component"))
+        now = written(now.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    return union_all(found)
+
 
-    stuck = on_cycle(edges.where("not deferrable")).withColumn("blocked", F.lit(True))
-    return on_cycle(edges).join(stuck, "node", "left").select("node", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+def _put_back(found: DataFrame, taken: list[DataFrame], loops: DataFrame) -> DataFrame:
+    """Components of all nodes on cycles from those of the nodes that stayed and the ones taken out, last ones first."""
+    known = found.join(loops, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
+    if not taken:
+        return known
+    # a node that was taken out gets its component below, even if it has an edge to itself
+    known = written(known.join(union_all(taken).select("node"), "node", "left_anti"))
+    for k in range(len(taken) - 1, -1, -1):
+        at = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        near = taken[k].join(at("p"), "p", "left").join(at("s"), "s", "left").join(loops, "node", "left")
+        component = F.when(F.col("_p") == F.col("_s"), F.col("_p")).when(F.col("_own"), F.col("node"))
+        known = known.unionByName(near.select("node", component.alias("component")).where("component IS NOT NULL"))
+        if k % 4 == 0:
+            known = written(known)
+    return known
 
 
 def deferred_load_order(tables: DataFrame, fks: DataFrame) -> DataFrame:
