@@ -45,7 +45,7 @@ def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _repeat_words(c: words.Chunk) -> np.ndarray:
     """Words of each row that lie in a window found twice or more in the row."""
-    h, first, owner = words.windows(c.hashes, c.woff, WINDOW)
+    h, first, owner = words.windows(c.hashes, c.woff, WINDOW, c.key)
     covered = np.zeros(len(c.hashes) + 1, dtype=np.int64)
     if len(h):
         _, inverse, n = np.unique(words.mix(h + owner.astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
@@ -69,21 +69,21 @@ def _lines(c: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(c.off, starts, "right") - 1, a, b, keep
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     rid = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for c in words.chunks(batch.column(0), lower=False):
+        for c in words.chunks(batch.column(0), lower=False, key=key):
             rows = c.hi - c.lo
             starts, ends, owner, a, b, _ = _lines(c)
-            exact = words.mix(words.hash_runs(c.data, starts, ends, lower=False) + owner.astype(np.uint64) * _ROW)
+            exact = words.mix(words.hash_runs(c.data, starts, ends, lower=False, key=key) + owner.astype(np.uint64) * _ROW)
             _, seen = np.unique(exact, return_index=True)
             dup = np.bincount(owner, minlength=rows) - np.bincount(owner[seen], minlength=rows)
-            normal = words.hash_runs(c.data, c.starts[a], c.ends[b - 1], lower=True) if len(a) else np.zeros(0, np.uint64)
+            normal = words.hash_runs(c.data, c.starts[a], c.ends[b - 1], lower=True, key=key) if len(a) else np.zeros(0, np.uint64)
             _, first, inverse = np.unique(words.mix(normal + owner.astype(np.uint64) * _ROW), return_index=True, return_inverse=True)
             n_words = np.bincount(inverse, weights=b - a, minlength=len(first)).astype(np.int32)
             order = np.argsort(owner[first], kind="stable")
             at = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=rows))]).astype(np.int32)
-            text = words.hash_runs(c.data, c.off[:-1], c.off[1:], lower=False)
+            text = words.hash_runs(c.data, c.off[:-1], c.off[1:], lower=False, key=key)
             solid = (c.data & 0xC0) != 0x80
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,14 +97,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid += batch.num_rows
 
 
-def _without(col: pa.Array, gone: pa.Array) -> pa.Array:
+def _without(col: pa.Array, gone: pa.Array, key: int) -> pa.Array:
     """The texts without the lines whose normalised hashes are listed for the row."""
     listed, at = gone.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(gone.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     parts = []
-    for c in words.chunks(col, lower=False):
+    for c in words.chunks(col, lower=False, key=key):
         rows = c.hi - c.lo
         starts, ends, owner, a, b, _ = _lines(c)
-        normal = words.hash_runs(c.data, c.starts[a], c.ends[b - 1], lower=True) if len(a) else np.zeros(0, np.uint64)
+        normal = words.hash_runs(c.data, c.starts[a], c.ends[b - 1], lower=True, key=key) if len(a) else np.zeros(0, np.uint64)
         whose = np.repeat(np.arange(rows), np.diff(at[c.lo : c.hi + 1])).astype(np.uint64)
         cut = np.isin(words.mix(normal + owner.astype(np.uint64) * _ROW), words.mix(listed[at[c.lo] : at[c.hi]] + whose * _ROW))
         starts, ends, owner = starts[cut], ends[cut], owner[cut]
@@ -123,7 +123,7 @@ def _without(col: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """Batches (text, removed line hashes or null, ...) without the second column and those lines."""
     for batch in batches:
         text, gone = batch.column(0).cast(pa.large_string()), batch.column(1)
@@ -131,7 +131,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(pick):
             order = np.arange(len(text))
             order[pick] = len(text) + np.arange(len(pick))
-            text = pa.concat_arrays([text, _without(text.take(pa.array(pick)), gone.take(pa.array(pick)))]).take(pa.array(order))
+            text = pa.concat_arrays([text, _without(text.take(pa.array(pick)), gone.take(pa.array(pick)), key)]).take(pa.array(order))
         yield pa.RecordBatch.from_arrays([text.cast(pa.string()), *(batch.column(k) for k in range(2, batch.num_columns))], names=[batch.schema.names[0], *batch.schema.names[2:]])
 
 
@@ -140,7 +140,7 @@ def quality_rules(
     min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, depleted_share: float = DEPLETED_SHARE, min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Per document: id, the measures, base_failed, removed_words and kept; carry adds input columns."""
-    return _judged(docs, id_col, text_col, host_col, carry, min_docs, host_share, depleted_share, min_words).drop("removed_lines")
+    return _judged(docs, id_col, text_col, host_col, carry, min_docs, host_share, depleted_share, min_words, words.fresh_key()).drop("removed_lines")
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
@@ -148,23 +148,24 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Decisions are made without the texts' rows and joined by a key; rows equal in id, text and host share it."""
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null"))
+    key = words.fresh_key()
     keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col, host))
-    judged = _judged(keyed, "_key", text_col, host_col, (), *(limits.get(k, v) for k, v in (("min_docs", MIN_DOCS), ("host_share", HOST_SHARE), ("depleted_share", DEPLETED_SHARE), ("min_words", MIN_WORDS))))
+    judged = _judged(keyed, "_key", text_col, host_col, (), *(limits.get(k, v) for k, v in (("min_docs", MIN_DOCS), ("host_share", HOST_SHARE), ("depleted_share", DEPLETED_SHARE), ("min_words", MIN_WORDS))), key)
     changes = judged.where("not kept or removed_lines is not null").groupBy("_key").agg(F.first("kept").alias("_kept"), F.first("removed_lines").alias("_gone"))
     left = keyed.join(changes, "_key", "left").where(F.coalesce("_kept", F.lit(True)))
     others = [c for c in docs.columns if c != text_col]
     source = left.select(text_col, "_gone", F.col("_gone").isNotNull().alias("_cut"), *others)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_gone")
-    cleaned = source.mapInArrow(_clean, kinds)
+    cleaned = source.mapInArrow(lambda batches: _clean(batches, key), kinds)
     return cleaned.withColumn(chars_col, F.when(F.col("_cut"), F.length(text_col).cast("long")).otherwise(F.col(chars_col))).select(*docs.columns)
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: tuple[str, ...], min_docs: int, host_share: float, depleted_share: float, min_words: int) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: tuple[str, ...], min_docs: int, host_share: float, depleted_share: float, min_words: int, key: int) -> DataFrame:
     """What quality_rules returns, and removed_lines: the hashes of the row's common lines."""
     names = {f"_in{k}": c for k, c in enumerate((id_col, *carry))}
     source = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), *(F.col(c).alias(k) for k, c in names.items()))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    measured = written(source.mapInArrow(_measure, f"rid long, {kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_hash array<long>, line_words array<int>"))
+    measured = written(source.mapInArrow(lambda batches: _measure(batches, key), f"rid long, {kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_hash array<long>, line_words array<int>"))
     host = F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("null")).alias("host")
     texts = measured.select(host, "text_hash").distinct().groupBy("host").agg((F.count("*") * F.lit(host_share)).alias("share"))
     lines = measured.select("rid", host, "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("rid", "host", "text_hash", "l.line_hash", "l.line_words")

@@ -46,14 +46,30 @@ def drop_written(spark: SparkSession) -> None:
 
 
 def count_floor(counts: DataFrame, col: str, most: int) -> int:
-    """The least count such that at most this many rows have it or more, from a histogram of the counts."""
-    by_count = counts.groupBy(col).agg(F.count("*").alias("_rows")).select(F.col(col).alias("c"), F.ceil(F.log2(col) * 16).alias("step"), "_rows")
-    floor, held = None, 0
-    for r in by_count.groupBy("step").agg(F.min("c").alias("c"), F.sum("_rows").alias("n")).orderBy(F.desc("step")).collect():
-        held += r.n
-        if held > most:
-            return floor if floor is not None else r.c + 1
-        floor = r.c
+    """A count that at most this many rows have or exceed, from a histogram of the counts in steps of a sixteenth of a power
+    of two; if the highest step alone holds more rows, the least such count. One above all counts if no row may stay."""
+    by_count = counts.groupBy(col).agg(F.count("*").alias("_rows")).select(F.col(col).alias("c"), "_rows")
+
+    def steps(rows: DataFrame, step) -> list:
+        return rows.groupBy(step.alias("step")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("_rows").alias("n")).orderBy(F.desc("step")).collect()
+
+    def taken(found: list) -> tuple[int | None, object]:
+        """The least count of the steps that fit, and the one that doesn't."""
+        floor, held = None, 0
+        for r in found:
+            held += r.n
+            if held > most:
+                return floor, r
+            floor = r.low
+        return floor, None
+
+    floor, over = taken(steps(by_count, F.ceil(F.log2("c") * 16)))
+    while floor is None and over is not None:
+        if over.low == over.high:
+            return over.high + 1
+        width = -(-(over.high - over.low + 1) // 1024)
+        floor, inner = taken(steps(by_count.where(F.col("c").between(over.low, over.high)), F.floor((F.col("c") - over.low) / width)))
+        over = inner
     return floor if floor is not None else 0
 
 

@@ -1,16 +1,24 @@
 """Vectorised word splitting and hashing of Arrow text columns.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D (all ASCII, so
-the rule is the same for UTF-8 bytes and for code points). Hashes are 64 bits
-wide over the (optionally A-Z lower-cased) UTF-8 bytes: runs of up to LONG_RUN bytes
-take them eight at a time, mixed after each eight; longer runs take BLAKE2b. No
-structure of a text makes two runs collide, and equal words have equal hashes on
-every machine. Null texts are empty.
+the rule is the same for UTF-8 bytes and for code points). Null texts are empty.
+
+A hash is a polynomial over the numbers modulo 2**61 - 1 whose coefficients are the length
+and seven (optionally A-Z lower-cased) UTF-8 bytes each, at a point that is the key; runs
+beyond LONG_RUN bytes take BLAKE2b with the key. A window's hash is such a polynomial of
+its words' at a second point. Two different runs have equal hashes at no more than as many
+keys as the polynomial's degree, so for a key drawn at random (``fresh_key``) after the texts
+were written no structure of a text makes runs collide: a pair does with probability 2**-57
+at most. Operators that compare texts by hashes draw a key for each run. KEY is fixed and
+public, so that models agree between runs; whoever knows it can write runs that collide, which
+there share a count or a weight. Equal runs have equal hashes under one key on every machine.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +32,10 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES < 91), _BYTES + 32, _BYTES).astype(np.uint8)
+PRIME = (1 << 61) - 1
+KEY = int.from_bytes(hashlib.blake2b(b"words", digest_size=8).digest(), "little") % PRIME
+BLOCK = 7  # bytes of a coefficient
+
 #: keeps the first n bytes of eight
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _K = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
@@ -38,9 +50,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fresh_key() -> int:
+    """A key that nobody knew when the texts were written; draw it on the driver, once for all that compares hashes."""
+    return secrets.randbelow(PRIME - 1) + 1
+
+
+@functools.lru_cache(maxsize=64)
+def second_key(key: int) -> int:
+    """The point of windows' polynomials that goes with a key."""
+    return int.from_bytes(hashlib.blake2b(b"windows", digest_size=16, key=key.to_bytes(8, "little")).digest(), "little") % PRIME
+
+
+def times(a: np.ndarray, k: int) -> np.ndarray:
+    """a * k modulo PRIME for a below 2**61, up to a multiple of it; the result is below 2**62."""
+    a1, a0 = a >> np.uint64(31), a & np.uint64((1 << 31) - 1)
+    k1, k0 = np.uint64(k >> 31), np.uint64(k & (1 << 31) - 1)
+    middle = a1 * k0 + a0 * k1
+    return reduced(a1 * k1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * k0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, where 2**61 - 1 itself may stay."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+
+
+def settled(x: np.ndarray) -> np.ndarray:
+    """The one number below PRIME for x below 2**64, mixed by a bijection of 64 bits."""
+    x = reduced(reduced(x))
+    return mix(np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x))
+
+
 @dataclass
 class Chunk:
-    """Rows lo..hi of a batch: their bytes, byte offsets, words and word hashes."""
+    """Rows lo..hi of a batch: their bytes, byte offsets, words and word hashes under a key."""
 
     lo: int
     hi: int
@@ -50,6 +92,7 @@ class Chunk:
     ends: np.ndarray
     woff: np.ndarray
     hashes: np.ndarray
+    key: int = KEY
 
     def counts(self) -> np.ndarray:
         return np.diff(self.woff)
@@ -62,19 +105,20 @@ class Chunk:
         return bytes(self.data[self.starts[i] : self.ends[i]]).decode("utf-8", "replace")
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, key: int = KEY) -> np.ndarray:
     """Hash of data[starts[i]:ends[i]]; runs may overlap."""
     bytes_ = np.zeros(len(data) + 8, np.uint8)
     bytes_[: len(data)] = _LOWER[data] if lower else data
     eight = np.ndarray((len(data) + 1,), "<u8", bytes_, strides=(1,))  # the eight bytes from each place on
     n = ends - starts
-    out = n.astype(np.uint64) * _K[0]
-    for k in range(0, min(int(n.max(initial=0)), LONG_RUN), 8):
+    out = n.astype(np.uint64)
+    for k in range(0, min(int(n.max(initial=0)), LONG_RUN), BLOCK):
         at = np.flatnonzero(n > k) if k else slice(None)
-        some = eight[starts[at] + k] & _FIRST[np.minimum(n[at] - k, 8)]
-        out[at] = mix(out[at] + some * _K[1] + np.uint64(k))
+        out[at] = reduced(times(out[at], key) + (eight[starts[at] + k] & _FIRST[np.minimum(n[at] - k, BLOCK)]))
+    out = settled(out)
+    secret = key.to_bytes(8, "little")
     for r in np.flatnonzero(n > LONG_RUN).tolist():
-        out[r] = int.from_bytes(hashlib.blake2b(bytes_[starts[r] : ends[r]], digest_size=8).digest(), "little")
+        out[r] = int.from_bytes(hashlib.blake2b(bytes_[starts[r] : ends[r]], digest_size=8, key=secret).digest(), "little")
     return out
 
 
@@ -128,24 +172,29 @@ def without_marks(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SEP, marks: bool = True) -> Iterator[Chunk]:
+def chunks(col: pa.Array, lower: bool = True, max_bytes: int = CHUNK_BYTES, separators: np.ndarray = _SEP, marks: bool = True, key: int = KEY) -> Iterator[Chunk]:
     """Chunks of rows with their words; without marks, typographic marks part words too."""
     data, off = buffers(col)
     for lo, hi in row_slices(off, max_bytes):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         part = part if marks else without_marks(part)
         starts, ends, woff = split_words(part, o, separators)
-        yield Chunk(lo, hi, part, o, starts, ends, woff, hash_runs(part, starts, ends, lower))
+        yield Chunk(lo, hi, part, o, starts, ends, woff, hash_runs(part, starts, ends, lower, key), key)
 
 
-def windows(hashes: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, woff: np.ndarray, k: int, key: int = KEY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all k-word windows inside a row, the first word of each, and its row."""
     n, counts = len(hashes) - k + 1, np.diff(woff)
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h += hashes[j : j + n] * _K[j % len(_K)] ^ np.uint64(j)
     owner = np.repeat(np.arange(len(counts)), counts)
     keep = np.flatnonzero(owner[:n] == owner[k - 1 : k - 1 + n])
-    return mix(h[keep]), keep, owner[keep]
+    return join_hashes([hashes[j : j + n] for j in range(k)], key)[keep], keep, owner[keep]
+
+
+def join_hashes(parts: list[np.ndarray], key: int = KEY) -> np.ndarray:
+    """Hashes of the sequences that take one hash of each part."""
+    point, h = second_key(key), np.full(len(parts[0]), len(parts), np.uint64)
+    for x in parts:
+        h = reduced(times(reduced(h), point) + reduced(x))
+    return settled(h)
