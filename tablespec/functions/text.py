@@ -35,14 +35,16 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.withColumn("class", kind.otherwise("word"))
 
 
-def _accented(last: int = 0x0250) -> tuple[str, str]:
-    """Letters with accents below a code point, and their base letters, by canonical decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, last)]
+def _accented(last: int = 0x1F00) -> tuple[str, str]:
+    """Latin letters with accents below a code point, and their base letters, by canonical decomposition; then the
+    marks that stand after a letter, which have none."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, last) if unicodedata.name(chr(c), "").startswith("LATIN ")]
     pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 
 
 def unaccent(text: Column) -> Column:
+    """Letters without their accents, whether in one character or as marks of their own."""
     return F.translate(text, *_accented())
 
 

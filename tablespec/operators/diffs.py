@@ -44,6 +44,8 @@ def cell_diff(desired: DataFrame, current: DataFrame, keys: list[str], cols: lis
     """(keys, column_name, old_value, new_value) for each changed cell of a key on both sides."""
     cols = _compared(desired, current, keys, cols)
     both = _sides(desired, current, keys, cols).where(F.col("_drow").isNotNull() & F.col("_crow").isNotNull() & ~F.col("_drow").eqNullSafe(F.col("_crow")))
+    if not cols:  # tables that hold only their keys have no cells
+        return both.select(*keys, *(F.lit("").alias(c) for c in ("column_name", "old_value", "new_value"))).where(F.lit(False))
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_crow.{c}").cast("string").alias("old_value"), F.col(f"_drow.{c}").cast("string").alias("new_value"), (~F.col(f"_drow.{c}").eqNullSafe(F.col(f"_crow.{c}"))).alias("differs")) for c in cols))
     return both.select(*keys, F.explode(F.filter(cells, lambda x: x["differs"])).alias("x")).select(*keys, "x.column_name", "x.old_value", "x.new_value")
 

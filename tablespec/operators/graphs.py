@@ -28,10 +28,10 @@ def recursive_view(base: DataFrame, edges: DataFrame, max_depth: int = 100, unio
     """Nodes (node) reached from base along (parent, node), with depth and path.
 
     UNION keeps a node once, at its least depth; UNION ALL keeps every path. A path never visits a
-    node twice."""
+    node twice. Nodes beyond max_depth are an error."""
     level = written(base.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
     found = [level]
-    for d in range(1, max_depth + 1):
+    for d in range(1, max_depth + 2):
         step = level.select(F.col("node").alias("parent"), "path").join(edges.select("parent", "node"), "parent").where(~F.array_contains("path", F.col("node")))
         step = step.select("node", F.lit(d).alias("depth"), F.concat("path", F.array("node")).alias("path"))
         if not union_all_rows:
@@ -40,6 +40,8 @@ def recursive_view(base: DataFrame, edges: DataFrame, max_depth: int = 100, unio
         level = written(step)
         if level.isEmpty():
             break
+        if d > max_depth:
+            raise ValueError(f"nodes lie deeper than {max_depth}")
         found.append(level)
     return union_all(found)
 

@@ -10,29 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablespec.operators.constraints import all_of, union_all
+from tablespec.operators.lattice import key_lattice, pair_degrees
 from tablespec.paths import written
 
 STATES_MOST = 100_000
 
 
 def candidate_keys(df: DataFrame, cols: list[str], max_width: int = 2) -> DataFrame:
-    """(key): minimal sets of non-null columns that are unique, comma-joined.
+    """(key): minimal sets of non-null columns that are unique, comma-joined; a table without rows has none.
 
-    An approximate count with a wide margin prunes sets that are far from unique; what is left is
-    counted exactly."""
+    Sets grow level by level on partitions of row numbers, and only rows that still share their values
+    with others go on to the next level."""
     facts = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in cols)).first()
     full = [c for c in cols if facts[c] == facts["n"]]
-    keys: list[tuple[str, ...]] = []
-    for width in range(1, max_width + 1):
-        sets = [s for s in combinations(full, width) if not any(set(k) <= set(s) for k in keys)]
-        if not sets:
-            continue
-        near = df.agg(*(F.approx_count_distinct(F.struct(*s), 0.02).alias(str(i)) for i, s in enumerate(sets))).first()
-        likely = [s for i, s in enumerate(sets) if near[i] >= 0.85 * facts["n"]]
-        if likely:
-            exact = df.agg(*(F.count_distinct(*s).alias(str(i)) for i, s in enumerate(likely))).first()
-            keys += [s for i, s in enumerate(likely) if exact[i] == facts["n"]]
-    return df.sparkSession.createDataFrame([(",".join(k),) for k in keys], "key string")
+    return df.sparkSession.createDataFrame([(",".join(k),) for k in key_lattice(df, full, max_width)], "key string")
 
 
 def column_stats(df: DataFrame, targets: dict[str, int], exact: bool = False) -> DataFrame:
@@ -42,10 +33,9 @@ def column_stats(df: DataFrame, targets: dict[str, int], exact: bool = False) ->
     values are value:count by falling count; bounds are equi-depth percentiles. Whatever the columns,
     one pass counts the values of every column, another takes distinct counts and percentiles."""
     names, many = list(targets), {c: 100 if t < 0 else t for c, t in targets.items()}
-    label = lambda i: sum(1 << (len(names) - 1 - j) for j in range(len(names)) if j != i)
-    column = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(names) for x in (label(i), c))), F.col("_g").cast("int"))
-    sets = df.select(*(F.col(c).cast("string").alias(c) for c in names)).groupingSets([[c] for c in names], *names).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
-    values = written(sets.select(column.alias("column_name"), F.coalesce(*names).alias("v"), "n"))
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)))
+    counts = df.select(F.explode(cells).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+    values = written(counts.select(F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("column_name"), "v", "n"))
     held = F.when(F.col("v").isNotNull(), F.col("n"))
     base = values.groupBy("column_name").agg((F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_share"), F.count("v").alias("exact"), (F.sum(F.octet_length("v") * F.col("n")) / F.sum(held)).alias("avg_width"))
     numeric = [c for c in names if df.schema[c].dataType.typeName() in ("integer", "long", "double", "float", "short")]
@@ -74,16 +64,7 @@ def ext_ndistinct(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def ext_dependencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """(determinant, dependent, degree): share of rows in groups of A that hold a single B."""
-    sets = list(combinations(cols, 2))
-    grouped = df.groupBy(*cols).agg(F.count("*").alias("n")).groupingSets([list(x) for x in sets], *cols).agg(F.sum("n").alias("n"), F.grouping_id().alias("_g"))
-    grouped = written(grouped)  # one pass over the rows; what follows reads the counts of pairs
-    parts = []
-    for x in sets:
-        pairs = grouped.where(F.col("_g") == sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in x))
-        for a, b in (x, x[::-1]):
-            groups = pairs.groupBy(a).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-            parts.append(groups.agg((F.coalesce(F.sum(F.when(F.col("kinds") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("degree")).select(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), "degree"))
-    return union_all(parts)
+    return pair_degrees(df, cols)
 
 
 def ext_mcv(df: DataFrame, cols: list[str], target: int) -> DataFrame:
@@ -147,7 +128,8 @@ def ordered_set_aggregate(df: DataFrame, by: list[str], col: str, points: list[f
 
 
 def infer_spec(df: DataFrame, enum_most: int = 20) -> DataFrame:
-    """(column_name, inferred_type, nullable, unique_values, serial, labels) from one profile pass."""
+    """(column_name, inferred_type, nullable, unique_values, serial, labels) from one profile pass; of a table without
+    rows the types stay and nothing is unique."""
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     kinds = ["boolean", "bigint", "double", "date", "timestamp"]
     aggs = [F.count("*").alias("_n")]
@@ -162,14 +144,15 @@ def infer_spec(df: DataFrame, enum_most: int = 20) -> DataFrame:
     p = df.agg(*aggs).first().asDict()
     few = [f.name for f in df.schema.fields if f.name in text and 0 < p[f"{f.name}|distinct"] <= enum_most < p["_n"]]
     close = [f.name for f in df.schema.fields if p[f"{f.name}|held"] == p["_n"] and p[f"{f.name}|distinct"] >= 0.85 * p["_n"]]
-    exact = df.agg(F.lit(1).alias("_"), *(F.count_distinct(c).alias(c) for c in close), *(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}|labels") for c in few)).first().asDict()
+    unique_columns = {c for (c,) in key_lattice(df, close, 1)}
+    exact = df.agg(F.lit(1).alias("_"), *(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}|labels") for c in few)).first().asDict()
     rows = []
     for f in df.schema.fields:
         n, held = f.name, p[f"{f.name}|held"]
         kind = f.dataType.simpleString()
         if n in text and held:
             kind = next((k for k in kinds if p[f"{n}|{k}"] == 0), None) or ("json" if p[f"{n}|json"] == 0 and p[f"{n}|plain"] == 0 else f"varchar({p[f'{n}|width']})")
-        unique = n in close and exact[n] == p["_n"]
+        unique = n in unique_columns
         serial = unique and f"{n}|min" in p and p[f"{n}|max"] - p[f"{n}|min"] + 1 == p["_n"]
         rows.append((n, kind, held < p["_n"], unique, serial, exact.get(f"{n}|labels")))
     return df.sparkSession.createDataFrame(rows, "column_name string, inferred_type string, nullable boolean, unique_values boolean, serial boolean, labels string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +86,27 @@ def clip_bytes(text: Column, limit: Column | int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), most))
 
 
+def _without(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """Rows without a match in others; nulls match nulls."""
+    held = others.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(on))).distinct()
+    return rows.join(held, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(on))), "left_anti")
+
+
 def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, order: list[str], out: str = "label", rounds: int = 20) -> DataFrame:
     """A label unique in its scope: the name clipped to fit, or clipped further with 1, 2, … appended.
 
     A round settles the first claimant of each label; others try the next number. A null name has a
-    null label."""
+    null label; a null scope is a scope."""
     unnamed = df.where(F.col(name).isNull()).withColumn(out, F.lit(None).cast("string"))
     todo = df.where(F.col(name).isNotNull())
     todo = todo.withColumns({"_try": F.lit(0), out: clip_bytes(F.col(name), max_bytes)})
     done = None
     for _ in range(rounds):
-        taken = todo if done is None else todo.join(done.select(*scope, out).distinct(), [*scope, out], "left_anti")
+        taken = todo if done is None else _without(todo, done, [*scope, out])
         first = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
         win = written(taken.withColumn("_r", first).where("_r = 1").drop("_r"))
         done = win if done is None else done.unionByName(win)
-        left = todo.join(win.select(*order, *scope), [*order, *scope], "left_anti")
+        left = _without(todo, win, [*order, *scope])
         # every claimant of a label tries its own number, and numbers double, so few rounds settle a group
         nth = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
         suffix = F.col("_try").cast("string")

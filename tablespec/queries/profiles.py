@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Window
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from tablespec.functions import json as N
 from tablespec.functions import udf as U
 from tablespec.operators import stats as S
+from tablespec.operators.lattice import functional_dependencies, inclusion_dependencies
 from tablespec.registry import Tables, query
 
 
@@ -76,6 +79,47 @@ def _(t: Tables):
     return S.fk_candidates(t.orders, ["o_custkey", "o_orderkey"], t.customer, "c_custkey")
 
 
+_WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+
+
+@query("a02_candidate_keys_wide", " UNION ALL ".join(
+    f"SELECT '{','.join(s)}' AS key FROM (SELECT count(*) AS n FROM lineitem) WHERE n = (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem))"
+    + "".join(f" AND n > (SELECT count(*) FROM (SELECT DISTINCT {', '.join(x)} FROM lineitem))" for w in range(1, len(s)) for x in combinations(s, w))
+    for width in (1, 2, 3, 4) for s in combinations(_WIDE, width)))
+def _(t: Tables):
+    return S.candidate_keys(t.lineitem, _WIDE, 4)
+
+
+_FD = ["c_nationkey", "c_mktsegment", "n_regionkey", "n_name"]
+
+
+def _determined(x: tuple[str, ...], a: str) -> str:
+    group = f"GROUP BY {', '.join(x)}" if x else ""
+    return f"(SELECT max(k) = 1 FROM (SELECT count(DISTINCT {a}) AS k FROM c {group}))"
+
+
+@query("a11_functional_dependencies", "WITH c AS (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey) " + " UNION ALL ".join(
+    f"SELECT '{','.join(x)}' AS determinant, '{a}' AS dependent WHERE {_determined(x, a)}" + "".join(f" AND NOT {_determined(y, a)}" for w in range(len(x)) for y in combinations(x, w))
+    for a in _FD for width in (0, 1, 2) for x in combinations([c for c in _FD if c != a], width)))
+def _(t: Tables):
+    return functional_dependencies(t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")), _FD, 2)
+
+
+_KEYED = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "part": ["p_partkey", "p_size"], "events": ["user_id"]}
+_ALL = [(table, c) for table, cols in _KEYED.items() for c in cols]
+
+
+@query("m06_inclusion_dependencies", " UNION ALL ".join(f"SELECT '{a}.{c}' AS dependent, '{b}.{d}' AS referenced, count(DISTINCT {c}) AS n_values, count(DISTINCT {c}) FILTER ({c} NOT IN (SELECT {d} FROM {b} WHERE {d} IS NOT NULL)) AS n_missing FROM {a} HAVING count({c}) > 0" for a, c in _ALL for b, d in _ALL if (a, c) != (b, d)))
+def _(t: Tables):
+    return inclusion_dependencies({table: getattr(t, table).select(*cols) for table, cols in _KEYED.items()})
+
+
+@query("a09_forty_columns", " UNION ALL ".join(_stats_sql("(SELECT *, " + ", ".join(f"(p_partkey * {k} + p_size) % {k + 2} AS c{k}" for k in range(40)) + " FROM part)", f"c{k}", 3, True) for k in range(40)))
+def _(t: Tables):
+    wide = t.part.select(*(F.expr(f"(p_partkey * {k} + p_size) % {k + 2}").alias(f"c{k}") for k in range(40)))
+    return S.column_stats(wide, {f"c{k}": 3 for k in range(40)}, exact=True).withColumns({c: F.array_join(c, ",") for c in ("mcv", "histogram")})
+
+
 _JSON = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{\"k\": \"x\", \"unit\": \"m\"}' WHEN 2 THEN '[1, 2]' WHEN 3 THEN '{broken' END"
 
 

@@ -51,7 +51,7 @@ def write_partitioned(df: DataFrame, spec: TableSpec, path: str, mode: str = "er
     checked = routed.withColumn("partition", F.coalesce("partition", F.raise_error(F.lit(f"no partition of {spec.name} takes this row"))))
     # adaptive execution splits a hot leaf over several writers and joins small ones
     checked.hint("rebalance", "partition").write.mode(mode).partitionBy("partition").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(checked.schema).parquet(path)
 
 
 def clustered_write(df: DataFrame, keys: list[str], path: str, where: str | None = None, files: int | None = None, mode: str = "errorifexists") -> DataFrame:
