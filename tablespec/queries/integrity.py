@@ -8,6 +8,7 @@ from tablespec.operators import integrity as I
 from tablespec.paths import work_dir
 from tablespec.plans.apply import rebuild_partitions
 from tablespec.registry import Tables, query
+from tablespec.sources import hashtree as H
 from tablespec.sources import scan as S
 from tablespec.spec import Column, Partition, PartitionBy, TableSpec
 
@@ -215,3 +216,18 @@ def _(t: Tables):
 @query("o02_clustered_write", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 200")
 def _(t: Tables):
     return S.clustered_write(t.orders, ["o_custkey"], f"{work_dir(t.spark)}/orders").where("o_custkey BETWEEN 100 AND 200").select("o_orderkey", "o_custkey")
+
+
+@query("o02_interleaved_write", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_custkey < 300")
+def _(t: Tables):
+    kept = S.interleaved_write(t.orders, ["o_custkey", "o_orderdate", "o_orderstatus"], f"{work_dir(t.spark)}/orders")
+    return kept.where("o_orderdate >= TIMESTAMP_NTZ'1998-01-01' AND o_custkey < 300").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query("j04_drift_by_hash_tree", "SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 17 THEN 'drop' ELSE 'alter' END AS op, CASE WHEN o_orderkey % 100 = 17 THEN '' ELSE 'o_orderstatus' END AS changed_cols FROM orders WHERE o_orderkey % 100 IN (3, 17)")
+def _(t: Tables):
+    root, schema = work_dir(t.spark), t.orders.schema
+    changed = t.orders.where("o_orderkey % 100 <> 17").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 100 = 3 THEN 'X' ELSE o_orderstatus END"))
+    for name, rows in (("old", t.orders), ("new", changed)):
+        H.tree_save(rows, ["o_orderkey"], f"{root}/{name}", leaves=64)
+    return H.tree_drift(t.spark, f"{root}/old", f"{root}/new", schema, ["o_orderkey"], leaves=64)
