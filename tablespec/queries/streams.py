@@ -97,6 +97,17 @@ def _(t: Tables):
     return C.run_to_table(C.after_update_of(stream, ["user_id"], ["event_type"], ["event_id"], "event_type <> 'error'"), *_out(t))
 
 
+@query("r05_after_update_in_event_order", "SELECT n, user_id, event_type, old_event_type FROM (SELECT event_id AS n, user_id, event_type, lag(event_type) OVER w AS old_event_type, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k > 1 AND event_type <> old_event_type")
+def _(t: Tables):
+    """Events dealt over the files without regard to their time; one row far ahead, in the last file, lets the watermark pass all others."""
+    _rocks(t)
+    rows = t.events.selectExpr("(event_id * 7919) % 1000003 AS event_id", "event_id AS n", "user_id", "event_type", "cast(ts AS timestamp) AS ts")
+    ahead = t.events.agg(F.max("ts").alias("ts")).selectExpr("1000003L AS event_id", "-1L AS n", "-1L AS user_id", "'end' AS event_type", "cast(ts AS timestamp) + INTERVAL 1000 DAYS AS ts")
+    stream = _stream(t, rows.unionByName(ahead), event_time="ts", ordered=True)
+    fired = C.after_update_of(stream, ["user_id"], ["event_type"], ["n"], event_time="ts", delay="900 days")
+    return C.run_to_table(fired.select("n", "user_id", "event_type", "old_event_type"), *_out(t))
+
+
 @query("r06_statement_audit", f"""WITH e AS (SELECT event_id, user_id, op, level, (event_id * {_FILES} // (SELECT max(event_id) + 1 FROM events))::INT AS p FROM ({_CHANGES})),
 v AS (SELECT b.b, s.more, e.user_id, arg_max(op, event_id) AS op, arg_max(level, event_id) AS level FROM range({_FILES}) b(b), (VALUES (0), (1)) s(more), e WHERE e.p < b.b + s.more GROUP BY ALL),
 n AS (SELECT b, user_id, level FROM v WHERE more = 1 AND op <> 'delete'), o AS (SELECT b, user_id, level FROM v WHERE more = 0 AND op <> 'delete')

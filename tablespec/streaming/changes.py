@@ -118,13 +118,69 @@ class _UpdateOf(StatefulProcessor):
         pass
 
 
-def after_update_of(stream: DataFrame, key: list[str], cols: list[str], order: list[str], when: str | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """AFTER UPDATE OF cols on a stream, with old values; needs the RocksDB state store provider."""
+class _UpdateInOrder(StatefulProcessor):
+    """The same in event order: rows wait in the key's buffer until the watermark has passed them."""
+
+    def __init__(self, cols: list[str], order: list[str], names: list[str], row: T.StructType, state: T.StructType):
+        self.names, self.row_schema, self.state_schema = names, row, state
+        self.at, self.order, self.cols = names.index("event_us"), [names.index(c) for c in order], [names.index(c) for c in cols]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.state_schema)
+        self.held = handle.getListState("held", self.row_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[self.names].astype(object)
+            self.held.appendList([tuple(r) for r in frame.where(frame.notna(), None).itertuples(index=False)])
+            self.handle.registerTimer(int(frame["event_us"].min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.held.get()]
+        ready = sorted((r for r in rows if r[self.at] <= passed), key=lambda r: (r[self.at], *((r[i] is not None, r[i]) for i in self.order)))
+        rest = [r for r in rows if r[self.at] > passed]
+        self.held.clear()
+        if rest:
+            self.held.put(rest)
+            self.handle.registerTimer(min(r[self.at] for r in rest) // 1000 + 1)
+        before, out = tuple(self.last.get()) if self.last.exists() else None, []
+        for r in ready:
+            now = tuple(r[i] for i in self.cols)
+            if before is not None and now != before:
+                out.append((*r, *before))
+            before = now
+        if ready:
+            self.last.update(before)
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, *(f"old_{self.names[i]}" for i in self.cols)])
+
+    def close(self) -> None:
+        pass
+
+
+def after_update_of(
+    stream: DataFrame, key: list[str], cols: list[str], order: list[str], when: str | None = None, ttl_ms: int | None = None, event_time: str | None = None, delay: str = "0 seconds",
+) -> DataFrame:
+    """AFTER UPDATE OF cols on a stream, with old values; needs the RocksDB state store provider.
+
+    Rows are compared in the order in which their micro-batches come, and by ``order`` inside one. With an
+    ``event_time`` column they are compared by it, then by ``order``: a row waits in its key's buffer until the watermark,
+    ``delay`` behind the latest time, has passed it, so one that comes late by less than that meets its true
+    predecessor. Rows without a time have no place and are left out, as are later ones."""
     state, out = T.StructType(), T.StructType(list(stream.schema.fields))
     for c in cols:
         state.add(c, stream.schema[c].dataType)
         out.add(f"old_{c}", stream.schema[c].dataType)
-    fired = stream.groupBy(*key).transformWithStateInPandas(_UpdateOf(cols, order, state, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    if event_time:
+        timed = stream.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay).withColumn("event_us", F.unix_micros(event_time))
+        wide = T.StructType([*timed.schema.fields, *(f for f in out.fields if f.name not in timed.columns)])
+        held = T.StructType([T.StructField(f.name, f.dataType) for f in timed.schema.fields])
+        fired = timed.groupBy(*key).transformWithStateInPandas(_UpdateInOrder(cols, order, timed.columns, held, state), outputStructType=wide, outputMode="Append", timeMode="EventTime").drop("event_us")
+    else:
+        fired = stream.groupBy(*key).transformWithStateInPandas(_UpdateOf(cols, order, state, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
     return fired.where(when) if when else fired
 
 
