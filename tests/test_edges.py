@@ -1,5 +1,7 @@
 """Empty tables, nulls and odd shapes that once raised or gave wrong rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,14 @@ def test_dependencies_with_nulls_and_constants(spark):
     other = spark.createDataFrame([("x", 1), ("y", 2)], "name string, n long")
     inc = {(r.dependent, r.referenced): (r.n_values, r.n_missing) for r in L.inclusion_dependencies({"t": df, "u": other}).collect()}
     assert inc["t.b", "u.n"] == (2, 0) and inc["t.c", "u.name"] == (1, 0) and inc["u.name", "t.c"] == (2, 1) and inc["t.d", "u.n"] == (3, 1) and ("t.c", "u.n") not in inc
+
+
+def test_written_rows_go_when_asked(spark):
+    from tablespec import paths
+
+    out = paths.written(spark.range(5).toDF("k"))
+    assert out.count() == 5 and out.inputFiles()
+    folder = out.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    paths.drop_written(spark)
+    assert not os.path.exists(folder)
+    assert paths.written(spark.range(2).toDF("k")).count() == 2
