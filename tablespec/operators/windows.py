@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,35 +84,41 @@ def clip_bytes(text: Column, limit: Column | int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), most))
 
 
-def _without(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-    """Rows without a match in others; nulls match nulls."""
-    held = others.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(on))).distinct()
-    return rows.join(held, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(on))), "left_anti")
+def _numbered(left: DataFrame, done: DataFrame, scope: list[str], name: str, max_bytes: int, order: list[str], out: str, digits: int) -> DataFrame:
+    """Rows without a label with the numbers of so many digits appended, as far as these reach; _left marks the others.
+
+    The n-th row of a stem gets its n-th number that no settled label holds: a held number lies behind as many free
+    ones as _at says, and a row skips those at or before its own place."""
+    low, stem, number = 10 ** (digits - 1), [*scope, "_stem"], F.right(out, F.lit(digits)).cast("long")
+    rows = left.withColumn("_stem", clip_bytes(F.col(name), max_bytes - digits))
+    rows = rows.withColumns({"_at": F.row_number().over(Window.partitionBy(*stem).orderBy(*order)).cast("long") - 1, "_row": F.lit(True)})
+    held = done.where(F.col(out).rlike(f"[1-9][0-9]{{{digits - 1}}}\\z")).select(*scope, F.expr(f"left(`{out}`, length(`{out}`) - {digits})").alias("_stem"), number.alias("_n"))
+    before = F.row_number().over(Window.partitionBy(*stem).orderBy("_n")) - 1
+    held = held.select(*stem, (F.col("_n") - low - before).alias("_at"), F.lit(False).alias("_row"))
+    skipped = F.count_if(~F.col("_row")).over(Window.partitionBy(*stem).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(held, allowMissingColumns=True).withColumn("_n", F.col("_at") + skipped + low).where("_row")
+    fits = F.col("_n") < 10 * low
+    return both.withColumns({out: F.when(fits, F.concat("_stem", F.col("_n").cast("string"))), "_left": ~fits}).select(left.columns)
 
 
-def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, order: list[str], out: str = "label", rounds: int = 20) -> DataFrame:
+def dedupe_names(df: DataFrame, scope: list[str], name: str, max_bytes: int, order: list[str], out: str = "label") -> DataFrame:
     """A label unique in its scope: the name clipped to fit, or clipped further with 1, 2, … appended.
 
-    A round settles the first claimant of each label; others try the next number. A null name has a
-    null label; a null scope is a scope."""
+    The first claimant of a clipped name keeps it; a round for each number of digits deals the free numbers of a
+    stem to the others in order, so rounds grow with the digits of the largest group's size. A null name has a null
+    label; a null scope is a scope. More names than labels that fit are an error."""
     unnamed = df.where(F.col(name).isNull()).withColumn(out, F.lit(None).cast("string"))
-    todo = df.where(F.col(name).isNotNull())
-    todo = todo.withColumns({"_try": F.lit(0), out: clip_bytes(F.col(name), max_bytes)})
-    done = None
-    for _ in range(rounds):
-        taken = todo if done is None else _without(todo, done, [*scope, out])
-        first = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
-        win = written(taken.withColumn("_r", first).where("_r = 1").drop("_r"))
-        done = win if done is None else done.unionByName(win)
-        left = _without(todo, win, [*order, *scope])
-        # every claimant of a label tries its own number, and numbers double, so few rounds settle a group
-        nth = F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order))
-        suffix = F.col("_try").cast("string")
-        todo = left.withColumn("_try", (2 * F.col("_try") + nth).cast("int")).withColumn(out, F.concat(clip_bytes(F.col(name), F.lit(max_bytes) - F.octet_length(suffix)), suffix))
-        todo = written(todo)
-        if todo.isEmpty():
-            return done.drop("_try").unionByName(unnamed)
-    raise ValueError(f"labels still collide after {rounds} rounds")
+    named = df.where(F.col(name).isNotNull()).withColumn(out, clip_bytes(F.col(name), max_bytes))
+    rows = written(named.withColumn("_left", F.row_number().over(Window.partitionBy(*scope, out).orderBy(*order)) > 1))
+    done = rows.where("NOT _left")
+    for digits in range(1, max_bytes + 1):
+        if rows.where("_left").isEmpty():
+            break
+        rows = written(_numbered(rows.where("_left"), done, scope, name, max_bytes, order, out, digits))
+        done = done.unionByName(rows.where("NOT _left"))
+    if not rows.where("_left").isEmpty():
+        raise ValueError(f"more names than labels of {max_bytes} bytes")
+    return done.drop("_left").unionByName(unnamed)
 
 
 def change_events(history: DataFrame, key: list[str], ts: list[str], cols: list[str], when: str | None = None) -> DataFrame:

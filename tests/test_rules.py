@@ -71,6 +71,17 @@ def test_labels_are_unique_and_fit(spark):
     assert all(len(r.label.encode()) <= 4 for r in out)
 
 
+def test_labels_fill_all_numbers_that_fit(spark):
+    """1 name and 9, 90 and 900 numbers fit 3 bytes; names that look like numbered ones keep their labels."""
+    rows = spark.range(995).selectExpr("id", "'aaa' AS name").unionByName(spark.createDataFrame([(-i, n) for i, n in enumerate(["aa2", "aa9", "a10", "500", "999"], 1)], "id long, name string"))
+    got = {r.id: r.label for r in W.dedupe_names(rows, [], "name", 3, ["id"]).collect()}
+    assert {got[-i] for i in range(1, 6)} == {"aa2", "aa9", "a10", "500", "999"}
+    assert [got[i] for i in (0, 1, 2, 3, 7, 8, 9, 95, 96)] == ["aaa", "aa1", "aa3", "aa4", "aa8", "a11", "a12", "a98", "a99"]
+    assert set(got.values()) == {"aaa", *(f"aa{i}" for i in range(1, 10)), *(f"a{i}" for i in range(10, 100)), *(str(i) for i in range(100, 1000))}
+    with pytest.raises(ValueError):
+        W.dedupe_names(rows.unionByName(spark.range(1000, 1001).selectExpr("id", "'aaa' AS name")), [], "name", 3, ["id"])
+
+
 def test_routing_covers_bounds_and_nulls(spark):
     by = PartitionBy("range", ("a",), (Partition("low", upper=(0,)), Partition("mid", lower=(0,), upper=(10,)), Partition("rest", default=True)))
     df = spark.createDataFrame([(-1,), (0,), (9,), (10,), (None,)], "a int")
