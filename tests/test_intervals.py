@@ -66,6 +66,26 @@ def test_few_rows_a_range_over_six_magnitudes(spark):
     assert "BroadcastNestedLoop" not in text and "CartesianProduct" not in text
 
 
+def test_crowded_cells_are_cut_into_blocks(spark, monkeypatch):
+    """No pair is lost or doubled by blocks; a task compares a bounded number of pairs, whatever a cell holds."""
+    monkeypatch.setattr(I, "SIDE", 8)
+    monkeypatch.setattr(I, "TASK_PAIRS", 200)
+    rows, schema = spans(int, "bigint", 5, n=400)
+    rows += [(1000 + i, 1, 10, 10 + i % 5) for i in range(90)]
+    df = spark.createDataFrame(rows, schema)
+    assert found(df) == pairs(rows)
+    assert I.exclude_violations(df, ["g"], "lo", "hi", "k").rdd.getNumPartitions() > 50
+
+
+def test_comparisons_grow_with_the_pairs_found(spark):
+    rows = spark.range(3000).selectExpr("id AS k", "(id * 7919) % 100000000 * 1000 AS lo").withColumn("hi", F.expr("lo + 70000000"))
+    levels = [r._level for r in I.placed_ranges(rows, "lo", "hi", I.JOIN_BITS).select("_level").distinct().collect()]
+    assert levels == [28]
+    found = I.exclude_violations(rows, [], "lo", "hi", "k").count()
+    cells = rows.selectExpr("explode(sequence(shiftright(lo, 27), shiftright(hi, 27))) AS c").groupBy("c").count().join(rows.selectExpr("shiftright(lo, 27) AS c").groupBy("c").agg(F.count("*").alias("n")), "c")
+    assert cells.agg(F.sum(F.col("count") * F.col("n"))).first()[0] < 6 * found
+
+
 def test_no_rows_and_no_order(spark):
     assert found(spark.createDataFrame([], "k int, g int, lo int, hi int")) == set()
     with pytest.raises(TypeError):
