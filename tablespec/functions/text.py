@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablespec.operators.constraints import union_all
-from tablespec.paths import written
 
 #: fixed values: token classes in the order in which they are tried
 TOKEN_CLASSES = (
@@ -20,6 +20,8 @@ TOKEN_CLASSES = (
 )
 ANY_TOKEN = "|".join(f"(?:{p})" for _, p in TOKEN_CLASSES)
 
+DEALT = 16  # a power of two: parts over which an index deals the postings of a term
+
 #: fixed values: words that name a credential
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "passphrase")
 #: fixed values: shapes of tokens that look like credentials or personal data
@@ -48,8 +50,8 @@ def unaccent(text: Column) -> Column:
     return F.translate(text, *_accented())
 
 
-def text_vector(docs: DataFrame, key: str, text: str, stop_words: DataFrame | None = None, synonyms: DataFrame | None = None, stem: Column | None = None, classes: tuple[str, ...] = ("word", "number", "hyphen"), chains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(key, term, positions, n) after lower case, hyphen parts and the dictionary chain of the token's
+def text_terms(docs: DataFrame, key: str, text: str, stop_words: DataFrame | None = None, synonyms: DataFrame | None = None, stem: Column | None = None, classes: tuple[str, ...] = ("word", "number", "hyphen"), chains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, term, position) after lower case, hyphen parts and the dictionary chain of the token's
     class: unaccent, stop words (word), synonyms (word, term) and a stem expression over ``term``.
 
     chains names the steps of each class; without it every class takes all given dictionaries."""
@@ -67,34 +69,50 @@ def text_vector(docs: DataFrame, key: str, text: str, stop_words: DataFrame | No
         terms = terms.join(other, (F.col("term") == F.col("_from")) & takes("synonyms"), "left").withColumn("term", F.coalesce("_to", "term")).drop("_from", "_to")
     if stem is not None:
         terms = terms.withColumn("term", F.when(takes("stem"), stem).otherwise(F.col("term")))
-    return terms.groupBy(key, "term").agg(F.array_sort(F.collect_set("position")).alias("positions")).withColumn("n", F.size("positions"))
+    return terms.select(key, "term", "position")
+
+
+def _listed(terms: DataFrame, *by: str) -> DataFrame:
+    return terms.groupBy(*by).agg(F.array_sort(F.collect_set("position")).alias("positions")).withColumn("n", F.size("positions"))
+
 
+def text_vector(docs: DataFrame, key: str, text: str, *chain, **named) -> DataFrame:
+    """(key, term, positions, n): the terms of text_terms with all their positions."""
+    return _listed(text_terms(docs, key, text, *chain, **named), key, "term")
 
-def text_index(vectors: DataFrame, key: str) -> DataFrame:
-    """(term, key, n, positions, df): postings laid out by term, with document frequencies.
 
-    A frequent term's postings stay rows, so no list of all its documents is ever built. The vectors are
-    written once and read twice: for the counts and for the postings."""
-    vectors = written(vectors)
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    return vectors.join(df, "term").select("term", key, "n", "positions", "df")
+def text_index(terms: DataFrame, key: str) -> DataFrame:
+    """(term, key, n, positions, df): postings of the terms of text_terms, with document frequencies.
+
+    A frequent term's postings stay rows, so no list of all its documents is ever built, and lie in DEALT parts. Terms
+    are shuffled once: the counts and the postings both read that shuffle, and the counts, one row for each term and
+    part, come to the postings."""
+    dealt = terms.where("term IS NOT NULL").withColumn("_part", F.xxhash64(key).bitwiseAND(F.lit(DEALT - 1).cast("long"))).repartition("term", "_part")
+    postings = _listed(dealt, "term", "_part", key)
+    # n asks the counts for the same columns, and _part is never null, so that both sides share the exchange
+    df = postings.where("n > 0").groupBy("term", "_part").agg(F.count("*").alias("df")).groupBy("term").agg(F.sum("df").alias("df"))
+    df = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    return postings.join(df, ["term", "_part"]).select("term", key, "n", "positions", "df")
 
 
 def text_match(index: DataFrame, key: str, all_of: list[str] = [], any_of: list[str] = [], none_of: list[str] = [], phrase: list[str] = [], top: int | None = None) -> DataFrame:  # noqa: B006
-    """(key, score): documents with all, any and none of the terms and the phrase, by total frequency."""
+    """(key, score): documents with all, any and none of the terms and the phrase, by total frequency.
+
+    The index is text_index's or text_vector's, one row for each term of a document; only rows of the terms asked for
+    are read or, of a lazy index, made, and they meet once for each document."""
     wanted = sorted({*all_of, *any_of, *phrase})
     hits = index.where(F.col("term").isin(*wanted, *none_of))
     has = lambda t: F.bool_or(F.col("term") == t)
+    starts = lambda i: F.transform("positions", lambda p: p - i)
     need = sorted({*all_of, *phrase})
-    grouped = hits.groupBy(key).agg(F.sum(F.when(F.col("term").isin(*wanted), F.col("n"))).alias("score"), *(has(t).alias(f"_n{i}") for i, t in enumerate(need)), F.bool_or(F.col("term").isin(*any_of) if any_of else F.lit(True)).alias("_any"), F.bool_or(F.col("term").isin(*none_of) if none_of else F.lit(False)).alias("_none"))
+    tests = [*(has(t).alias(f"_n{i}") for i, t in enumerate(need)), *(F.first(F.when(F.col("term") == t, starts(i)), True).alias(f"_p{i}") for i, t in enumerate(phrase))]
+    grouped = hits.groupBy(key).agg(F.sum(F.when(F.col("term").isin(*wanted), F.col("n"))).alias("score"), *tests, F.bool_or(F.col("term").isin(*any_of) if any_of else F.lit(True)).alias("_any"), F.bool_or(F.col("term").isin(*none_of) if none_of else F.lit(False)).alias("_none"))
     keep = F.col("_any") & ~F.col("_none")
     for i in range(len(need)):
         keep = keep & F.col(f"_n{i}")
-    out = grouped.where(keep).select(key, "score")
     if phrase:
-        starts = union_all([index.where(F.col("term") == t).select(key, F.explode("positions").alias("p")).select(key, (F.col("p") - i).alias("start"), F.lit(i).alias("i")) for i, t in enumerate(phrase)])
-        whole = starts.distinct().groupBy(key, "start").count().where(F.col("count") == len(phrase)).select(key).distinct()
-        out = out.join(whole, key, "left_semi")
+        keep = keep & (F.size(reduce(F.array_intersect, (F.col(f"_p{i}") for i in range(len(phrase))))) > 0)
+    out = grouped.where(keep).select(key, "score")
     return out.orderBy(F.desc("score"), key).limit(top) if top else out
 
 

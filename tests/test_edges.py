@@ -78,3 +78,16 @@ def test_written_rows_go_when_asked(spark):
     paths.drop_written(spark)
     assert not os.path.exists(folder)
     assert paths.written(spark.range(2).toDF("k")).count() == 2
+
+
+def test_an_index_shuffles_its_terms_once(spark):
+    from tablespec.functions import text as X
+
+    docs = spark.createDataFrame([(i, "the cat of the house" if i % 2 else "of the") for i in range(40)] + [(None, "The end")], "k int, text string")
+    out = X.text_index(X.text_terms(docs, "k", "text"), "k")
+    rows = {(r.term, r.k): (r.n, r.positions, r.df) for r in out.collect()}
+    assert rows["the", 1] == (2, [0, 3], 41) and rows["the", None] == (1, [0], 41) and rows["cat", 3] == (1, [1], 20) and len(rows) == 20 * 4 + 20 * 2 + 2
+    found = X.text_match(X.text_vector(docs, "k", "text"), "k", phrase=["of", "the", "house"])
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 4) for i in range(1, 40, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
