@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -101,18 +101,18 @@ class _UpdateOf(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", self.state_schema, self.ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order)
-        values = frame[self.cols].astype(object)
-        before = values.shift(1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        plain = lambda x: None if x != x else x  # a missing number is a null
         held = self.state.get() if self.state.exists() else None
-        if held is not None:
-            before.iloc[0] = list(held)
-        differs = ((values != before) & ~(values.isna() & before.isna())).any(axis=1)
-        differs.iloc[0] &= held is not None
-        self.state.update(tuple(values.where(values.notna(), None).iloc[-1]))
-        old = before.where(before.notna(), None).add_prefix("old_")
-        yield pd.concat([frame, old], axis=1)[differs]
+        before = None if held is None else tuple(map(plain, held))
+        first = before
+        for row in sorted(rows, key=lambda r: [(plain(r[c]) is None, 0 if plain(r[c]) is None else r[c]) for c in self.order]):
+            now = tuple(plain(row[c]) for c in self.cols)
+            if before is not None and now != before:
+                yield Row(**row.asDict(), **{f"old_{c}": v for c, v in zip(self.cols, before)})
+            before = now
+        if before != first or self.ttl:
+            self.state.update(before)
 
     def close(self) -> None:
         pass
@@ -180,7 +180,7 @@ def after_update_of(
         held = T.StructType([T.StructField(f.name, f.dataType) for f in timed.schema.fields])
         fired = timed.groupBy(*key).transformWithStateInPandas(_UpdateInOrder(cols, order, timed.columns, held, state), outputStructType=wide, outputMode="Append", timeMode="EventTime").drop("event_us")
     else:
-        fired = stream.groupBy(*key).transformWithStateInPandas(_UpdateOf(cols, order, state, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+        fired = stream.groupBy(*key).transformWithState(_UpdateOf(cols, order, state, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
     return fired.where(when) if when else fired
 
 
@@ -259,10 +259,14 @@ class _Repeats(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("seen", T.StructType().add("seen", "boolean"), self.ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        yield frame if self.state.exists() else frame.iloc[1:]
-        self.state.update((True,))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = seen = self.state.exists()
+        for row in rows:
+            if seen:
+                yield row
+            seen = True
+        if not held or self.ttl:
+            self.state.update((True,))
 
     def close(self) -> None:
         pass
@@ -270,7 +274,7 @@ class _Repeats(StatefulProcessor):
 
 def duplicate_stream(stream: DataFrame, key: list[str], ttl_ms: int | None = None) -> DataFrame:
     """The rows that unique_stream leaves out; state may expire after ttl_ms."""
-    return stream.groupBy(*key).transformWithStateInPandas(_Repeats(ttl_ms), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    return stream.groupBy(*key).transformWithState(_Repeats(ttl_ms), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def streaming_matview(stream: DataFrame, ts: str, window: str, aggs: list[Column], delay: str, slide: str | None = None, session: bool = False, by: list[str] = []) -> DataFrame:  # noqa: B006

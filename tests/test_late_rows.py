@@ -26,3 +26,12 @@ def test_late_rows_meet_their_true_predecessors(spark, tmp_path):
     fired.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = [(x.n, x.user, x.kind, x.old_kind) for x in spark.read.parquet(f"{tmp_path}/out").collect() if x.n < 1000]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keys_whose_rows_span_batches_lose_none(spark, tmp_path):
+    """All rows of a key but the first come out, however many rows a task reads."""
+    _rocks(Tables(spark, ""))
+    spark.range(90_000).selectExpr("id", "id % 3000 AS user").repartition(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, user long").parquet(f"{tmp_path}/in")
+    found = C.run_to_table(C.duplicate_stream(stream, ["user"]), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert found.count() == 90_000 - 3000 and found.groupBy("user").count().where("count = 29").count() == 3000
