@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,14 +129,14 @@ class _UpdateInOrder(StatefulProcessor):
         self.last = handle.getValueState("last", self.state_schema)
         self.held = handle.getListState("held", self.row_schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            frame = frame[self.names].astype(object)
-            self.held.appendList([tuple(r) for r in frame.where(frame.notna(), None).itertuples(index=False)])
-            self.handle.registerTimer(int(frame["event_us"].min()) // 1000 + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        plain = lambda x: None if x != x else x  # a missing number is a null
+        came = [tuple(plain(r[c]) for c in self.names) for r in rows]
+        self.held.appendList(came)
+        self.handle.registerTimer(min(r[self.at] for r in came) // 1000 + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [tuple(r) for r in self.held.get()]
         ready = sorted((r for r in rows if r[self.at] <= passed), key=lambda r: (r[self.at], *((r[i] is not None, r[i]) for i in self.order)))
@@ -146,16 +145,14 @@ class _UpdateInOrder(StatefulProcessor):
         if rest:
             self.held.put(rest)
             self.handle.registerTimer(min(r[self.at] for r in rest) // 1000 + 1)
-        before, out = tuple(self.last.get()) if self.last.exists() else None, []
+        before = tuple(self.last.get()) if self.last.exists() else None
         for r in ready:
             now = tuple(r[i] for i in self.cols)
             if before is not None and now != before:
-                out.append((*r, *before))
+                yield Row(**dict(zip(self.names, r)), **{f"old_{self.names[i]}": v for i, v in zip(self.cols, before)})
             before = now
         if ready:
             self.last.update(before)
-        if out:
-            yield pd.DataFrame(out, columns=[*self.names, *(f"old_{self.names[i]}" for i in self.cols)])
 
     def close(self) -> None:
         pass
@@ -178,7 +175,7 @@ def after_update_of(
         timed = stream.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay).withColumn("event_us", F.unix_micros(event_time))
         wide = T.StructType([*timed.schema.fields, *(f for f in out.fields if f.name not in timed.columns)])
         held = T.StructType([T.StructField(f.name, f.dataType) for f in timed.schema.fields])
-        fired = timed.groupBy(*key).transformWithStateInPandas(_UpdateInOrder(cols, order, timed.columns, held, state), outputStructType=wide, outputMode="Append", timeMode="EventTime").drop("event_us")
+        fired = timed.groupBy(*key).transformWithState(_UpdateInOrder(cols, order, timed.columns, held, state), outputStructType=wide, outputMode="Append", timeMode="EventTime").drop("event_us")
     else:
         fired = stream.groupBy(*key).transformWithState(_UpdateOf(cols, order, state, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
     return fired.where(when) if when else fired
