@@ -2,9 +2,9 @@
 
 Restaurants: one for each context, all sharing the parent restaurant of single
 words, whose own base is uniform over the words and one unknown word. The context
-of a token is the word before it, or the start of the text. Words seen at least
-CONTEXT_LEAST times (the CONTEXTS_MOST most frequent, where more are) have a
-restaurant of their own; rarer ones share one. Customers of a context are the
+of a token is the word before it, or the start of the text. Every word has a
+restaurant of its own; only a CONTEXT_LEAST above 1 lets the words seen less often, or
+beyond the CONTEXTS_MOST most frequent, share one. Customers of a context are the
 tokens that follow it; its tables are customers of the parent.
 
 A Gibbs step stands all customers of a dish up and seats them again: given all
@@ -19,9 +19,10 @@ word's dish in every context and in the parent. A word with more than SLICE_TOKE
 occurrences is sliced by context over several buckets and its parent's dish is
 seated in the driver. A bucket samples its dishes, taking the other buckets for
 like its own (the hash deals words evenly), and writes its states. Customers and
-tables of each context, one bounded array, are then summed over all buckets, and
-all tokens are scored with these sums, so the probabilities of all words add up to
-one in every context. Tokens reach a bucket as distinct (word, context) counts per
+tables of each context are then summed over all buckets: the CONTEXTS_MOST most
+frequent ones in one bounded array, all others as rows that are shuffled by context and
+come back to the buckets that hold it. All tokens are scored with these sums, so the
+probabilities of all words add up to one in every context. Tokens reach a bucket as distinct (word, context) counts per
 batch of documents to be sampled, and as (word, context, document) counts to be
 scored; scores go back as sums per document. Nothing is broadcast that grows with
 the corpus, and no word, context or pair gathers in one task.
@@ -34,7 +35,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,8 @@ from pyspark.sql import functions as F
 from tablespec.llm import words
 from tablespec.llm.shared import count_floor, crc_fold, small_batches, written
 
-CONTEXTS_MOST = 65_000
-CONTEXT_LEAST = 20
-CANDIDATE_LEAST = 3
+CONTEXTS_MOST = 65_000  # contexts whose sums are an array; those of all others are rows
+CONTEXT_LEAST = 1
 BUCKET_TOKENS = 2_000_000
 SLICE_TOKENS = BUCKET_TOKENS // 4
 BATCH_TOKENS = 2_000_000
@@ -58,6 +58,8 @@ SAMPLES, BURN = 3, 5
 CHILD, PARENT = (0.75, 5.0), (0.80, 10.0)
 END = np.uint64(0x5851F42D4C957F2D)
 START, OTHER, FIRST = 0, 1, 2
+ESCAPE = 0xFFFF  # stands for a context without a code, which is its word's hash with the highest bit set
+RARE = np.uint64(1 << 63)
 
 
 @functools.lru_cache(maxsize=4)
@@ -169,7 +171,10 @@ class Totals:
 
 @dataclass
 class Survey:
-    """Words that are contexts (sorted hashes and their codes), sliced words with their slices, and sizes."""
+    """Contexts with a code (sorted hashes and their codes), sliced words with their slices, and sizes.
+
+    rare_size is the size of the context that a token without a coded one has on average, 0 if all have codes;
+    if words below CONTEXT_LEAST share a context, no other is without a code."""
 
     hashes: np.ndarray
     codes: np.ndarray
@@ -178,6 +183,8 @@ class Survey:
     slices: np.ndarray
     occurrences: np.ndarray
     buckets: int
+    rare_size: float
+    share: bool
 
 
 def _tokens(c: words.Chunk, survey: Survey | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,23 +197,24 @@ def _tokens(c: words.Chunk, survey: Survey | None = None) -> tuple[np.ndarray, n
     h[is_word], h[last] = c.hashes, END
     row, u = np.repeat(np.arange(len(n)), n), np.full(len(h), OTHER, np.uint64)
     if survey is not None and len(h):
+        if not survey.share:
+            u[1:] = h[:-1] | RARE
         if len(survey.hashes):
             at = np.minimum(np.searchsorted(survey.hashes, h[:-1]), len(survey.hashes) - 1)
-            u[1:] = np.where(survey.hashes[at] == h[:-1], survey.codes[at], OTHER)
+            u[1:] = np.where(survey.hashes[at] == h[:-1], survey.codes[at], u[1:])
         u[np.append(0, last[:-1] + 1)] = START
     return h, row, u
 
 
 def _survey(docs: DataFrame) -> Survey:
-    """Counts words of training rows, a batch's rare ones aside, which only steer what follows."""
+    """Counts the words of training rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= CANDIDATE_LEAST
-            return pa.RecordBatch.from_arrays([pa.array([None, *h[keep].view(np.int64)], pa.int64()), pa.array(np.append(size, n[keep]))], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(h.view(np.int64))]), pa.array(np.append(size, n))], names=["h", "n"])
 
         for batch in batches:
             for c in words.chunks(batch.column(0)):
@@ -221,7 +229,10 @@ def _survey(docs: DataFrame) -> Survey:
     table = written(docs.where("train").select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     tokens = table.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = table.where(F.col("h").isNotNull() & (F.col("h") != F.lit(int(END.astype(np.int64)))) & (F.col("n") >= CONTEXT_LEAST))
-    top = found.where(F.col("n") >= count_floor(found, "n", CONTEXTS_MOST)).toArrow()
+    floor = count_floor(found, "n", CONTEXTS_MOST)
+    top = found.where(F.col("n") >= floor).toArrow()
+    share = CONTEXT_LEAST > 1
+    rare_size = 0.0 if share else found.where(F.col("n") < floor).agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n"), F.lit(0.0))).first()[0]
     h, n = top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.float64)
     order = np.argsort(h)
     ends = table.where(F.col("h") == F.lit(int(END.astype(np.int64)))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -229,7 +240,7 @@ def _survey(docs: DataFrame) -> Survey:
     hot = table.where(F.col("h").isNotNull() & (F.col("n") > SLICE_TOKENS)).toArrow()
     hh, hn = hot.column("h").to_numpy().astype(np.int64).view(np.uint64), hot.column("n").to_numpy().astype(np.int64)
     by = np.argsort(hh)
-    return Survey(h[order], np.arange(len(h)).astype(np.uint64) + np.uint64(FIRST), size, hh[by], -(-hn[by] // SLICE_TOKENS), hn[by], max(1, -(-tokens * 5 // (4 * BUCKET_TOKENS))))
+    return Survey(h[order], np.arange(len(h)).astype(np.uint64) + np.uint64(FIRST), size, hh[by], -(-hn[by] // SLICE_TOKENS), hn[by], max(1, -(-tokens * 5 // (4 * BUCKET_TOKENS))), rare_size, share)
 
 
 def _sliced_at(survey: Survey, h: np.ndarray) -> np.ndarray:
@@ -240,11 +251,14 @@ def _sliced_at(survey: Survey, h: np.ndarray) -> np.ndarray:
     return np.where(survey.sliced[at] == h, at, -1)
 
 
-_ROW = "bucket int, batch long, h binary, m binary, ctx binary, who binary, n binary, keys binary"
+_ROW = "bucket int, batch long, h binary, m binary, ctx binary, rare binary, who binary, n binary, keys binary"
 
 
 def _dealt(docs: DataFrame, shared, with_documents: bool) -> DataFrame:
-    """Rows of a batch for a bucket: its words, the number of items of each, and for each item context, document and count."""
+    """Rows of a batch for a bucket: its words, the number of items of each, and for each item context, document and count.
+
+    Without documents only training tokens count; where contexts lack codes, pairs of other rows are there with a count
+    of 0, so that every bucket learns which contexts it will be asked for."""
     names = [part.split()[0] for part in _ROW.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,29 +267,35 @@ def _dealt(docs: DataFrame, shared, with_documents: bool) -> DataFrame:
         held, keys, size, docs_held = [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            h, item = (np.concatenate([x[i] for x in held]) for i in range(2))
-            ctx = item >> np.uint64(16)
+            h, u, tag = (np.concatenate([x[i] for x in held]) for i in range(3))
+            contexts, place = np.unique(u, return_inverse=True)
+            bits = np.uint64(16 + len(contexts).bit_length())
             at = _sliced_at(survey, h)
-            part = np.where(at >= 0, words.mix(ctx) % survey.slices[np.maximum(at, 0)].astype(np.uint64), 0).astype(np.uint64) if len(survey.sliced) else np.zeros(len(h), np.uint64)
+            part = np.where(at >= 0, words.mix(u) % survey.slices[np.maximum(at, 0)].astype(np.uint64), 0).astype(np.uint64) if len(survey.sliced) else np.zeros(len(h), np.uint64)
             unit, first, inverse = np.unique(h + part * words._K[2], return_index=True, return_inverse=True)
             bucket = ((words.mix(h[first]) + part[first]) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((h[first], bucket))
             rank = np.empty(len(unit), np.uint64)
             rank[order] = np.arange(len(unit)).astype(np.uint64)
-            key = np.sort(rank[inverse] << np.uint64(32) | item)
+            key = np.sort(rank[inverse] << bits | place.astype(np.uint64) << np.uint64(16) | tag)
             new = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
             n, key = np.diff(np.append(new, len(key))).astype("<u4"), key[new]
-            unit_h, m = h[first][order].astype("<u8"), np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(unit)).astype("<u4")
-            ctx, who = (key >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2"), (key & np.uint64(0xFFFF)).astype("<u2")
+            unit_h, m = h[first][order].astype("<u8"), np.bincount((key >> bits).astype(np.int64), minlength=len(unit)).astype("<u4")
+            ctx, who = contexts[(key >> np.uint64(16) & (np.uint64(1) << bits - np.uint64(16)) - np.uint64(1)).astype(np.int64)], (key & np.uint64(0xFFFF)).astype("<u2")
+            uncoded = ctx >= RARE
+            rare, ctx = ctx[uncoded].astype("<u8"), np.where(uncoded, np.uint64(ESCAPE), ctx).astype("<u2")
+            if not with_documents:
+                n = (n * (who & 1)).astype("<u4")
             which, start = np.unique(bucket[order], return_index=True)
             unit_cut = np.append(start, len(unit))
             cut = np.concatenate([[0], np.cumsum(m, dtype=np.int64)])[unit_cut]
+            rare_cut = np.concatenate([[0], np.cumsum(uncoded)])[cut]
             blobs = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            cols = [which.tolist(), [batch_id] * len(which), blobs(unit_h, unit_cut), blobs(m, unit_cut), blobs(ctx, cut), blobs(who, cut) if with_documents else [b""] * len(which), blobs(n, cut), [b""] * len(which)]
+            cols = [which.tolist(), [batch_id] * len(which), blobs(unit_h, unit_cut), blobs(m, unit_cut), blobs(ctx, cut), blobs(rare, rare_cut), blobs(who, cut) if with_documents else [b""] * len(which), blobs(n, cut), [b""] * len(which)]
             if with_documents:
-                extra = [batch_id % buckets, batch_id, b"", b"", b"", b"", b"", np.concatenate(keys).astype("<i8").tobytes()]
+                extra = [batch_id % buckets, batch_id, b"", b"", b"", b"", b"", b"", np.concatenate(keys).astype("<i8").tobytes()]
                 cols = [c + [x] for c, x in zip(cols, extra)]
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
@@ -285,17 +305,17 @@ def _dealt(docs: DataFrame, shared, with_documents: bool) -> DataFrame:
                     yield out()
                     batch_id, held, keys, size, docs_held = batch_id + 1, [], [], 0, 0
                 h, row, u = _tokens(c, survey)
-                item = u << np.uint64(16)
+                tag = train[c.lo : c.hi][row]
                 if with_documents:
-                    item |= (row + docs_held).astype(np.uint64) << np.uint64(1) | train[c.lo : c.hi][row]
-                held.append((h, item))
+                    tag = (row + docs_held).astype(np.uint64) << np.uint64(1) | tag
+                held.append((h, u, tag))
                 keys.append(key[c.lo : c.hi])
                 docs_held += c.hi - c.lo
                 size += len(h)
         if held:
             yield out()
 
-    source = docs if with_documents else docs.where("train")
+    source = docs if with_documents or shared.value.rare_size else docs.where("train")
     return source.select("text", "key", "train").mapInArrow(deal, _ROW)
 
 
@@ -306,20 +326,25 @@ def _joined(col: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A bucket's items: their pair, the pairs' words and contexts, and the words' hashes."""
+    """A bucket's items: their pair, the pairs' words and contexts, and the words' hashes; contexts without a code follow the
+    coded ones in the order of rare, their hashes."""
 
     vocabulary: np.ndarray
     pair: np.ndarray
     word: np.ndarray
     context: np.ndarray
     n: np.ndarray
+    rare: np.ndarray
 
 
-def _items(table: pa.Table) -> Items:
-    h, m, ctx = (_joined(table.column(c), k) for c, k in (("h", "<u8"), ("m", "<u4"), ("ctx", "<u2")))
+def _items(table: pa.Table, coded: int) -> Items:
+    h, m, ctx, rare = (_joined(table.column(c), k) for c, k in (("h", "<u8"), ("m", "<u4"), ("ctx", "<u2"), ("rare", "<u8")))
     vocabulary, word = np.unique(h, return_inverse=True)
-    pairs, pair = np.unique(np.repeat(word.astype(np.int64), m) << 16 | ctx, return_inverse=True)
-    return Items(vocabulary, pair, pairs >> 16, pairs & 0xFFFF, _joined(table.column("n"), "<u4").astype(np.int64))
+    ctx = ctx.astype(np.int64)
+    rare, place = np.unique(rare, return_inverse=True)
+    ctx[ctx == ESCAPE] = coded + place
+    pairs, pair = np.unique(np.repeat(word.astype(np.int64), m) << 32 | ctx, return_inverse=True)
+    return Items(vocabulary, pair, pairs >> 32, pairs & 0xFFFFFFFF, _joined(table.column("n"), "<u4").astype(np.int64), rare)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,29 +367,55 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
     survey = _survey(docs)
     shared = spark.sparkContext.broadcast(survey)
     k, buckets = len(survey.size), survey.buckets
-    samples = SAMPLES
+    samples, parts = SAMPLES, -(-buckets // 4)
 
     def states(table: pa.Table) -> pa.Table:
         own: Survey = shared.value
-        items, bucket = _items(table), table.column("bucket")[0].as_py()
-        count = np.bincount(items.pair, weights=items.n).astype(np.int64)
-        per_word = np.bincount(items.word, weights=count)
-        cut = _sliced_at(own, items.vocabulary)
+        items, bucket = _items(table, k), table.column("bucket")[0].as_py()
+        count = np.bincount(items.pair, weights=items.n, minlength=len(items.word)).astype(np.int64)
+        entry, n_rare = np.flatnonzero(count), len(items.rare)
+        count, context = count[entry], items.context[entry]
+        used, word = np.unique(items.word[entry], return_inverse=True)
+        vocabulary = items.vocabulary[used]
+        per_word = np.bincount(word, weights=count, minlength=len(used))
+        cut = _sliced_at(own, vocabulary)
         scale = np.where(cut >= 0, own.occurrences[np.maximum(cut, 0)] / per_word, 1.0) if len(own.sliced) else np.ones(len(per_word))
-        found = sample(items.word, items.context, count, len(per_word), own.size, scale, buckets, bucket)
+        every = lambda x: np.bincount(context, weights=x, minlength=k + n_rare)
+        found = sample(word, context, count, len(per_word), np.append(own.size, np.maximum(every(count)[k:], own.rare_size)), scale, buckets, bucket)
         whole = cut < 0
-        per_context = lambda x: np.bincount(items.context, weights=x, minlength=k)
+        folded = np.where(context < k, context, OTHER)  # sums over all contexts need them too
+        per_context = lambda x: np.bincount(folded, weights=x, minlength=k)
         sums = np.concatenate([[whole.sum()], [s.tables[whole].sum() for s in found], per_context(count), *(per_context(s.entry_tables) for s in found)]).astype("<i8")
-        rows = [np.bincount(items.word, weights=s.entry_tables, minlength=len(whole))[~whole] for s in found]
-        raw = lambda x, kind: pa.array([np.asarray(x).astype(kind).tobytes()], pa.binary())
+        rows = [np.bincount(word, weights=s.entry_tables, minlength=len(whole))[~whole] for s in found]
+        part = (words.mix(items.rare) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        which, start = np.unique(part[order], return_index=True)
+        held = np.stack([every(x)[k:] for x in (count, *(s.entry_tables for s in found))])[:, order]
+        cuts = list(zip(start, np.append(start, n_rare)[1:]))
+        raw = lambda x, kind: pa.array([np.asarray(x).astype(kind).tobytes(), *[None] * len(which)], pa.binary())
         return pa.table({
-            "bucket": pa.array([bucket], pa.int32()), "multi": raw(np.concatenate([s.entry_tables[count > 1] for s in found]), "<u4"), "tables": raw(np.concatenate([s.tables for s in found]), "<u4"),
-            "sums": raw(sums, "<i8"), "cut_h": raw(items.vocabulary[~whole], "<u8"), "cut_n": raw(np.concatenate([per_word[~whole], *rows]), "<i8"),
+            "bucket": pa.array([bucket] * (1 + len(which)), pa.int32()), "part": pa.array([None, *which.tolist()], pa.int32()), "multi": raw(np.concatenate([s.entry_tables[count > 1] for s in found]), "<u4"), "tables": raw(np.concatenate([s.tables for s in found]), "<u4"),
+            "sums": raw(sums, "<i8"), "cut_h": raw(vocabulary[~whole], "<u8"), "cut_n": raw(np.concatenate([per_word[~whole], *rows]), "<i8"),
+            "rare": pa.array([None, *(items.rare[order[a:b]].astype("<u8").tobytes() for a, b in cuts)], pa.binary()), "rare_n": pa.array([None, *(held[:, a:b].astype("<u4").tobytes() for a, b in cuts)], pa.binary()),
         })
 
-    kinds = "bucket int, multi binary, tables binary, sums binary, cut_h binary, cut_n binary"
+    def rare_sums(table: pa.Table) -> pa.Table:
+        """Customers and tables of the contexts of one part in the whole corpus, for each bucket that holds them."""
+        sides = [(np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u4").reshape(1 + samples, -1)) for h, n in zip(table.column("rare"), table.column("rare_n"))]
+        hashes, place = np.unique(np.concatenate([h for h, _ in sides]), return_inverse=True)
+        total = np.stack([np.bincount(place, weights=np.concatenate([n[i] for _, n in sides])) for i in range(1 + samples)])
+        out_h, out_n = [], []
+        for h, _ in sides:
+            at = np.searchsorted(hashes, h)
+            at = at[total[0, at] > 0]
+            out_h.append(hashes[at].astype("<u8").tobytes())
+            out_n.append(total[:, at].astype("<u4").tobytes())
+        none = pa.nulls(len(sides), pa.binary())
+        return pa.table([table.column("bucket"), none, none, pa.array(out_h, pa.binary()), pa.array(out_n, pa.binary())], names=["bucket", "multi", "tables", "rare", "rare_n"])
+
+    kinds = "bucket int, part int, multi binary, tables binary, sums binary, cut_h binary, cut_n binary, rare binary, rare_n binary"
     sampled = written(_dealt(docs, shared, False).groupBy("bucket").applyInArrow(states, kinds))
-    partial = sampled.select("sums").mapInArrow(_add_up, "sums binary").repartition(8).mapInArrow(_add_up, "sums binary").collect()
+    partial = sampled.where("part IS NULL").select("sums").mapInArrow(_add_up, "sums binary").repartition(8).mapInArrow(_add_up, "sums binary").collect()
     sums = sum((np.frombuffer(r.sums, "<i8") for r in partial), np.zeros(1 + samples + (1 + samples) * k, np.int64))
     size, tables = sums[1 + samples : 1 + samples + k].astype(np.float64), sums[1 + samples + k :].reshape(samples, k).astype(np.float64)
     vocabulary, roots, train_tokens = int(sums[0]) + len(survey.sliced), sums[1 : 1 + samples].astype(np.float64), int(size.sum())
@@ -382,7 +433,7 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
 
     def scores(table: pa.Table, state: pa.Table) -> pa.Table:
         totals, own = known.value, shared.value
-        items, who = _items(table), _joined(table.column("who"), "<u2")
+        items, who = _items(table, k), _joined(table.column("who"), "<u2")
         per_row = np.array([len(x.as_buffer()) // 2 for x in table.column("who")], np.int64)
         batch = np.repeat(table.column("batch").to_numpy(), per_row)
         count = np.bincount(items.pair, weights=items.n * (who & 1), minlength=len(items.word)).astype(np.int64)
@@ -401,7 +452,14 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
         if len(own.sliced):
             own_part = np.where(cut >= 0, totals.sliced_own[:, np.maximum(cut, 0)], own_part)
             per_word = np.where(cut >= 0, totals.sliced_count[np.maximum(cut, 0)], per_word)
-        log = totals.log10(seated, totals.parent(own_part)[:, items.word], items.context)
+        size, tables = np.zeros(k + len(items.rare)), np.zeros((samples, k + len(items.rare)))
+        size[:k], tables[:, :k] = totals.size, totals.tables
+        for x, n in zip(state.column("rare"), state.column("rare_n")):
+            if x.is_valid and len(x.as_buffer()):
+                found = np.frombuffer(n.as_buffer(), "<u4").reshape(1 + samples, -1)
+                at = k + np.searchsorted(items.rare, np.frombuffer(x.as_buffer(), "<u8"))
+                size[at], tables[:, at] = found[0], found[1:]
+        log = replace(totals, size=size, tables=tables).log10(seated, totals.parent(own_part)[:, items.word], items.context)
         doc = who >> 1
         order = np.lexsort((doc, batch))
         doc, batch, pair, n = doc[order], batch[order], items.pair[order], items.n[order]
@@ -420,7 +478,10 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
         return pa.table([pa.array(v, pa.int64() if c == "batch" else pa.binary()) for c, v in columns.items()], names=list(columns))
 
     kinds = "batch long, who binary, score binary, base binary, known binary, size binary, keys binary"
-    parts = _dealt(docs, shared, True).groupBy("bucket").cogroup(sampled.select("bucket", "multi", "tables").groupBy("bucket")).applyInArrow(scores, kinds)
+    state = ["bucket", "multi", "tables", "rare", "rare_n"]
+    brought = sampled.where("part IS NOT NULL").groupBy("part").applyInArrow(rare_sums, "bucket int, multi binary, tables binary, rare binary, rare_n binary")
+    states_of = sampled.where("part IS NULL").select(*state).union(brought) if survey.rare_size else sampled.where("part IS NULL").select(*state)
+    scored = _dealt(docs, shared, True).groupBy("bucket").cogroup(states_of.groupBy("bucket")).applyInArrow(scores, kinds)
 
     def per_key(table: pa.Table) -> pa.Table:
         keys, who = _joined(table.column("keys"), "<i8"), _joined(table.column("who"), "<u2")
@@ -429,7 +490,7 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
             out[c] = pa.array(np.bincount(who, weights=_joined(table.column(c), kind), minlength=len(keys)))
         return pa.table(out)
 
-    per_doc = parts.groupBy("batch").applyInArrow(per_key, "key long, score double, base double, known double, size double")
+    per_doc = scored.groupBy("batch").applyInArrow(per_key, "key long, score double, base double, known double, size double")
     per_doc = per_doc.groupBy("key").agg(*(F.avg(c).alias(c) for c in ("score", "base", "known", "size")))
     log_all = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
     return docs.select("key", *names).join(per_doc, "key").select(

@@ -154,3 +154,28 @@ def test_repeats_of_held_out_texts_score_apart(spark):
     rows = [(i, x, True) for i, x in enumerate(texts[:300])] + [(1000 + i, x, False) for i, x in enumerate(texts[280:])]
     got = {row.id: row.score / row.n_tokens for row in P.score_corpus(spark.createDataFrame(rows, "id long, text string, train boolean"), carry=("id",)).collect()}
     assert min(got[1000 + i] for i in range(20)) > max(got[1000 + i] for i in range(20, 120))
+
+
+def test_contexts_beyond_the_array_keep_their_own_restaurants(spark, monkeypatch):
+    """Each word is mostly followed by one other: scores hardly depend on how many contexts have a code, nor do seldom ones share."""
+    for name, value in (("BUCKET_TOKENS", 2000), ("SLICE_TOKENS", 400), ("BATCH_TOKENS", 3000)):
+        monkeypatch.setattr(P, name, value)
+    r = random.Random(6)
+
+    def walk(n):
+        at, out = r.randrange(150), []
+        for _ in range(n):
+            out.append(f"w{at}")
+            at = (at * 7 + 3) % 150 if r.random() < 0.9 else r.randrange(150)
+        return " ".join(out)
+
+    rows = [(i, walk(25), i % 4 > 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, "id long, text string, train boolean")
+    got = {}
+    for most in (5, 65_000):
+        monkeypatch.setattr(P, "CONTEXTS_MOST", most)
+        got[most] = {x.id: x.score / x.n_tokens for x in P.score_corpus(docs, carry=("id",)).collect()}
+    assert len(got[5]) == 240 and all(math.isclose(got[5][i], got[65_000][i], rel_tol=0.1) for i in got[5])
+    held = [i for i, _, train in rows if not train]
+    assert math.isclose(sum(got[5][i] for i in held), sum(got[65_000][i] for i in held), rel_tol=0.02)
+    assert sum(got[5][i] for i in held) / len(held) > -1.2  # 2.2 for words alone
