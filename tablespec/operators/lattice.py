@@ -10,8 +10,10 @@ equal to each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from tablespec.operators.constraints import union_all
 from tablespec.paths import written
 
 _CLASSES = "set array<int>, row long, class long, size long"
+STRETCH = 500_000  # rows of a task among which equal ones are looked for without a shuffle
+SLICES = 16  # of a set's values, of which one is grouped before all are
+_PLAIN = (T.IntegralType, T.DecimalType, T.FloatType, T.DoubleType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
 
 
 def single_partitions(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -49,19 +54,67 @@ def set_facts(partition: DataFrame) -> dict[tuple[int, ...], tuple[int, int]]:
     return {tuple(r["set"]): (r["rows"], r["classes"]) for r in found}
 
 
+def repeated_sets(rows: DataFrame, wanted: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Of sets of plain columns, those in which two rows of one stretch of a task's rows are alike. No set found is a key; one
+    that is not found may still repeat across stretches."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, held, size = list(range(len(wanted))), [], 0
+
+        def found() -> list[int]:
+            table, out = pa.Table.from_batches(held), []
+            for i in left:
+                # of a set that repeats all smaller ones do
+                if not any(set(wanted[i]) <= set(wanted[j]) for j in out) and table.group_by(list(wanted[i]), use_threads=False).aggregate([]).num_rows < table.num_rows:
+                    out.append(i)
+            return out
+
+        for batch in batches:
+            if not left:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= STRETCH:
+                out, held, size = found(), [], 0
+                # where a stretch tells nothing new, the rest of the task is left to the groupings
+                left = [i for i in left if out and not any(set(wanted[i]) <= set(wanted[j]) for j in out)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["i"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(found(), pa.int32())], names=["i"])
+
+    return {wanted[r.i] for r in rows.mapInArrow(seen, "i int").distinct().collect()} if wanted else set()
+
+
+def _repeats(rows: DataFrame, s: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy(*s).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+
+
 def key_lattice(df: DataFrame, cols: list[str], max_width: int) -> list[tuple[str, ...]]:
-    """Minimal column sets up to a width in which no two rows are alike; none of a table without rows."""
+    """Minimal column sets up to a width in which no two rows are alike; none of a table without rows.
+
+    Two equal rows tell that a set is no key: they are looked for among rows that lie close together, then among those whose
+    values fall in one slice of a hash. The few sets still open are grouped in full, one shuffle of their own columns each,
+    from the narrowest on."""
     if not cols or df.isEmpty():
         return []
-    single = single_partitions(df, cols)
-    now, keys, level = single, [], [(i,) for i in range(len(cols))]
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = written(df.select(*(F.col(c).alias(n) for c, n in zip(cols, names))))
+    plain = [n for n in names if isinstance(rows.schema[n].dataType, _PLAIN)]
+    wanted = [s for width in range(min(max_width, len(plain)), 0, -1) for s in combinations(plain, width)]
+    repeated, keys = [set(s) for s in repeated_sets(rows.select(*plain), wanted)], []
+    near = [s for s in wanted if not any(set(s) <= r for r in repeated)]
+    if near:
+        slices = [_repeats(rows.where(F.pmod(F.xxhash64(*s), F.lit(SLICES)) == 0), s).select(F.lit(i).alias("i"), "n") for i, s in enumerate(near)]
+        repeated += [set(near[r.i]) for r in union_all(slices).where("n > 1").collect()]
     for width in range(1, max_width + 1):
-        if width > 1:
-            level = [s for s in combinations(range(len(cols)), width) if not any(set(k) <= set(s) for k in keys)]
-            now = refined(now, single, level)
-        facts = set_facts(now)
-        keys += [s for s in level if s not in facts]
-    return [tuple(cols[i] for i in k) for k in keys]
+        for s in combinations(names, width):
+            if any(set(k) <= set(s) for k in keys) or any(set(s) <= r for r in repeated):
+                continue
+            if _repeats(rows, s).first().n == 1:
+                keys.append(s)
+            else:
+                repeated.append(set(s))
+    return [tuple(cols[names.index(n)] for n in k) for k in keys]
 
 
 def functional_dependencies(df: DataFrame, cols: list[str], max_width: int = 2) -> DataFrame:

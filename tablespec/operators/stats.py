@@ -19,8 +19,7 @@ STATES_MOST = 100_000
 def candidate_keys(df: DataFrame, cols: list[str], max_width: int = 2) -> DataFrame:
     """(key): minimal sets of non-null columns that are unique, comma-joined; a table without rows has none.
 
-    Sets grow level by level on partitions of row numbers, and only rows that still share their values
-    with others go on to the next level."""
+    Most sets fall by two equal rows of a part of the table; what is left is grouped in full, level by level."""
     facts = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in cols)).first()
     full = [c for c in cols if facts[c] == facts["n"]]
     return df.sparkSession.createDataFrame([(",".join(k),) for k in key_lattice(df, full, max_width)], "key string")

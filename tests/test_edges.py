@@ -91,3 +91,26 @@ def test_an_index_shuffles_its_terms_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(i, 4) for i in range(1, 40, 2)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+def test_keys_are_found_without_rows_for_each_set(spark, monkeypatch):
+    """Equal rows count wherever they lie: beside each other, in a slice of the values, or a single pair far apart; sets are
+    never joined row by row."""
+    from itertools import combinations
+
+    from tablespec.operators import lattice as L
+
+    monkeypatch.setattr(L, "STRETCH", 50)
+    monkeypatch.setattr(L, "refined", None)
+    rows = [(i, i // 2, i % 7, i % 500, float("nan") if i % 3 else -0.0 if i % 2 else 0.0, None if i % 5 else str(i)) for i in range(2000)]
+    rows[1999] = (3, *rows[1999][1:])
+    cols = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e double, f string").repartition(3)
+    same = [tuple("nan" if x != x else x for x in r) for r in rows]
+    want = []
+    for width in (1, 2, 3):
+        for s in combinations(range(6), width):
+            if not any(set(k) <= set(s) for k in want) and len({tuple(r[i] for i in s) for r in same}) == 2000:
+                want.append(s)
+    assert L.key_lattice(df, cols, 3) == [tuple(cols[i] for i in s) for s in want] and ("a", "b") in L.key_lattice(df, cols, 3)
+    assert L.repeated_sets(df.select("c"), [("c",)]) == {("c",)}
