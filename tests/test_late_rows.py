@@ -35,3 +35,21 @@ def test_keys_whose_rows_span_batches_lose_none(spark, tmp_path):
     stream = spark.readStream.schema("id long, user long").parquet(f"{tmp_path}/in")
     found = C.run_to_table(C.duplicate_stream(stream, ["user"]), f"{tmp_path}/out", f"{tmp_path}/state")
     assert found.count() == 90_000 - 3000 and found.groupBy("user").count().where("count = 29").count() == 3000
+
+
+def test_late_rows_of_many_files_are_counted_alike(spark, tmp_path, monkeypatch):
+    """A batch of several files is one batch; no file holds all of it."""
+    import duckdb
+
+    from tablespec.queries import streams as S
+    from tablespec.registry import ORACLES, QUERIES
+
+    monkeypatch.setattr(S, "_LATE_ROWS", 30)
+    scans, scan = [], S.stream_scan
+    monkeypatch.setattr(S, "stream_scan", lambda *a, **k: scans.append((a[1], k["max_files"])) or scan(*a, **k))
+    got = QUERIES["r09_late_rows"](spark, "/root/testdata/sf0.001").first()[0]
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    assert got == con.execute(ORACLES["r09_late_rows"]).fetchone()[0]
+    path, files = scans[0]
+    assert files > 1 and spark.read.parquet(path).selectExpr("input_file_name() AS f").distinct().count() == 3 * files
