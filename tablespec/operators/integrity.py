@@ -110,7 +110,9 @@ def exclude_violations(df: DataFrame, equal: list[str], lo: str, hi: str, key: s
     cells = written(both.groupBy(*meet).agg(F.sum("_a").alias("_as"), F.sum("_b").alias("_bs")).where("_as > 0 AND _bs > 0"))
     parts = [F.ceil(F.col(c) / SIDE).cast("int") for c in ("_as", "_bs")]
     heavy = written(cells.where(F.greatest("_as", "_bs") > SIDE).select(*meet, parts[0].alias("_rows"), parts[1].alias("_cols")))
-    tasks = (cells.agg(F.sum(F.col("_as") * F.col("_bs"))).first()[0] or 0) // TASK_PAIRS + 1
+    compared = cells.agg(F.sum(F.col("_as") * F.col("_bs"))).first()[0] or 0
+    # rows are small beside their pairs: left to their bytes, partitions would be joined into a few long tasks
+    tasks = max(compared // TASK_PAIRS + 1, min(compared * 16 // TASK_PAIRS, 4 * df.sparkSession.sparkContext.defaultParallelism))
 
     def blocks(df: DataFrame, s: str, own: str, other: str) -> DataFrame:
         """Rows dealt over their own side of the cell's grid, and once for each block along the other."""
@@ -120,7 +122,7 @@ def exclude_violations(df: DataFrame, equal: list[str], lo: str, hi: str, key: s
 
     a, b = blocks(homes, "a", "_rows", "_cols"), blocks(starts, "b", "_cols", "_rows")
     on = [*meet, "_rows", "_cols"]
-    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    if tasks > 1:
         a, b = a.repartition(tasks, *(f"{c}a" for c in on)), b.repartition(tasks, *(f"{c}b" for c in on))
     # a null beginning lies before all others; of equal ones the lesser key is first
     first = F.when(at(lo, "a").isNull(), at(lo, "b").isNotNull()).otherwise(F.coalesce(at(lo, "a") < at(lo, "b"), F.lit(False)))

@@ -97,3 +97,18 @@ def test_endless_ranges_in_merges_and_operations(spark):
     assert {tuple(r) for r in I.merge_ranges(df, ["g"], "lo", "hi").collect()} == {(1, 1, None, 2, None), (2, None, 4, 2, None), (2, 9, 10, 1, 5), (3, None, None, 2, None)}
     ops = I.range_ops(spark.createDataFrame([(1, None, 5, 6), (None, 3, 3, None), (None, None, 1, None)], "a int, b int, c int, d int"), "a", "b", "c", "d").collect()
     assert [(r.overlaps, r.contains, r.adjacent, r.common_lo, r.common_hi) for r in ops] == [(True, True, False, 5, 6), (False, False, True, None, None), (True, True, False, 1, None)]
+
+
+def test_few_rows_with_many_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    """Partitions follow the pairs even where they are fewer than the session's; none is joined with another by its bytes."""
+    monkeypatch.setattr(I, "SIDE", 20)
+    monkeypatch.setattr(I, "TASK_PAIRS", 80_000)
+    rows = spark.range(400).selectExpr("id AS k", "1 AS lo", "10 AS hi")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        out = I.exclude_violations(rows, [], "lo", "hi", "k")
+        assert out.count() == 400 * 399 // 2
+        held = [r.n for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(held) > 8 and max(held) < 20_000
