@@ -53,6 +53,7 @@ BUCKET_TOKENS = 2_000_000
 SLICE_TOKENS = BUCKET_TOKENS // 4
 BATCH_TOKENS = 2_000_000
 BATCH_DOCS = 1 << 15
+PAIRS_AT_ONCE = 1 << 18
 STIRLING_MOST = 256
 SAMPLES, BURN = 3, 5
 CHILD, PARENT = (0.75, 5.0), (0.80, 10.0)
@@ -251,68 +252,118 @@ def _sliced_at(survey: Survey, h: np.ndarray) -> np.ndarray:
     return np.where(survey.sliced[at] == h, at, -1)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in order, a place of each, and the rank of each element; less memory than np.unique takes."""
+    order = np.argsort(x)
+    found = x[order]
+    new = np.append(True, found[1:] != found[:-1])[: len(x)]
+    rank = np.empty(len(x), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return found[new], order[new], rank
+
+
+def _blobs(x: np.ndarray, at: np.ndarray, more: int = 0) -> pa.Array:
+    """The bytes between any two neighbours of at, which shares x's memory, and some empty ones."""
+    offsets = np.append(at, np.repeat(at[-1:], more)) * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
+
+
+def _drained(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 _ROW = "bucket int, batch long, h binary, m binary, ctx binary, rare binary, who binary, n binary, keys binary"
 
 
+def _batch(h: np.ndarray, u: np.ndarray, tag: np.ndarray, keys: list[np.ndarray], batch_id: int, survey: Survey, with_documents: bool) -> pa.RecordBatch:
+    """Rows of one batch from the hash, context and tag (document and whether it trains) of each token."""
+    buckets = survey.buckets
+    contexts, _, place = _distinct(u)
+    bits = np.uint64(16 + len(contexts).bit_length())
+    unit, part = h.copy(), np.zeros(len(h), np.uint32)
+    if len(survey.sliced):
+        at = _sliced_at(survey, h)
+        cut = np.flatnonzero(at >= 0)
+        part[cut] = words.mix(u[cut]) % survey.slices[at[cut]].astype(np.uint64)
+        unit[cut] += part[cut].astype(np.uint64) * words._K[2]
+        del at, cut
+    del u
+    unit, first, inverse = _distinct(unit)
+    unit_h, unit_part = h[first], part[first].astype(np.uint64)
+    del h, part, first
+    bucket = ((words.mix(unit_h) + unit_part) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((unit_h, bucket))
+    rank = np.empty(len(unit), np.uint64)
+    rank[order] = np.arange(len(unit)).astype(np.uint64)
+    key = rank[inverse]
+    key <<= bits
+    place = place.astype(np.uint64)
+    place <<= np.uint64(16)
+    key |= place
+    key |= tag
+    del inverse, place, tag
+    key.sort()
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n, key = np.diff(np.append(new, len(key))).astype("<u4"), key[new]
+    del new
+    unit_h, who = unit_h[order].astype("<u8"), (key & np.uint64(0xFFFF)).astype("<u2")
+    key >>= np.uint64(16)
+    ctx = contexts[(key & (np.uint64(1) << bits - np.uint64(16)) - np.uint64(1)).astype(np.int32)]
+    key >>= bits - np.uint64(16)
+    m = np.bincount(key.astype(np.int32), minlength=len(unit)).astype("<u4")
+    del key
+    uncoded = ctx >= RARE
+    rare = ctx[uncoded].astype("<u8")
+    ctx[uncoded] = ESCAPE
+    ctx = ctx.astype("<u2")
+    if not with_documents:
+        n *= who & np.uint16(1)
+    which, start = np.unique(bucket[order], return_index=True)
+    unit_cut = np.append(start, len(unit))
+    cut = np.concatenate([[0], np.cumsum(m, dtype=np.int64)])[unit_cut]
+    rare_cut = np.concatenate([[0], np.cumsum(uncoded)])[cut]
+    more, none = int(with_documents), np.zeros(0, np.uint8)
+    nothing = np.zeros(len(which) + 1, np.int64)
+    key_bytes = np.concatenate(keys).astype("<i8") if with_documents else none
+    cols = [
+        pa.array(np.append(which, [batch_id % buckets] * more), pa.int32()), pa.array(np.full(len(which) + more, batch_id), pa.int64()), _blobs(unit_h, unit_cut, more), _blobs(m, unit_cut, more), _blobs(ctx, cut, more), _blobs(rare, rare_cut, more),
+        _blobs(who, cut, more) if with_documents else _blobs(none, nothing), _blobs(n, cut, more), _blobs(key_bytes, np.append(nothing, [len(key_bytes)] * more)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=[part.split()[0] for part in _ROW.split(", ")])
+
+
 def _dealt(docs: DataFrame, shared, with_documents: bool) -> DataFrame:
     """Rows of a batch for a bucket: its words, the number of items of each, and for each item context, document and count.
 
     Without documents only training tokens count; where contexts lack codes, pairs of other rows are there with a count
     of 0, so that every bucket learns which contexts it will be asked for."""
-    names = [part.split()[0] for part in _ROW.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         survey: Survey = shared.value
-        buckets, batch_id = survey.buckets, TaskContext.get().partitionId() << 32
-        held, keys, size, docs_held = [], [], 0, 0
+        batch_id = TaskContext.get().partitionId() << 32
+        held, keys, size, docs_held = ([], [], []), [], 0, 0
 
         def out() -> pa.RecordBatch:
-            h, u, tag = (np.concatenate([x[i] for x in held]) for i in range(3))
-            contexts, place = np.unique(u, return_inverse=True)
-            bits = np.uint64(16 + len(contexts).bit_length())
-            at = _sliced_at(survey, h)
-            part = np.where(at >= 0, words.mix(u) % survey.slices[np.maximum(at, 0)].astype(np.uint64), 0).astype(np.uint64) if len(survey.sliced) else np.zeros(len(h), np.uint64)
-            unit, first, inverse = np.unique(h + part * words._K[2], return_index=True, return_inverse=True)
-            bucket = ((words.mix(h[first]) + part[first]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h[first], bucket))
-            rank = np.empty(len(unit), np.uint64)
-            rank[order] = np.arange(len(unit)).astype(np.uint64)
-            key = np.sort(rank[inverse] << bits | place.astype(np.uint64) << np.uint64(16) | tag)
-            new = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
-            n, key = np.diff(np.append(new, len(key))).astype("<u4"), key[new]
-            unit_h, m = h[first][order].astype("<u8"), np.bincount((key >> bits).astype(np.int64), minlength=len(unit)).astype("<u4")
-            ctx, who = contexts[(key >> np.uint64(16) & (np.uint64(1) << bits - np.uint64(16)) - np.uint64(1)).astype(np.int64)], (key & np.uint64(0xFFFF)).astype("<u2")
-            uncoded = ctx >= RARE
-            rare, ctx = ctx[uncoded].astype("<u8"), np.where(uncoded, np.uint64(ESCAPE), ctx).astype("<u2")
-            if not with_documents:
-                n = (n * (who & 1)).astype("<u4")
-            which, start = np.unique(bucket[order], return_index=True)
-            unit_cut = np.append(start, len(unit))
-            cut = np.concatenate([[0], np.cumsum(m, dtype=np.int64)])[unit_cut]
-            rare_cut = np.concatenate([[0], np.cumsum(uncoded)])[cut]
-            blobs = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            cols = [which.tolist(), [batch_id] * len(which), blobs(unit_h, unit_cut), blobs(m, unit_cut), blobs(ctx, cut), blobs(rare, rare_cut), blobs(who, cut) if with_documents else [b""] * len(which), blobs(n, cut), [b""] * len(which)]
-            if with_documents:
-                extra = [batch_id % buckets, batch_id, b"", b"", b"", b"", b"", b"", np.concatenate(keys).astype("<i8").tobytes()]
-                cols = [c + [x] for c, x in zip(cols, extra)]
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            return _batch(*map(_drained, held), keys, batch_id, survey, with_documents)
 
         for batch in batches:
             key, train = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             for c in words.chunks(batch.column(0)):
-                if held and (size > BATCH_TOKENS or docs_held + c.hi - c.lo > BATCH_DOCS):
+                if size and (size > BATCH_TOKENS or docs_held + c.hi - c.lo > BATCH_DOCS):
                     yield out()
-                    batch_id, held, keys, size, docs_held = batch_id + 1, [], [], 0, 0
+                    batch_id, keys, size, docs_held = batch_id + 1, [], 0, 0
                 h, row, u = _tokens(c, survey)
                 tag = train[c.lo : c.hi][row]
                 if with_documents:
                     tag = (row + docs_held).astype(np.uint64) << np.uint64(1) | tag
-                held.append((h, u, tag))
+                for x, part in zip((h, u, tag.astype(np.uint16)), held):
+                    part.append(x)
                 keys.append(key[c.lo : c.hi])
                 docs_held += c.hi - c.lo
                 size += len(h)
-        if held:
+        if size:
             yield out()
 
     source = docs if with_documents or shared.value.rare_size else docs.where("train")
@@ -339,12 +390,15 @@ class Items:
 
 def _items(table: pa.Table, coded: int) -> Items:
     h, m, ctx, rare = (_joined(table.column(c), k) for c, k in (("h", "<u8"), ("m", "<u4"), ("ctx", "<u2"), ("rare", "<u8")))
-    vocabulary, word = np.unique(h, return_inverse=True)
-    ctx = ctx.astype(np.int64)
-    rare, place = np.unique(rare, return_inverse=True)
-    ctx[ctx == ESCAPE] = coded + place
-    pairs, pair = np.unique(np.repeat(word.astype(np.int64), m) << 32 | ctx, return_inverse=True)
-    return Items(vocabulary, pair, pairs >> 32, pairs & 0xFFFFFFFF, _joined(table.column("n"), "<u4").astype(np.int64), rare)
+    vocabulary, _, word = _distinct(h)
+    rare, _, place = _distinct(rare)
+    key = np.repeat(word.astype(np.int64) << 32, m)
+    escaped = np.flatnonzero(ctx == ESCAPE)
+    key |= ctx
+    key[escaped] += coded + place - ESCAPE  # a context's place lies in the lower half
+    del h, m, ctx, word, escaped, place
+    pairs, _, pair = _distinct(key)
+    return Items(vocabulary, pair, pairs >> 32, pairs & 0xFFFFFFFF, _joined(table.column("n"), "<u4"), rare)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +489,6 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
         totals, own = known.value, shared.value
         items, who = _items(table, k), _joined(table.column("who"), "<u2")
         per_row = np.array([len(x.as_buffer()) // 2 for x in table.column("who")], np.int64)
-        batch = np.repeat(table.column("batch").to_numpy(), per_row)
         count = np.bincount(items.pair, weights=items.n * (who & 1), minlength=len(items.word)).astype(np.int64)
         per_word = np.bincount(items.word, weights=count, minlength=len(items.vocabulary)).astype(np.int64)
         entry, learned = np.flatnonzero(count), np.flatnonzero(per_word)
@@ -459,16 +512,24 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
                 found = np.frombuffer(n.as_buffer(), "<u4").reshape(1 + samples, -1)
                 at = k + np.searchsorted(items.rare, np.frombuffer(x.as_buffer(), "<u8"))
                 size[at], tables[:, at] = found[0], found[1:]
-        log = replace(totals, size=size, tables=tables).log10(seated, totals.parent(own_part)[:, items.word], items.context)
-        doc = who >> 1
-        order = np.lexsort((doc, batch))
-        doc, batch, pair, n = doc[order], batch[order], items.pair[order], items.n[order]
-        first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(batch, prepend=-1) != 0))
+        every, p1, log = replace(totals, size=size, tables=tables), totals.parent(own_part), np.zeros(len(count))
+        for lo in range(0, len(count), PAIRS_AT_ONCE):
+            some = slice(lo, lo + PAIRS_AT_ONCE)
+            log[some] = every.log10(seated[:, some], p1[:, items.word[some]], items.context[some])
+        base, seen = np.log10(per_word + 0.5)[items.word], (per_word > 0)[items.word]
+        del seated, t, count, entry, multi, size, tables, every
+        batches, place = np.unique(table.column("batch").to_numpy(), return_inverse=True)
+        key = np.repeat(place.astype(np.int64) << 16, per_row)
+        key |= who >> 1
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        key, pair, n = key[first], items.pair[order], items.n[order].astype(np.float64)
+        del order
         total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        per_pair = per_word[items.word][pair]
-        values = ((doc[first], "<u2"), (total(log[pair] * n), "<f8"), (total(np.log10(per_pair + 0.5) * n), "<f8"), (total((per_pair > 0) * n), "<u4"), (total(n), "<u4"))
-        ids, at = np.unique(batch[first], return_index=True)
-        at = np.append(at, len(first))
+        values = ((key & 0xFFFF, "<u2"), (total(log[pair] * n), "<f8"), (total(base[pair] * n), "<f8"), (total(seen[pair] * n), "<u4"), (total(n), "<u4"))
+        ids, at = np.unique(key >> 16, return_index=True)
+        ids, at = batches[ids], np.append(at, len(first))
         keys = table.filter(pa.compute.greater(pa.compute.binary_length(table.column("keys")), 0))
         none = [b""] * keys.num_rows
         columns = {"batch": ids.tolist() + keys.column("batch").to_pylist()}
