@@ -468,7 +468,8 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
         return pa.table([table.column("bucket"), none, none, pa.array(out_h, pa.binary()), pa.array(out_n, pa.binary())], names=["bucket", "multi", "tables", "rare", "rare_n"])
 
     kinds = "bucket int, part int, multi binary, tables binary, sums binary, cut_h binary, cut_n binary, rare binary, rare_n binary"
-    sampled = written(_dealt(docs, shared, False).groupBy("bucket").applyInArrow(states, kinds))
+    by_bucket = lambda df: df.repartitionById(buckets, "bucket")  # noqa: E731  # a hash would bring several buckets to one task
+    sampled = written(by_bucket(_dealt(docs, shared, False)).groupBy("bucket").applyInArrow(states, kinds), shuffles_go=True)
     partial = sampled.where("part IS NULL").select("sums").mapInArrow(_add_up, "sums binary").repartition(8).mapInArrow(_add_up, "sums binary").collect()
     sums = sum((np.frombuffer(r.sums, "<i8") for r in partial), np.zeros(1 + samples + (1 + samples) * k, np.int64))
     size, tables = sums[1 + samples : 1 + samples + k].astype(np.float64), sums[1 + samples + k :].reshape(samples, k).astype(np.float64)
@@ -542,7 +543,7 @@ def score_corpus(docs: DataFrame, text_col: str = "text", train_col: str = "trai
     state = ["bucket", "multi", "tables", "rare", "rare_n"]
     brought = sampled.where("part IS NOT NULL").groupBy("part").applyInArrow(rare_sums, "bucket int, multi binary, tables binary, rare binary, rare_n binary")
     states_of = sampled.where("part IS NULL").select(*state).union(brought) if survey.rare_size else sampled.where("part IS NULL").select(*state)
-    scored = _dealt(docs, shared, True).groupBy("bucket").cogroup(states_of.groupBy("bucket")).applyInArrow(scores, kinds)
+    scored = by_bucket(_dealt(docs, shared, True)).groupBy("bucket").cogroup(by_bucket(states_of).groupBy("bucket")).applyInArrow(scores, kinds)
 
     def per_key(table: pa.Table) -> pa.Table:
         keys, who = _joined(table.column("keys"), "<i8"), _joined(table.column("who"), "<u2")

@@ -206,3 +206,16 @@ def test_a_batch_takes_little_memory_and_keeps_every_token():
             got[w, c, d >> 1] += k
     assert got == want
     assert np.frombuffer(batch.to_pylist()[-1]["keys"], "<i8").tolist() == list(range(1000))
+
+
+def test_a_write_leaves_no_shuffle_files_if_asked(spark):
+    from tablespec.llm.shared import written
+
+    tracker, name = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.sparkContext._jvm.System.gc()
+    kept = lambda: tracker.shuffleStatuses().size()
+    before, was = kept(), spark.conf.get(name)
+    out = written(spark.range(1000).repartition(3, "id").groupBy("id").count(), shuffles_go=True)
+    assert out.count() == 1000 and spark.conf.get(name) == was
+    written(spark.range(1000).repartition(3, "id").groupBy("id").count(), shuffles_go=True)
+    assert kept() <= before + 1  # the count's own
