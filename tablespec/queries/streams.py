@@ -19,18 +19,23 @@ from tablespec.streaming import changes as C
 
 _FILES = 4
 _LATE_ROWS = 100_000  # of the smallest batch in a file
+_FILE_ROWS = 200_000  # the same of ordered batches
 
 
 def _stream(t: Tables, frame=None, max_files: int = 1, event_time: str | None = None, ordered: bool = False):
     """A folder of files as a stream. Files of one write have no order between them; ordered writes
-    them one after the other, by event."""
+    batches one after the other, by event. Each has the same number of files, which follows the smallest, so that no task
+    writes the whole of a large batch."""
     rows = frame if frame is not None else t.events
     path = f"{work_dir(t.spark)}/in"
     if ordered:
         last = rows.agg(F.max("event_id")).first()[0] or 0
         placed = written(rows.withColumn("_p", F.floor(F.col("event_id") * _FILES / F.lit(last + 1)).cast("int")))
+        sizes = placed.agg(*(F.count_if(F.col("_p") == i) for i in range(_FILES))).first()
+        max_files = max(1, min(sizes) // _FILE_ROWS)
         for i in range(_FILES):
-            placed.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
+            part = placed.where(F.col("_p") == i).drop("_p")
+            (part.coalesce(1) if max_files == 1 else part.repartition(max_files)).write.mode("append").parquet(path)
     else:
         rows.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id").write.parquet(path)
     return stream_scan(t.spark, path, rows.schema, max_files=max_files, event_time=event_time)
@@ -93,9 +98,10 @@ def _rocks(t: Tables) -> None:
 
 @query("r05_after_update_of", "SELECT event_id, user_id, event_type, old_event_type FROM (SELECT *, lag(event_type) OVER w AS old_event_type, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n > 1 AND event_type <> old_event_type AND event_type <> 'error'")
 def _(t: Tables):
-    _rocks(t)
+    root, state = _out(t)
     stream = _stream(t, t.events.select("event_id", "user_id", "event_type"), ordered=True)
-    return C.run_to_table(C.after_update_of(stream, ["user_id"], ["event_type"], ["event_id"], "event_type <> 'error'"), *_out(t))
+    C.run_after_update_of(stream, root, "types", ["user_id"], ["event_type"], ["event_id"], state, "event_type <> old_event_type AND event_type <> 'error'").awaitTermination()
+    return t.spark.read.schema("event_id long, user_id long, event_type string, old_event_type string").parquet(f"{root}/types_fired/*")
 
 
 @query("r05_after_update_in_event_order", "SELECT n, user_id, event_type, old_event_type FROM (SELECT event_id AS n, user_id, event_type, lag(event_type) OVER w AS old_event_type, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k > 1 AND event_type <> old_event_type")

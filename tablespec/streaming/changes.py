@@ -161,7 +161,8 @@ class _UpdateInOrder(StatefulProcessor):
 def after_update_of(
     stream: DataFrame, key: list[str], cols: list[str], order: list[str], when: str | None = None, ttl_ms: int | None = None, event_time: str | None = None, delay: str = "0 seconds",
 ) -> DataFrame:
-    """AFTER UPDATE OF cols on a stream, with old values; needs the RocksDB state store provider.
+    """AFTER UPDATE OF cols as a stream, with old values; needs the RocksDB state store provider. Python sees every row, so
+    run_after_update_of is the way for large streams whose rows are only written.
 
     Rows are compared in the order in which their micro-batches come, and by ``order`` inside one. With an
     ``event_time`` column they are compared by it, then by ``order``: a row waits in its key's buffer until the watermark,
@@ -181,6 +182,30 @@ def after_update_of(
     return fired.where(when) if when else fired
 
 
+def run_after_update_of(stream: DataFrame, root: str, name: str, key: list[str], cols: list[str], order: list[str], checkpoint: str, when: str | None = None):
+    """AFTER UPDATE OF cols with old values, written under root/name_fired as after_update_of without an event time gives them.
+
+    A micro-batch is compared by one window over its rows and the rows held of their keys; the last row of each key is held in a
+    keyed table, whose version n + 1 is written by batch n, so a batch costs what it changes. A batch that is replayed
+    reads the same version again and overwrites its own rows. A null key is a key."""
+    schema = stream.select(*key, F.struct(*cols).alias("_now")).schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        table = K.KeyedTable(batch.sparkSession, root, name, schema, tuple(key))
+        now = batch.withColumns({"_now": F.struct(*cols), "_came": F.lit(True)})
+        if batch_id + 1 not in K.versions(table):
+            newest = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc_nulls_first(o) for o in order)))
+            last = now.select(*schema.names, newest.alias("_r"), F.lit("update").alias("op")).where("_r = 1")
+            K.save_changes(table, last, False, batch_id + 1)
+        held = K.load(table, batch_id, among=K.delta(table, batch_id + 1)[0]).withColumn("_came", F.lit(False))
+        before = F.lag("_now").over(Window.partitionBy(*key).orderBy("_came", *(F.asc_nulls_last(o) for o in order)))
+        both = now.unionByName(held, allowMissingColumns=True).withColumn("_before", before)
+        fired = both.where("_came AND _before IS NOT NULL AND NOT (_before <=> _now)").select(*stream.columns, *(F.col(f"_before.`{c}`").alias(f"old_{c}") for c in cols))
+        (fired.where(when) if when else fired).write.mode("overwrite").parquet(f"{root}/{name}_fired/b{batch_id}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def statement_audit(stream: DataFrame, root: str, name: str, schema: T.StructType, key: str, order: list[str], checkpoint: str, measure: str):
     """Per micro-batch: counts and sums of rows inserted, updated and deleted, in root/name_audit.
 
