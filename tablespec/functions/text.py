@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Collection
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablespec.operators.constraints import union_all
@@ -21,6 +22,8 @@ TOKEN_CLASSES = (
 ANY_TOKEN = "|".join(f"(?:{p})" for _, p in TOKEN_CLASSES)
 
 DEALT = 16  # a power of two: parts over which an index deals the postings of a term
+INDEXED = 16 << 20  # characters of text whose terms an index brings to one partition
+SEEN, OFTEN, OFTEN_MOST = 1000, 64, 1000  # documents that steer which terms are dealt, the share that holds one, such terms at most
 
 #: fixed values: words that name a credential
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "passphrase")
@@ -31,10 +34,13 @@ TOKEN_SHAPES = (("hex40", r"\b[0-9a-f]{40}\b"), ("card16", r"\b[0-9]{16}\b"), ("
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, token, class): each token once, by the first class that matches it whole."""
     found = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ANY_TOKEN), F.lit(0))).alias("position", "token"))
+    return found.withColumn("class", _class_of(F.col("token")))
+
+
+def _class_of(t: Column) -> Column:
     # a mark tells the class of what the pattern found, without a second match
-    t = F.col("token")
     kind = F.when(F.contains(t, F.lit("://")), "url").when(F.contains(t, F.lit("@")), "email").when(F.contains(t, F.lit("-")), "hyphen").when((F.substring(t, 1, 1) >= "0") & (F.substring(t, 1, 1) <= "9"), "number")
-    return found.withColumn("class", kind.otherwise("word"))
+    return kind.otherwise("word")
 
 
 def _accented(last: int = 0x1F00) -> tuple[str, str]:
@@ -81,18 +87,67 @@ def text_vector(docs: DataFrame, key: str, text: str, *chain, **named) -> DataFr
     return _listed(text_terms(docs, key, text, *chain, **named), key, "term")
 
 
-def text_index(terms: DataFrame, key: str) -> DataFrame:
-    """(term, key, n, positions, df): postings of the terms of text_terms, with document frequencies.
-
-    A frequent term's postings stay rows, so no list of all its documents is ever built, and lie in DEALT parts. Terms
-    are shuffled once: the counts and the postings both read that shuffle, and the counts, one row for each term and
-    part, come to the postings."""
-    dealt = terms.where("term IS NOT NULL").withColumn("_part", F.xxhash64(key).bitwiseAND(F.lit(DEALT - 1).cast("long"))).repartition("term", "_part")
-    postings = _listed(dealt, "term", "_part", key)
-    # n asks the counts for the same columns, and _part is never null, so that both sides share the exchange
-    df = postings.where("n > 0").groupBy("term", "_part").agg(F.count("*").alias("df")).groupBy("term").agg(F.sum("df").alias("df"))
-    df = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
-    return postings.join(df, ["term", "_part"]).select("term", key, "n", "positions", "df")
+def text_listed(docs: DataFrame, key: str, text: str, classes: tuple[str, ...] = ("word", "number", "hyphen"), positions: bool = True) -> DataFrame:
+    """(key, term, n, positions unless left out): the terms that text_terms gives without dictionaries, brought together inside
+    each row of docs by sorting its own tokens, so that nothing is shuffled or grouped; each row of a key gives rows of its own."""
+    at = lambda t, i: F.struct(F.lower(t).alias("term"), i.alias("position")) if positions else F.lower(t)
+    of = lambda x: x.term if positions else x
+    # a part that comes twice in one token stands at one position
+    parts = lambda t, i: F.array_distinct(F.transform(F.concat(F.array(t), F.split(t, "-")), lambda p: at(p, i)))
+    words = F.regexp_extract_all(F.col(text), F.lit(ANY_TOKEN), F.lit(0))
+    each = lambda t, i: F.when(~_class_of(t).isin(*classes), F.array()).when(_class_of(t) == "hyphen", parts(t, i)).otherwise(F.array(at(t, i)))
+    if "hyphen" in classes:
+        spots = F.flatten(F.transform(words, each))
+    elif positions:
+        numbered = F.transform(words, lambda t, i: F.struct(t.alias("token"), i.alias("position")))
+        spots = F.transform(F.filter(numbered, lambda x: _class_of(x.token).isin(*classes)), lambda x: at(x.token, x.position))
+    else:
+        spots = F.transform(F.filter(words, lambda t: _class_of(t).isin(*classes)), lambda t: at(t, None))
+    rows = docs.select(key, F.sort_array(spots).alias("_a")).where(F.size("_a") > 0)
+    a = F.col("_a")
+    begins = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (of(F.get(a, i - 1)) != of(F.get(a, i - 2))))
+    # a run ends before the next begins, or with all
+    n = lambda b, j: F.coalesce(F.get("_b", j + 1), F.size(a) + 1) - b
+    listed = lambda b, j: [F.transform(F.slice(a, b, n(b, j)), lambda x: x.position).alias("positions")] if positions else []
+    runs = F.transform("_b", lambda b, j: F.struct(of(F.get(a, b - 1)).alias("term"), n(b, j).alias("n"), *listed(b, j)))
+    return rows.select(key, "_a", begins.alias("_b")).select(key, F.explode(runs).alias("_l")).select(key, "_l.*")
+
+
+def text_index(terms: DataFrame, key: str, positions: bool = True, parts: int | None = None, often: Collection[str] = ()) -> DataFrame:
+    """(term, key, n, positions, df): postings of the terms of text_terms or text_listed, with document frequencies;
+    without positions only their number n is shuffled.
+
+    Postings stay rows, so no list of a term's documents is ever built, and those of the terms in ``often`` lie in DEALT
+    parts; any terms in it give the same rows, index_shape names those worth it. Postings are shuffled once, over ``parts``
+    partitions if given, and counted where they lie; only the counts of dealt terms, read from the same shuffle, come
+    to them. Terms of text_listed come to the shuffle as one row for each document."""
+    # the part is told by the row, so it is worked out again behind the shuffle
+    part = F.when(F.col("term").isin(*often), F.xxhash64(key).bitwiseAND(F.lit(DEALT - 1).cast("long"))).otherwise(-1) if often else F.lit(-1).cast("long")
+    dealt = terms.where("term IS NOT NULL").repartition(*([parts] if parts else []), F.col("term"), *([part] if often else [])).withColumn("_part", part)
+    by = ["term", *(["_part"] if often else [])]
+    if "position" in terms.columns:
+        postings = _listed(dealt, *by, key)
+    elif positions:
+        postings = dealt.groupBy(*by, key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")).withColumn("n", F.size("positions"))
+    else:
+        postings = dealt.groupBy(*by, key).agg(F.sum("n").alias("n"))
+    out = postings.withColumn("df", F.count("*").over(Window.partitionBy(*by)))
+    if often:
+        # n asks for the same columns as the postings do and keeps the test behind the shuffle, so that both share it
+        whole = postings.where(F.when(F.col("n") > 0, F.col("_part")) >= 0).groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("_df"))
+        out = out.join(F.broadcast(whole), F.col("term") == F.col("_term"), "left").withColumn("df", F.coalesce("_df", "df"))
+    return out.select("term", key, "n", *(["positions"] if positions else []), "df")
+
+
+def index_shape(docs: DataFrame, key: str, text: str, classes: tuple[str, ...]) -> tuple[int | None, list[str]]:
+    """(parts, often) for text_index: partitions that follow the length of the texts, none for short ones, which Spark deals as
+    it does; the OFTEN_MOST most frequent terms of some documents that one in OFTEN of them holds."""
+    chars, rows = docs.agg(F.sum(F.length(text)), F.count("*")).first()
+    parts = (chars or 0) // INDEXED
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(max(1, rows // SEEN))) == 0).limit(2 * SEEN)
+    held = text_listed(some, key, text, classes, positions=False).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= max(2, min(rows, SEEN) // OFTEN))
+    often = [r.term for r in held.orderBy(F.desc("df"), "term").limit(OFTEN_MOST).collect()]
+    return (parts if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None), often
 
 
 def text_match(index: DataFrame, key: str, all_of: list[str] = [], any_of: list[str] = [], none_of: list[str] = [], phrase: list[str] = [], top: int | None = None) -> DataFrame:  # noqa: B006
