@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tablespec import registry
 from tablespec.operators import integrity as I
 
 
@@ -112,3 +113,12 @@ def test_few_rows_with_many_pairs_are_dealt_over_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(held) > 8 and max(held) < 20_000
+
+
+def test_six_magnitudes_reads_the_events_of_all_users(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=40 * i), i % 3, "view" if i % 2 else "click") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    whole = pairs([(k, kind, at, at + datetime.timedelta(seconds=10 ** (k % 6))) for k, at, _, kind in rows])
+    got = registry.QUERIES["j07_exclude_six_magnitudes"](spark, str(tmp_path)).collect()
+    assert len(got) == len(whole) and {(r.event_id_a, r.event_id_b) for r in got} == whole
