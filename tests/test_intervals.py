@@ -122,3 +122,47 @@ def test_six_magnitudes_reads_the_events_of_all_users(spark, tmp_path):
     whole = pairs([(k, kind, at, at + datetime.timedelta(seconds=10 ** (k % 6))) for k, at, _, kind in rows])
     got = registry.QUERIES["j07_exclude_six_magnitudes"](spark, str(tmp_path)).collect()
     assert len(got) == len(whole) and {(r.event_id_a, r.event_id_b) for r in got} == whole
+
+
+def shuffled_rows(spark, run):
+    """Rows written by the shuffles of what runs."""
+    sc = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        held = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return [held.apply(i) for i in range(held.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    run()
+    return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > last)
+
+
+def test_shuffled_rows_follow_the_rows_not_their_pairs(spark):
+    """All ranges overlap, so pairs grow as the square; none is found since the kinds are equal."""
+
+    def rows_for(n):
+        rows = spark.range(n).selectExpr("id AS k", "id div 1000000 AS kind", "id AS lo", f"id + {n} AS hi")
+        return shuffled_rows(spark, lambda: I.exclude_violations(rows, [], "lo", "hi", "k", differ=["kind"]).count())
+
+    few, many = rows_for(10_000), rows_for(40_000)
+    assert many < 5 * few and many < 30 * 40_000
+
+
+@pytest.mark.parametrize("side", [1, 3, 16, 1 << 14])
+def test_any_width_of_stretches_gives_the_same_pairs(spark, monkeypatch, side):
+    monkeypatch.setattr(I, "SIDE", side)
+    rows, schema = spans(int, "bigint", 11, n=200, holes=0.2)
+    rows += [(500 + i, 1, 7, 9) for i in range(20)] + [(600 + i, 1, 9, 9 + i % 3) for i in range(20)]
+    rows += rows[:5]  # equal keys are no pair
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.k_a, r.k_b) for r in I.exclude_violations(df, ["g"], "lo", "hi", "k").collect()]
+    assert set(got) == pairs(rows) and all(a < b for a, b in got)
+
+
+def test_bounds_of_two_types_and_several_equal_columns(spark):
+    r = random.Random(2)
+    rows = [(k, r.randrange(2), r.choice(["x", "y"]), r.randrange(100), float(r.randrange(100)) + 0.5) for k in range(120)]
+    df = spark.createDataFrame(rows, "k int, g int, h string, lo int, hi double")
+    assert found(df, ("g", "h")) == pairs([(k, (g, h), lo, hi) for k, g, h, lo, hi in rows])
